@@ -31,7 +31,7 @@ def exclusive_events(spark, d):
         """SELECT tool, runs, round(mean_events, 6) AS mean_events, median_events, round(stdev_events, 6) AS stdev_events, min_events, max_events,
              round(mean_ttfb_seconds, 3) AS mean_ttfb_seconds, round(median_ttfb_seconds, 6) AS median_ttfb_seconds,
              distinct_events, exclusive_events, distinct_events - exclusive_events AS shared_events
-           FROM per_tool JOIN (SELECT tool, count(*) AS distinct_events, count_if(n = 1) AS exclusive_events
+           FROM per_tool JOIN (SELECT tool, count(*) AS distinct_events, count(*) FILTER (n = 1) AS exclusive_events
              FROM (SELECT DISTINCT event, tool FROM v_events) JOIN sets USING (event) GROUP BY tool) USING (tool)""",
         """per_run AS (SELECT tool, tool_label, run_id, instance_id, count(*) AS c, min(elapsed_seconds) AS t FROM first_times GROUP BY ALL),
         per_tool AS (SELECT tool, count(*) AS runs, avg(c) AS mean_events, quantile_cont(CAST(c AS DOUBLE), 0.5) AS median_events,
@@ -225,9 +225,9 @@ def mapped_findings(spark, d):
              round(canary_hits / nullif(canaries * replicates, 0), 9) AS canary_hit_rate, round(distinct_canaries / nullif(canaries, 0), 9) AS canary_coverage
            FROM (SELECT tool, count(DISTINCT run_id || instance_id) AS replicates FROM v_events GROUP BY tool)
            JOIN (SELECT tool, count(DISTINCT entry_id) FILTER (finding_class = 'known_bug') AS known_bugs, count(DISTINCT entry_id) FILTER (finding_class = 'canary') AS canaries FROM v_alias GROUP BY tool) USING (tool)
-           JOIN (SELECT tool, count_if(finding_class = 'known_bug') AS known_bug_hits, count(DISTINCT ident) FILTER (finding_class = 'known_bug') AS distinct_known_bugs,
-             count_if(finding_class = 'canary') AS canary_hits, count(DISTINCT ident) FILTER (finding_class = 'canary') AS distinct_canaries,
-             count_if(finding_class = 'unmapped') AS unmapped_findings, count(DISTINCT ident) FILTER (finding_class = 'unmapped') AS distinct_unmapped FROM finds GROUP BY tool) USING (tool)""",
+           JOIN (SELECT tool, count(*) FILTER (finding_class = 'known_bug') AS known_bug_hits, count(DISTINCT ident) FILTER (finding_class = 'known_bug') AS distinct_known_bugs,
+             count(*) FILTER (finding_class = 'canary') AS canary_hits, count(DISTINCT ident) FILTER (finding_class = 'canary') AS distinct_canaries,
+             count(*) FILTER (finding_class = 'unmapped') AS unmapped_findings, count(DISTINCT ident) FILTER (finding_class = 'unmapped') AS distinct_unmapped FROM finds GROUP BY tool) USING (tool)""",
         _MAPPED,
     ),
 )

@@ -17,7 +17,11 @@ def _hours(spark, d):
 
 
 def _q(col, name):
-    return ", ".join(f"quantile_cont({col}, {q}) AS {name}_p{int(q * 100)}" for q in (0.25, 0.5, 0.75))
+    return ", ".join(f"round(quantile_cont({col}, {q}), 6) AS {name}_p{int(q * 100)}" for q in (0.25, 0.5, 0.75))
+
+
+def _round6(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 @query(
@@ -30,7 +34,7 @@ def _q(col, name):
     ),
 )
 def latest_metrics(spark, d):
-    return O.latest_summary(v_samples(spark, d), _VALUES, "event_id")
+    return _round6(O.latest_summary(v_samples(spark, d), _VALUES, "event_id"))
 
 
 _METRIC_GRID = """mgrid AS (SELECT s.tool, s.run_id, s.instance_id, s.step_no, s.time_hours, c.v FROM
@@ -50,14 +54,14 @@ def metric_grid(spark, d):
     "A13",
     with_views(
         "v_samples",
-        """SELECT tool, step_no, time_hours, count(*) AS n, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75
+        """SELECT tool, step_no, time_hours, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75
            FROM mgrid WHERE v IS NOT NULL GROUP BY ALL""",
         _METRIC_GRID,
     ),
 )
 def metric_bands(spark, d):
     grid = curves.to_grid(_hours(spark, d), curves.REPLICATE, "gas_per_second", HORIZON_HOURS, STEP_MIN, "mean", before=None)
-    return O.metric_bands(grid, "gas_per_second")
+    return _round6(O.metric_bands(grid, "gas_per_second"))
 
 
 @query(
@@ -88,7 +92,7 @@ def coverage_series(spark, d):
              CASE WHEN coalesce(runs_with_signal, 0) = 0 THEN 'unavailable' WHEN t.tool = 'signup' THEN 'end-only'
                WHEN runs_with_signal < expected_runs OR runs_with_series < runs_with_signal OR last_min_hours < 0.9 * 720 THEN 'partial' ELSE 'live' END AS state
            FROM (SELECT tool, count(DISTINCT instance_id) AS expected_runs FROM v_samples GROUP BY tool) t LEFT JOIN
-             (SELECT tool, count(*) AS runs_with_signal, count_if(nt >= 2) AS runs_with_series, CAST(sum(n) AS BIGINT) AS samples, min(a) AS first_min_hours, max(a) AS first_max_hours,
+             (SELECT tool, count(*) AS runs_with_signal, count(*) FILTER (nt >= 2) AS runs_with_series, CAST(sum(n) AS BIGINT) AS samples, min(a) AS first_min_hours, max(a) AS first_max_hours,
                 min(b) AS last_min_hours, max(b) AS last_max_hours FROM (SELECT tool, run_id, instance_id, count(*) AS n, count(DISTINCT elapsed_seconds) AS nt,
                   min(elapsed_seconds / 3600.0) AS a, max(elapsed_seconds / 3600.0) AS b FROM ok GROUP BY ALL) GROUP BY tool) m ON t.tool = m.tool
            LEFT JOIN (SELECT tool, count(DISTINCT source) AS distinct_sources FROM ok GROUP BY tool) s ON t.tool = s.tool""",
