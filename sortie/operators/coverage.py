@@ -204,3 +204,36 @@ def baseline_feature(trials: DataFrame) -> DataFrame:
         .where((F.col("_n") == 2) & (F.col("_b") == 1))
         .select("campaign", "baseline", "feature")
     )
+
+
+def pair_measures(campaign_edges: DataFrame, trials: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per trial of a baseline/feature pair: rarity score and coverage of the baseline.
+
+    One pass over the edges gives both. ``relcov`` is NULL where the baseline
+    has no edges at all.
+    """
+    chosen = pairs.select("campaign", "baseline", "feature")
+    edges = campaign_edges.join(pairs.select("campaign"), "campaign", "left_semi")
+    runs = trials.join(chosen, "campaign")
+    rare = _rare_hits(edges, trials).join(chosen.select("campaign", "baseline"), "campaign")
+    lost = F.array_contains("missed_by", F.col("baseline")).cast("int")
+    rare = rare.groupBy(*TRIAL).agg(
+        F.sum(F.size("missed_by")).alias("_score"), F.sum(lost).alias("_miss")
+    )
+    own = edges.groupBy(*TRIAL).agg(F.count(F.lit(1)).alias("own_edges"))
+    union = (
+        edges.groupBy(*ARM, "edge").agg(F.count(F.lit(1)).alias("_h"))
+        .groupBy("campaign", F.col("approach").alias("baseline")).agg(F.count(F.lit(1)).alias("_ref"))
+    )
+    zero = F.lit(0)
+    return (
+        runs.join(own, list(TRIAL), "left").join(rare, list(TRIAL), "left")
+        .join(union, ["campaign", "baseline"], "left")
+        .select(
+            *TRIAL, "baseline", "feature",
+            (F.col("approach") == F.col("feature")).alias("is_x"),
+            F.coalesce("own_edges", zero).alias("own_edges"),
+            F.coalesce("_score", zero).cast("double").alias("score"),
+            ((F.coalesce("own_edges", zero) - F.coalesce("_miss", zero)) / F.col("_ref")).alias("relcov"),
+        )
+    )

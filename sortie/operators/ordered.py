@@ -9,6 +9,7 @@ equal the plain window.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,9 +114,10 @@ def quantiles(
     """Exact linear-interpolated quantiles per group, plus the row count ``n``.
 
     The built-in exact percentile holds a group's distinct values in one
-    task's heap; this counts values first (map-side combined), runs the count
-    along the value order in segments and picks the two neighbouring ranks.
-    NULL and NaN are left out; a group of only those is absent.
+    task's heap. This counts values first (map-side combined), cuts each group
+    into value segments, finds from the segment totals which segments hold the
+    wanted ranks, and orders only those. NULL and NaN are left out; a group of
+    only those is absent.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -125,19 +127,36 @@ def quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_seg", value_bucket(F.col("_x")))
     )
-    whole = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    ranked = scan(counts, keys, ["_x"], {"_hi": ("sum", F.col("_c"))}, segment="_seg")
-    if keys:
-        ranked = ranked.join(whole, keys)
-    else:
-        ranked = ranked.withColumn("n", whole.scalar())
-
-    picks = []
-    for name, q in points.items():
-        at = F.lit(float(q)) * (F.col("n") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            here = (F.col("_hi") - F.col("_c") <= rank) & (rank < F.col("_hi"))
-            picks.append(F.max(F.when(here, F.col("_x"))).alias(f"_{name}_{side}"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    segments = (
+        counts.groupBy(*keys, "_seg")
+        .agg(F.sum("_c").alias("_held"))
+        .select(
+            *keys,
+            "_seg",
+            "_held",
+            F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_held").over(group).alias("n"),
+        )
+    )
+    ranks = {
+        f"_{name}_{side}": cut(F.lit(float(q)) * (F.col("n") - 1))
+        for name, q in points.items()
+        for side, cut in (("lo", F.floor), ("hi", F.ceil))
+    }
+    wanted = reduce(
+        lambda a, b: a | b,
+        [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_held")) for r in ranks.values()],
+    )
+    inside = Window.partitionBy(*keys, "_seg").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(segments.where(wanted).drop("_held"), [*keys, "_seg"]).withColumn(
+        "_hi", F.col("_before") + F.sum("_c").over(inside)
+    )
+    picks = [
+        F.max(F.when((F.col("_hi") - F.col("_c") <= r) & (r < F.col("_hi")), F.col("_x"))).alias(name)
+        for name, r in ranks.items()
+    ]
     out = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
     def between(name: str, q: float) -> Column:

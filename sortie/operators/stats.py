@@ -94,11 +94,16 @@ def rank_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, alternat
     )
 
 
-def directed_rank_test(sums: DataFrame) -> DataFrame:
-    """One-sided in the direction of the means; equal means give (0, 1)."""
+def directed_rank_test(sums: DataFrame, forced: Column | None = None) -> DataFrame:
+    """One-sided in the direction of the means; equal means give (0, 1).
+
+    Rows where ``forced`` holds are tested for "greater" whatever their means.
+    """
     direction = F.when(F.col("mean_x") > F.col("mean_y"), "greater").when(
         F.col("mean_x") < F.col("mean_y"), "less"
     )
+    if forced is not None:
+        direction = F.when(forced, "greater").otherwise(direction)
     ready = sums.withColumn("direction", direction)
     p = rank_p("u", "n1", "n2", "ties", F.coalesce("direction", F.lit("greater")))
     return ready.select(
@@ -166,9 +171,11 @@ def signed_p(w_plus: pd.Series, n: pd.Series, ties: pd.Series, alternative: pd.S
     )
 
 
-def directed_signed_test(sums: DataFrame) -> DataFrame:
+def directed_signed_test(sums: DataFrame, forced: Column | None = None) -> DataFrame:
     """One-sided in the direction of the mean difference; no direction gives (0, 1)."""
     direction = F.when(F.col("mean_diff") > 0, "greater").when(F.col("mean_diff") < 0, "less")
+    if forced is not None:
+        direction = F.when(forced, "greater").otherwise(direction)
     ready = sums.withColumn("direction", direction)
     p = signed_p("w_plus", "n", "ties", F.coalesce("direction", F.lit("greater")))
     return ready.select(

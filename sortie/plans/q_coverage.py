@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import coverage as C
 from ..operators import curves, stats, verdicts
 from ..operators.scoreboard import scoreboard
+from ..session import stage
 from .registry import query
 from .views import HORIZON_HOURS, STEP_MIN, table, v_edges, v_events, with_views
 
@@ -16,6 +17,21 @@ def _ce(spark, d):
     return C.campaigns(v_edges(spark, d))
 
 
+def _measures(spark, d):
+    ce = _pair_edges(spark, d)
+    trials = C.trials_of(ce)
+    return C.pair_measures(ce, trials, C.baseline_feature(trials))
+
+
+def _matched(rows, value):
+    """Trials present on both sides: x from the feature, y from the baseline."""
+    x = F.col("is_x")
+    wide = rows.groupBy("campaign", "trial_id").agg(
+        F.max(F.when(x, F.col(value))).alias("x"), F.max(F.when(~x, F.col(value))).alias("y")
+    )
+    return wide.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
 def _pair_edges(spark, d):
     """Baseline and feature only: the shape of a build-against-build comparison."""
     return C.campaigns(v_edges(spark, d).where(F.col("approach").isin("main", "feature")))
@@ -124,9 +140,8 @@ _PAIRED = """m AS (SELECT x.campaign, x.trial_id, x.score AS x, y.score AS y FRO
     ),
 )
 def paired_trials(spark, d):
-    ce = _pair_edges(spark, d)
-    sides = verdicts._sides(C.trial_scores(ce), C.baseline_feature(C.trials_of(ce)), "score")
-    pairs = verdicts._matched(sides).groupBy("campaign").agg(F.count(F.lit(1)).alias("pairs"))
+    sides = _measures(spark, d)
+    pairs = _matched(sides, "score").groupBy("campaign").agg(F.count(F.lit(1)).alias("pairs"))
     seeds = sides.where(F.col("trial_id").startswith("seed-")).groupBy("campaign").agg(
         F.least(F.count_if("is_x"), F.count_if(~F.col("is_x"))).alias("expected")
     )
@@ -151,9 +166,8 @@ def _rank_sql(src: str) -> str:
     ),
 )
 def rank_sums(spark, d):
-    ce = _pair_edges(spark, d)
-    sides = verdicts._sides(C.trial_scores(ce), C.baseline_feature(C.trials_of(ce)), "score")
-    sums = stats.rank_sums(sides, ["campaign"], F.col("v"), F.col("is_x"))
+    sides = _measures(spark, d)
+    sums = stats.rank_sums(sides, ["campaign"], F.col("score"), F.col("is_x"))
     return sums.select(
         "campaign", "n1", "n2", "u", "ties", F.round("mean_x", 6).alias("mean_x"), F.round("mean_y", 6).alias("mean_y"),
         F.round(stats.a12(), 9).alias("a12"),
@@ -162,9 +176,8 @@ def rank_sums(spark, d):
 
 @query("X3")
 def directed_rank_tests(spark, d):
-    ce = _pair_edges(spark, d)
-    sides = verdicts._sides(C.trial_scores(ce), C.baseline_feature(C.trials_of(ce)), "score")
-    return stats.directed_rank_test(stats.rank_sums(sides, ["campaign"], F.col("v"), F.col("is_x")))
+    sides = _measures(spark, d)
+    return stats.directed_rank_test(stats.rank_sums(sides, ["campaign"], F.col("score"), F.col("is_x")))
 
 
 @query(
@@ -178,17 +191,15 @@ def directed_rank_tests(spark, d):
     ),
 )
 def signed_rank_sums(spark, d):
-    ce = _pair_edges(spark, d)
-    sides = verdicts._sides(C.trial_scores(ce), C.baseline_feature(C.trials_of(ce)), "score")
-    sums = stats.signed_sums(verdicts._matched(sides), ["campaign"], F.col("x") - F.col("y"))
+    sides = _measures(spark, d)
+    sums = stats.signed_sums(_matched(sides, "score"), ["campaign"], F.col("x") - F.col("y"))
     return sums.withColumn("mean_diff", F.round("mean_diff", 6))
 
 
 @query("X4")
 def directed_signed_tests(spark, d):
-    ce = _pair_edges(spark, d)
-    sides = verdicts._sides(C.trial_scores(ce), C.baseline_feature(C.trials_of(ce)), "score")
-    return stats.directed_signed_test(stats.signed_sums(verdicts._matched(sides), ["campaign"], F.col("x") - F.col("y")))
+    sides = _measures(spark, d)
+    return stats.directed_signed_test(stats.signed_sums(_matched(sides, "score"), ["campaign"], F.col("x") - F.col("y")))
 
 
 _SHIFT = _PAIR + ", " + _cov_sql("pe", "c") + """, s AS (SELECT campaign, approach = 'feature' AS is_x,
@@ -197,28 +208,18 @@ _SHIFT = _PAIR + ", " + _cov_sql("pe", "c") + """, s AS (SELECT campaign, approa
 
 @query("X5", with_views("campaign_edges", "SELECT campaign, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, u FROM rk", _SHIFT))
 def noninferiority_ranks(spark, d):
-    ce = _pair_edges(spark, d)
-    pairs = C.baseline_feature(C.trials_of(ce))
-    cov = C.relcov_samples(ce, references=pairs.select("campaign", F.col("baseline").alias("reference")))
-    sides = verdicts._sides(cov, pairs, "relcov")
-    return stats.noninferiority_rank_test(sides, ["campaign"], F.col("v"), F.col("is_x")).select("campaign", "n1", "n2", F.col("statistic").alias("u"))
-
-
-def _retention(spark, d):
-    ce = _pair_edges(spark, d)
-    pairs = C.baseline_feature(C.trials_of(ce))
-    cov = C.relcov_samples(ce, references=pairs.select("campaign", F.col("baseline").alias("reference")))
-    return verdicts._sides(cov, pairs, "relcov")
+    sides = _measures(spark, d)
+    return stats.noninferiority_rank_test(sides, ["campaign"], F.col("relcov"), F.col("is_x")).select("campaign", "n1", "n2", F.col("statistic").alias("u"))
 
 
 @query("X7")
 def retention_intervals(spark, d):
-    return stats.bca_ci(_retention(spark, d), ["campaign"], F.col("v"), F.col("is_x"))
+    return stats.bca_ci(_measures(spark, d), ["campaign"], F.col("relcov"), F.col("is_x"))
 
 
 @query("X6 X5")
 def paired_retention_intervals(spark, d):
-    both = verdicts._matched(_retention(spark, d))
+    both = _matched(_measures(spark, d), "relcov")
     diff = F.col("x") - F.col("y")
     test = stats.noninferiority_signed_test(both, ["campaign"], diff).select("campaign", "n", "statistic", "p_value")
     return stats.bca_ci(both, ["campaign"], diff).join(test, "campaign", "left")
@@ -250,7 +251,7 @@ def differential_chart_rows(spark, d):
 
 def _finals(spark, d):
     curve = curves.cumulative(v_events(spark, d))
-    grid = curves.to_grid(curve, curves.REPLICATE, "found", HORIZON_HOURS, STEP_MIN)
+    grid = stage(curves.to_grid(curve, curves.REPLICATE, "found", HORIZON_HOURS, STEP_MIN), "grid")
     order = curves.tool_order(curves.overall(curves.bands(grid), HORIZON_HOURS, STEP_MIN))
     last = curves.grid_size(HORIZON_HOURS, STEP_MIN) - 1
     return grid.where(F.col("step_no") == last).select("tool", "found"), order.select("tool", "position")
