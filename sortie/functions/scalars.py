@@ -192,12 +192,8 @@ def pick_metric(metrics: Col, keys: Sequence[str]) -> Column:
 
 def first_number(line: Col, patterns: Sequence[str], group: int = 1) -> Column:
     """Value of the first pattern that matches and holds a finite number."""
-    return F.coalesce(
-        *[
-            finite(blank_to_null(F.regexp_extract(_c(line), p, group)).try_cast("double"))
-            for p in patterns
-        ]
-    )
+    found = [blank_to_null(F.regexp_extract(_c(line), p, group)).try_cast("double") for p in patterns]
+    return F.coalesce(*[F.nullif(v, F.lit(float("inf"))) for v in found])
 
 
 def nonnegative(value: Col) -> Column:

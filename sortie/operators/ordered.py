@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KINDS = ("first", "last", "prev", "sum", "max", "min")
+KINDS = ("first", "last", "prev", "sum", "max", "min", "prior_max")
 
 
 def scan(
@@ -28,11 +28,13 @@ def scan(
 
     ``first``/``last`` carry the first/latest non-null value up to this row,
     ``prev`` the latest non-null value strictly before it, ``sum``/``max``/
-    ``min`` run up to this row (NULL adds nothing). ``segment`` names a
+    ``min`` run up to this row and ``prior_max`` strictly before it (NULL adds
+    nothing). ``segment`` names a
     column that never decreases along ``order``; keys must not be NULL. Without
     it the group is one window: only for groups with a known row bound.
     """
     keys = list(keys)
+    folds = {"sum": F.sum, "max": F.max, "min": F.min, "prior_max": F.max}
     for name, (kind, value) in carries.items():
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind}")
@@ -50,6 +52,8 @@ def scan(
             return F.last(v, ignorenulls=True).over(upto)
         if kind == "prev":
             return F.last(v, ignorenulls=True).over(before)
+        if kind == "prior_max":
+            return F.max(v).over(before)
         return {"sum": F.sum, "max": F.max, "min": F.min}[kind](v).over(upto)
 
     inside = df.select("*", *[local(n, k).alias(n) for n, (k, _) in carries.items()])
@@ -65,7 +69,7 @@ def scan(
             return F.min_by(v, at)
         if kind in ("last", "prev"):
             return F.max_by(v, at)
-        return {"sum": F.sum, "max": F.max, "min": F.min}[kind](v)
+        return folds[kind](v)
 
     totals = df.groupBy(*keys, segment).agg(
         *[total(n, k).alias(f"_t_{n}") for n, (k, _) in carries.items()]
@@ -80,7 +84,7 @@ def scan(
             return F.first(t, ignorenulls=True).over(earlier)
         if kind in ("last", "prev"):
             return F.last(t, ignorenulls=True).over(earlier)
-        return {"sum": F.sum, "max": F.max, "min": F.min}[kind](t).over(earlier)
+        return folds[kind](t).over(earlier)
 
     carried = totals.select(
         *keys, segment, *[prefix(n, k).alias(f"_p_{n}") for n, (k, _) in carries.items()]
@@ -94,7 +98,7 @@ def scan(
             return F.coalesce(here, there)
         if kind == "sum":
             return F.coalesce(here + there, here, there)
-        return {"max": F.greatest, "min": F.least}[kind](here, there)
+        return F.least(here, there) if kind == "min" else F.greatest(here, there)
 
     joined = inside.join(carried, [*keys, segment])
     extra = [f"_v_{n}" for n in carries] + [f"_p_{n}" for n in carries] + list(carries)
@@ -102,6 +106,17 @@ def scan(
     return joined.select(*kept, *[combined(n, k).alias(n) for n, (k, _) in carries.items()])
 
 
+def keep_signals(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows that carry at least one of the value columns.
+
+    The test runs on finished values behind a generator: as a plain filter it
+    would be pushed below the projection and every pattern matched twice.
+    """
+    row = F.struct(*[F.col(v) for v in values])
+    found = lambda r: ~reduce(lambda a, b: a & b, [r[v].isNull() for v in values])
+    return df.select(*keys, F.inline(F.filter(F.array(row), found)))
+
+
 def value_bucket(value: Column) -> Column:
     """A BIGINT that never decreases as the DOUBLE value grows: about 64 per doubling."""
     v = value.cast("double")
