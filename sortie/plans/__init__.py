@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from . import q_coverage, q_curves, q_findings, q_logs, q_samples, q_scalars  # noqa: F401
+from . import q_coverage, q_curves, q_findings, q_logs, q_runs, q_samples, q_scalars, q_selectors  # noqa: F401
 from .registry import ENTRIES  # noqa: F401
