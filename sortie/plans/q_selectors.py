@@ -191,7 +191,7 @@ def selector_health(spark, d):
 
 
 def _corpus(spark, d):
-    """A corpus file per conversation, in the four engines' formats by conversation number."""
+    """A corpus file per conversation turn, in the four engines' formats by conversation number."""
     conv = table(spark, d, "conversations").withColumn("h", F.md5("text"))
     name = F.concat(F.lit("f_"), F.substring("h", 1, 2))
     tagged = F.concat(F.lit('{"call": {"tag": "SolCall", "contents": ["'), name, F.lit('", [{"tag": "AbiUInt", "contents": [256, "7"]}, {"tag": "AbiAddress", "contents": "0x1"}]]}}'))
@@ -203,11 +203,11 @@ def _corpus(spark, d):
     item = F.when(m == 0, tagged).when(m == 1, mapped).when(m == 2, medusa).otherwise(foundry)
     engines = F.array(*[F.lit(e) for e in ("echidna", "recon-fuzzer", "medusa", "foundry")])
     engine = F.get(engines, m.cast("int"))
-    files = conv.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda s: s["i"]), ",").alias("_items"))
-    return files.select(
+    return conv.select(
         F.lit("r1").alias("run_id"), F.concat(F.lit("i-0"), (F.col("conv_id") % 8).cast("string"), F.lit("-"), engine).alias("instance_label"),
-        engine.alias("engine"), engine.alias("tool"), engine.alias("tool_label"), F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("path"),
-        F.octet_length("_items").cast("bigint").alias("bytes"), F.concat(F.lit("["), "_items", F.lit("]")).alias("content"),
+        engine.alias("engine"), engine.alias("tool"), engine.alias("tool_label"),
+        F.concat_ws("/", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 9, "0")).alias("path"),
+        F.octet_length(item).cast("bigint").alias("bytes"), F.concat(F.lit("["), item, F.lit("]")).alias("content"),
     )
 
 
