@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import cost as C
 from ..operators import quality as Q
 from ..operators import runs as R
-from ..sources import manifest, tables
+from ..sources import coverage_maps, manifest, tables
 from .registry import query
-from .views import base_events, table, v_cost, v_runs, with_views
+from .views import base_events, table, v_alias, v_cost, v_runs, with_views
 
 NOW = 946_684_800  # 2000-01-01
 MID = 897_868_800  # 1998-06-15
@@ -496,3 +496,81 @@ def sample_table(spark, d):
         F.when(F.col("k") % 3 == 0, " ").otherwise(F.col("k").cast("string")).alias("rate"),
     )
     return tables.metric_samples(raw, ["rate"], ["rate"])
+
+
+@query(
+    "S3",
+    with_views("b_events", "SELECT 'r' || user_id AS run_id, 'unknown' AS instance_id, event_type AS tool, event_type AS tool_label, event, value AS elapsed_seconds, '' AS source, 'log' AS log_path FROM b_events"),
+)
+def strict_events(spark, d):
+    raw = base_events(spark, d).select(
+        F.concat(F.lit(" r"), F.col("user_id").cast("string")).alias("run_id"), F.lit("").alias("instance_id"), F.col("event_type").alias("fuzzer"),
+        "event", F.col("value").cast("string").alias("elapsed_seconds"), F.lit(" log ").alias("log_path"),
+    )
+    return tables.events_strict(raw)
+
+
+def _map_lines(spark, d):
+    """A coverage map per (user, tool, suite): some with a bad line, some with nothing covered."""
+    u, k = F.col("user_id"), F.col("k")
+    label = F.concat(F.lit("i-"), F.lower(F.hex("user_id")), F.lit("-eng__target-t"), (u % 3).cast("string"), F.lit("__seed-"), u.cast("string"))
+    folder = F.concat(F.col("event_type"), F.lit("__s"), (F.col("event_id") % 2).cast("string"))
+    count = F.when(u % 10 == 3, 0).when(k % 7 == 0, 0).otherwise(k + 1).cast("string")
+    line = F.when((u % 10 == 4) & (k % 2 == 0), F.col("event")).otherwise(F.concat(F.lit(" "), F.col("event"), F.lit(": "), count))
+    path = F.concat_ws("/", label, F.lit("out/showmap"), folder, F.lit("trial.txt"))
+    return base_events(spark, d).select(path.alias("path"), line.alias("line"))
+
+
+_MAPS = """ml AS (SELECT user_id AS u, k, event, event_type, event_id % 2 AS s, CASE WHEN user_id % 10 = 3 OR k % 7 = 0 THEN 0 ELSE k + 1 END AS c, user_id % 10 = 4 AND k % 2 = 0 AS bad FROM b_events),
+  mj AS (SELECT u, event_type, s, CASE WHEN bool_or(bad) THEN 'malformed line' WHEN NOT bool_or(c > 0 AND NOT bad) THEN 'empty coverage' END AS reason FROM ml GROUP BY ALL)"""
+
+
+@query(
+    "S5 P17 P18 P19",
+    with_views(
+        "b_events",
+        """SELECT DISTINCT 'i-' || lower(to_hex(u)) AS instance_id, 'eng' AS tool_label, 't' || (u % 3) AS target_label, CAST(u AS VARCHAR) AS seed_label, event_type AS approach, 's' || s AS suite_test,
+             'seed-' || u AS trial_id, event AS edge FROM ml JOIN mj USING (u, event_type, s) WHERE reason IS NULL AND c > 0""",
+        _MAPS,
+    ),
+)
+def coverage_map_edges(spark, d):
+    return coverage_maps.judge_maps(_map_lines(spark, d))[1].drop("instance_label", "path")
+
+
+@query(
+    "S5",
+    with_views("b_events", "SELECT reason, count(*) AS files FROM mj WHERE reason IS NOT NULL AND event_type <> 'view' GROUP BY reason", _MAPS),
+)
+def coverage_map_rejects(spark, d):
+    rejects = coverage_maps.judge_maps(_map_lines(spark, d), exclude=["VIEW"])[2]
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("S8", with_views("v_alias", "SELECT 'target-' || tool AS target_id, tool, event, finding_class, entry_id FROM v_alias"))
+def catalog_aliases(spark, d):
+    """A catalog document per alias row, read back through the catalog schema."""
+    known = F.col("finding_class") == "known_bug"
+    entry = F.concat(
+        F.lit('{"id": "'), F.col("entry_id"), F.lit('", "title": "t", "evidence": [{"url": "https://x", "description": "d"}], "aliases": [{"event": "'),
+        F.col("event"), F.lit('", "fuzzers": ["'), F.col("tool"), F.lit('"]}]}'),
+    )
+    doc = F.concat(
+        F.lit('{"schema_version": 1, "targets": [{"target_id": "target-'), F.col("tool"), F.lit('", "canaries": ['), F.when(known, "").otherwise(entry),
+        F.lit('], "known_bugs": ['), F.when(known, entry).otherwise(""), F.lit("]}]}"),
+    )
+    docs = v_alias(spark, d).select(F.from_json(doc, tables.CATALOG_SCHEMA).alias("d")).select("d.*")
+    return tables.flatten_catalog(docs)["aliases"].select(
+        "target_id", "tool", "event", F.col("class").alias("finding_class"), F.col("id").alias("entry_id")
+    )
+
+
+@query(
+    "S10",
+    """SELECT instance_label, path, CASE WHEN path = min(path) OVER (PARTITION BY instance_label, base) OR NOT contains(path, '/') THEN base ELSE replace(regexp_replace(path, '/[^/]*$', ''), '/', '__') || '__' || base END AS name
+       FROM (SELECT source AS instance_label, lang || '/' || doc_id || '/f' || (doc_id % 50) || '.csv' AS path, 'f' || (doc_id % 50) || '.csv' AS base FROM documents)""",
+)
+def gathered_files(spark, d):
+    i = F.col("doc_id")
+    path = F.concat_ws("/", "lang", i.cast("string"), F.concat(F.lit("f"), (i % 50).cast("string"), F.lit(".csv")))
+    return manifest.gathered_names(table(spark, d, "documents").select(F.col("source").alias("instance_label"), path.alias("path")))

@@ -14,17 +14,22 @@ from .paths import first_part, relative_path
 def read_edges(
     spark: SparkSession, root: str, exclude: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(trials, edges, rejects).
+    """(trials, edges, rejects) of every map below ``root``."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root)
+    lines = raw.select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("line"))
+    return judge_maps(lines, exclude)
+
+
+def judge_maps(
+    lines: DataFrame, exclude: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trials, edges, rejects) from map lines (path, line).
 
     A file with a malformed line, without any covered edge, or outside an
     approach folder is rejected as a whole and listed with the reason; only
     positive counts cover. Files are judged by aggregates over their lines.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root)
-        .select(relative_path(F.col("_metadata.file_path"), root).alias("path"), strip("value").alias("line"))
-        .where(F.col("path").rlike(r"(^|/)showmap/"))
-    )
+    raw = lines.select("path", strip("line").alias("line")).where(F.col("path").rlike(r"(^|/)showmap/"))
     inside = F.regexp_extract("path", r"(?:^|.*?/)showmap/(.*)$", 1)
     label = first_part(F.col("path"))
     who = coverage_instance(label)

@@ -31,3 +31,20 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(F.col("_a") != F.col("_b"), "changed")
     )
     return b.join(a, "path", "full").select("path", kind.alias("change")).where(F.col("change").isNotNull())
+
+
+def gathered_names(files: DataFrame) -> DataFrame:
+    """Flat name of each file within its instance: (instance_label, path, name).
+
+    The first path of a name keeps it; others are prefixed by their folders.
+    Readers here use full paths instead, so this only matters for exports.
+    """
+    name = F.substring_index("path", "/", -1)
+    folders = F.regexp_replace(F.regexp_replace("path", r"/[^/]*$", ""), "/", "__")
+    named = files.select("instance_label", "path", name.alias("_name"))
+    owner = named.groupBy("instance_label", "_name").agg(F.min("path").alias("_owner"))
+    return named.join(owner, ["instance_label", "_name"]).select(
+        "instance_label", "path",
+        F.when((F.col("path") == F.col("_owner")) | ~F.col("path").contains("/"), F.col("_name"))
+        .otherwise(F.concat_ws("__", folders, "_name")).alias("name"),
+    )

@@ -165,7 +165,11 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_catalog(spark: SparkSession, path: str) -> Mapping[str, DataFrame]:
     """Flat tables: targets, entries, evidence, aliases (with the order they were written in)."""
-    doc = spark.read.schema(CATALOG_SCHEMA).option("multiLine", "true").json(path)
+    return flatten_catalog(spark.read.schema(CATALOG_SCHEMA).option("multiLine", "true").json(path))
+
+
+def flatten_catalog(doc: DataFrame) -> Mapping[str, DataFrame]:
+    """Flat tables of catalog documents with ``CATALOG_SCHEMA``."""
     targets = doc.select(F.inline("targets"))
 
     def entries_of(field: str, name: str) -> DataFrame:
