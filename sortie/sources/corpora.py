@@ -41,8 +41,8 @@ def read_artifacts(
     by ``selectors.instance_summary``, nothing is cut.
     """
     files = (
-        spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-        .option("pathGlobFilter", "*.{txt,json,gz,TXT,JSON,GZ}").text(root)
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{txt,json,gz,TXT,JSON,GZ}").text(root, wholetext=True)
         .select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("content"))
     )
     label = first_part(F.col("path"))

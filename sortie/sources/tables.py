@@ -215,7 +215,7 @@ MANIFEST_PLACES = ("manifest.json", "benchmark_manifest.json", "../logs/zips/man
 
 def read_run_manifests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Typed core columns plus the original JSON; a file that is no JSON object is skipped."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(
         F.col("_metadata.file_path").alias("path"), F.from_json("value", RUN_MANIFEST_SCHEMA).alias("m"),
         F.try_parse_json("value").alias("v"), F.col("value").alias("raw"),

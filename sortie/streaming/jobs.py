@@ -30,7 +30,7 @@ def complete_prefix(content: Column) -> Column:
 def complete_records(segments: DataFrame) -> DataFrame:
     """(…, content) to one row per complete line, in order."""
     rest = [c for c in segments.columns if c != "content"]
-    whole = F.regexp_replace(complete_prefix(F.col("content")), r"\n$", "")
+    whole = F.regexp_replace(complete_prefix(F.col("content")), r"\n\z", "")
     kept = segments.where(F.col("content").contains("\n"))
     return kept.select(*rest, F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
 
