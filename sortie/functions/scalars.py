@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,27 +17,34 @@ def _c(col: Col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used.
+
+    Written out twice inside a condition, a pattern would be matched twice.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(col: Col) -> Column:
     """Trim every kind of whitespace, not only spaces."""
     return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
 
 
 def blank_to_null(col: Col) -> Column:
-    return F.nullif(_c(col), F.lit(""))
+    return let(_c(col), lambda c: F.when(c != "", c))
 
 
 def to_number(col: Col) -> Column:
     """Text to a finite DOUBLE; anything else is NULL (never NaN or infinity)."""
+    shape = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
     text = strip(_c(col).cast("string"))
-    value = F.when(
-        text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double")
-    )
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    return finite(let(text, lambda t: F.when(t.rlike(shape), t.try_cast("double"))))
 
 
 def finite(col: Col) -> Column:
-    c = _c(col)
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+    return let(
+        _c(col).cast("double"), lambda c: F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+    )
 
 
 # --- time ---------------------------------------------------------------------
@@ -45,25 +52,31 @@ def finite(col: Col) -> Column:
 
 def duration_seconds(text: Col) -> Column:
     """`1h2m3s` style text to seconds: every number-unit pair counts."""
-    c = _c(text)
-    amounts = F.regexp_extract_all(c, F.lit(fixed.DURATION_PART), 1)
-    units = F.regexp_extract_all(c, F.lit(fixed.DURATION_PART), 2)
-    parts = F.zip_with(
-        amounts,
-        units,
-        lambda n, u: n.try_cast("bigint")
-        * F.when(u == "h", F.lit(3600)).when(u == "m", F.lit(60)).otherwise(F.lit(1)),
-    )
-    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.when(F.size(amounts) > 0, total)
+    def total(c: Column) -> Column:
+        amounts = F.regexp_extract_all(c, F.lit(fixed.DURATION_PART), 1)
+        units = F.regexp_extract_all(c, F.lit(fixed.DURATION_PART), 2)
+        parts = F.zip_with(
+            amounts,
+            units,
+            lambda n, u: n.try_cast("bigint")
+            * F.when(u == "h", F.lit(3600)).when(u == "m", F.lit(60)).otherwise(F.lit(1)),
+        )
+        summed = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return F.when(c.rlike(fixed.DURATION_PART), summed)
+
+    return let(_c(text), total)
 
 
 def prefix_epoch(line: Col) -> Column:
     """Epoch seconds of a leading `[YYYY-MM-DD HH:MM:SS.ff]`; NULL when absent or invalid."""
-    stamp = F.regexp_extract(_c(line), fixed.TIMESTAMP_PREFIX, 1)
-    well_formed = stamp.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$")
-    full = F.when(stamp.rlike(r" \d{2}$"), F.concat(stamp, F.lit(":00"))).otherwise(stamp)
-    return F.when(well_formed, F.unix_micros(full.try_cast("timestamp")) / F.lit(1e6))
+    shape = r"^\d{4}-\d{2}-\d{2} \d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$"
+
+    def epoch(stamp: Column) -> Column:
+        full = F.when(stamp.rlike(r" \d{2}$"), F.concat(stamp, F.lit(":00"))).otherwise(stamp)
+        return F.when(stamp.rlike(shape), F.unix_micros(full.try_cast("timestamp")) / F.lit(1e6))
+
+    c = _c(line)
+    return F.when(c.startswith("["), let(F.regexp_extract(c, fixed.TIMESTAMP_PREFIX, 1), epoch))
 
 
 # --- labels and paths ---------------------------------------------------------------
@@ -192,12 +205,12 @@ def pick_metric(metrics: Col, keys: Sequence[str]) -> Column:
 
 def first_number(line: Col, patterns: Sequence[str], group: int = 1) -> Column:
     """Value of the first pattern that matches and holds a finite number."""
-    found = [blank_to_null(F.regexp_extract(_c(line), p, group)).try_cast("double") for p in patterns]
-    return F.coalesce(*[F.nullif(v, F.lit(float("inf"))) for v in found])
+    found = [F.regexp_extract(_c(line), p, group).try_cast("double") for p in patterns]
+    return F.coalesce(*[let(v, lambda x: F.when(x < F.lit(float("inf")), x)) for v in found])
 
 
 def nonnegative(value: Col) -> Column:
-    return F.when(_c(value) >= 0, _c(value))
+    return let(_c(value), lambda v: F.when(v >= 0, v))
 
 
 def coverage_counter(value: Col) -> Column:
@@ -205,38 +218,47 @@ def coverage_counter(value: Col) -> Column:
 
 
 def unit_rate(value: Col) -> Column:
-    return F.when(_c(value).between(0.0, 1.0), _c(value))
+    return let(_c(value), lambda v: F.when((v >= 0.0) & (v <= 1.0), v))
 
 
 def failure_ratio(line: Col, tool: Col) -> Column:
     """`failures: X/Y` as a rate; the tool whose counters are unbounded gets NULL."""
-    current = first_number(line, (fixed.FAILURES_TEXT,), 1)
-    total = first_number(line, (fixed.FAILURES_TEXT,), 2)
-    return F.when((_c(tool) != "medusa") & (total > 0), unit_rate(current / total))
+    pair = F.struct(
+        first_number(line, (fixed.FAILURES_TEXT,), 1).alias("x"),
+        first_number(line, (fixed.FAILURES_TEXT,), 2).alias("y"),
+    )
+    ratio = let(pair, lambda p: F.when(p["y"] > 0, unit_rate(p["x"] / p["y"])))
+    return F.when(_c(tool) != "medusa", ratio)
 
 
 def coverage_from_payload(metrics: Col, tool: Col) -> Column:
     """struct(value, signal): only counters that belong to this tool."""
+
+    def labelled(keys: Sequence[str]) -> Callable[[Column], Column]:
+        signal = F.array(*[F.lit(k) for k in keys])
+        return lambda e: F.when(
+            coverage_counter(e["value"]).isNotNull(),
+            F.struct(
+                e["value"].alias("value"),
+                F.get(signal, F.pmod(e["rank"], F.lit(len(keys)))).alias("signal"),
+            ),
+        )
+
     out = None
     for name, keys in fixed.COVERAGE_KEYS.items():
-        entry = pick_entry(metrics, keys)
-        signal = F.get(F.array(*[F.lit(k) for k in keys]), F.pmod(entry["rank"], F.lit(len(keys))))
-        found = F.when(
-            coverage_counter(entry["value"]).isNotNull(),
-            F.struct(entry["value"].alias("value"), signal.alias("signal")),
-        )
+        found = let(pick_entry(metrics, keys), labelled(keys))
         hit = _c(tool) == name
         out = F.when(hit, found) if out is None else out.when(hit, found)
     return out
 
 
 def coverage_from_text(line: Col, tool: Col) -> Column:
+    def labelled(signal: str) -> Callable[[Column], Column]:
+        return lambda v: F.when(v >= 0, F.struct(v.alias("value"), F.lit(signal).alias("signal")))
+
     out = None
     for name, (signal, pattern) in fixed.COVERAGE_TEXT.items():
-        value = coverage_counter(first_number(line, (pattern,)))
-        found = F.when(
-            value.isNotNull(), F.struct(value.alias("value"), F.lit(signal).alias("signal"))
-        )
+        found = let(first_number(line, (pattern,)), labelled(signal))
         hit = _c(tool) == name
         out = F.when(hit, found) if out is None else out.when(hit, found)
     return out
@@ -277,20 +299,16 @@ def bang_event(line: Col) -> Column:
 
 def failure_name(value: Col) -> Column:
     """`Contract:function` keeps the function; other names stay as they are."""
-    name = strip(value)
-    parts = F.split(name, ":", -1)
-    head, tail = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    return blank_to_null(
-        F.when((F.size(parts) == 2) & (head != "") & (tail != ""), strip(tail)).otherwise(name)
-    )
+    def pick(name: Column) -> Column:
+        return F.when(name.rlike(r"^[^:]+:[^:]+$"), strip(F.substring_index(name, ":", -1))).otherwise(name)
+
+    return blank_to_null(let(strip(value), pick))
 
 
 def canonical_event(value: Col) -> Column:
     """Name of a finding that is comparable across tools."""
     name = strip(F.coalesce(_c(value), F.lit("")))
-    name = F.when(
-        name.rlike(fixed.QUALIFIED_EVENT), F.regexp_extract(name, fixed.QUALIFIED_EVENT, 1)
-    ).otherwise(name)
+    name = F.regexp_replace(name, fixed.QUALIFIED_EVENT, "$1")
     name = F.regexp_replace(name, fixed.TRAILING_PARAMS, "")
     name = F.regexp_replace(name, "^" + fixed.ASSERTION_WRAPPER, "")
     return strip(F.regexp_replace(name, fixed.ASSERTION_SUFFIX, ""))
@@ -300,14 +318,16 @@ def canonical_event(value: Col) -> Column:
 
 
 def canonical_signature(value: Col) -> Column:
-    text = strip(value)
-    name = F.regexp_extract(text, fixed.SIGNATURE, 1)
-    args = F.regexp_extract(text, fixed.SIGNATURE, 2)
-    args = F.regexp_replace(args, r"\baddress\s+payable\b", "address")
-    args = F.regexp_replace(args, r"\s+", "")
-    for short, full in (("uint", "uint256"), ("int", "int256"), ("byte", "bytes1")):
-        args = F.regexp_replace(args, rf"\b{short}(?=(?:\[|,|\)|$))", full)
-    return F.when(text.rlike(fixed.SIGNATURE), F.concat(name, F.lit("("), args, F.lit(")")))
+    def rebuild(text: Column) -> Column:
+        args = F.regexp_extract(text, fixed.SIGNATURE, 2)
+        args = F.regexp_replace(args, r"\baddress\s+payable\b", "address")
+        args = F.regexp_replace(args, r"\s+", "")
+        for short, full in (("uint", "uint256"), ("int", "int256"), ("byte", "bytes1")):
+            args = F.regexp_replace(args, rf"\b{short}(?=(?:\[|,|\)|$))", full)
+        name = F.regexp_extract(text, fixed.SIGNATURE, 1)
+        return F.when(text.rlike(fixed.SIGNATURE), F.concat(name, F.lit("("), args, F.lit(")")))
+
+    return let(strip(value), rebuild)
 
 
 def signature_name(signature: Col) -> Column:
@@ -315,15 +335,14 @@ def signature_name(signature: Col) -> Column:
 
 
 def selector_from_calldata(value: Col) -> Column:
-    text = strip(value)
-    return F.when(
-        text.rlike(fixed.CALLDATA) & (F.length(text) >= 10), F.lower(F.substring(text, 1, 10))
+    return let(
+        strip(value),
+        lambda t: F.when(t.rlike(fixed.CALLDATA) & (F.length(t) >= 10), F.lower(F.substring(t, 1, 10))),
     )
 
 
 def canonical_selector(value: Col) -> Column:
-    text = F.lower(strip(value))
-    return F.when(text.rlike(fixed.SELECTOR), text)
+    return let(F.lower(strip(value)), lambda t: F.when(t.rlike(fixed.SELECTOR), t))
 
 
 # --- rules on tables ---------------------------------------------------------------------

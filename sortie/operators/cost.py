@@ -42,14 +42,13 @@ def month_totals(ledger: DataFrame, today: dt.date | None = None, months: int |
         return rows.withColumn("tax", F.coalesce("tax", F.lit(0)))
     current = dt.date(today.year, today.month, 1)
     first = add_months(current, -(months or 12))
-    spark = ledger.sparkSession
-    calendar = spark.range(1).select(F.lit(current).alias("month"))
     kept = rows.where((F.col("month") >= F.lit(first)) & (F.col("month") <= F.lit(current)))
-    out = kept.join(calendar, "month", "full")
-    zero = F.lit(0)
-    return out.select(
-        "month", F.coalesce("total", zero).alias("total"), F.coalesce("tax", zero).alias("tax"),
-        (F.col("month") == F.lit(current)).alias("estimated"),
+    nothing = F.lit(0).cast(kept.schema["total"].dataType)
+    empty = ledger.sparkSession.range(1).select(F.lit(current).alias("month"), nothing.alias("total"), nothing.alias("tax"))
+    return (
+        kept.unionByName(empty).groupBy("month")
+        .agg(F.sum("total").alias("total"), F.coalesce(F.sum("tax"), F.lit(0)).alias("tax"))
+        .withColumn("estimated", F.col("month") == F.lit(current))
     )
 
 

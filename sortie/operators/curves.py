@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import not_excluded
+from ..session import stage
 from .ordered import scan
 
 REPLICATE = ("tool", "run_id", "instance_id")
@@ -267,10 +268,8 @@ def overall(
         ).alias("_mid"),
         *[F.max(F.when(final, F.col(p))).alias(f"_final_{p}") for p in ("p25", "p50", "p75")],
     )
-    peak = per_tool.groupBy(*scope).agg(F.max("_top").alias("_peak"))
-    scored = (
-        per_tool.join(peak, list(scope)) if scope else per_tool.withColumn("_peak", peak.scalar())
-    )
+    everyone = Window.partitionBy(*(scope or [F.lit(1)]))  # one row per tool by now
+    scored = per_tool.withColumn("_peak", F.max("_top").over(everyone))
     last = F.col("_final_p50")
     return scored.select(
         *keys,
@@ -324,7 +323,7 @@ def scorecard(
 ) -> DataFrame:
     """Flagship: how fast does each tool accumulate findings? Best tools first."""
     curve = cumulative(events, inventory)
-    grid = to_grid(curve, REPLICATE, "found", budget_hours, step_min)
+    grid = stage(to_grid(curve, REPLICATE, "found", budget_hours, step_min), "grid")
     band = bands(grid)
     reach = milestones(grid, ks)
     cols = [

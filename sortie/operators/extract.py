@@ -16,6 +16,7 @@ from ..functions.scalars import (
     blank_to_null,
     duration_seconds,
     failure_name,
+    let,
     prefix_epoch,
     strip,
     strip_colour,
@@ -30,7 +31,10 @@ EVENT_COLUMNS = ("run_id", "instance_id", "tool", "tool_label", "event", "elapse
 
 
 def elapsed_text(line: Column) -> Column:
-    return duration_seconds(F.regexp_extract(line, fixed.ELAPSED_TEXT, 1))
+    """Seconds of an `elapsed:` clock in the line."""
+    return F.when(
+        line.contains("elapsed:"), duration_seconds(F.regexp_extract(line, fixed.ELAPSED_TEXT, 1))
+    )
 
 
 def _group(line: Column, pattern: str) -> Column:
@@ -38,7 +42,9 @@ def _group(line: Column, pattern: str) -> Column:
 
 
 def _hit(name: Column, source: str) -> Column:
-    return F.when(name.isNotNull(), F.struct(name.alias("name"), F.lit(source).alias("source")))
+    return let(
+        name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), F.lit(source).alias("source")))
+    )
 
 
 def _is_panic(line: Column) -> Column:

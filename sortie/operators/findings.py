@@ -70,9 +70,11 @@ def tool_summary(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return plain.join(medians, keys).join(sets, keys)
 
 
-def _dimension(sizes: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Give a tool-sized table an equality key to pair it with itself."""
-    return (sizes, list(scope)) if scope else (sizes.withColumn("_all", F.lit(1)), ["_all"])
+def peers(table: DataFrame, columns: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Each row of a one-row-per-tool table next to every row of its scope, as column ``peer``."""
+    everyone = Window.partitionBy(*(scope or [F.lit(1)]))
+    listed = table.withColumn("_peers", F.collect_list(F.struct(*columns)).over(everyone))
+    return listed.withColumn("peer", F.explode("_peers")).drop("_peers")
 
 
 def jaccard(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -89,9 +91,11 @@ def jaccard(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         .groupBy(*scope, "tool", "other")
         .agg(F.sum("n").alias("shared"))
     )
-    left, on = _dimension(sizes, scope)
-    right = left.select(*on, F.col("tool").alias("other"), F.col("size").alias("other_size"))
-    both = left.join(right, on).join(shared, [*scope, "tool", "other"], "left")
+    both = (
+        peers(sizes, ["tool", "size"], scope)
+        .select(*scope, "tool", "size", F.col("peer.tool").alias("other"), F.col("peer.size").alias("other_size"))
+        .join(shared, [*scope, "tool", "other"], "left")
+    )
     n = F.coalesce(F.col("shared"), F.lit(0))
     union = F.col("size") + F.col("other_size") - n
     return both.select(

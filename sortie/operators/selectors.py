@@ -265,14 +265,23 @@ def peer_expected(counts: DataFrame, instances: DataFrame, scope: Sequence[str]
 
 
 def missing_expected(expected: DataFrame, counts: DataFrame, instances: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Expected selectors an instance did not call; only instances that can be compared."""
+    """Expected selectors an instance did not call; only instances that can be compared.
+
+    The expected set has at most one selector per function of the code under
+    test, so it travels as one array per scope.
+    """
+    listed = expected.select(*scope, "selector").distinct()
     comparable = instances.where(F.col("status").isin("available", "partial", "observed_zero")).select(*scope, "instance_label")
-    on = list(scope)
-    if not on:
-        comparable, expected, on = comparable.withColumn("_all", F.lit(1)), expected.withColumn("_all", F.lit(1)), ["_all"]
-    wanted = comparable.join(expected.select(*on, "selector"), on)
-    seen = counts.where(F.col("selector").isNotNull()).select(*scope, "instance_label", "selector").distinct()
-    return wanted.join(seen, [*scope, "instance_label", "selector"], "left_anti").select(*scope, "instance_label", "selector")
+    seen = (
+        counts.where(F.col("selector").isNotNull()).select(*scope, "instance_label", "selector").distinct()
+        .join(listed, [*scope, "selector"], "left_semi")
+        .groupBy(*scope, "instance_label").agg(F.collect_list("selector").alias("_seen"))
+    )
+    wanted = listed.groupBy(*scope).agg(F.collect_list("selector").alias("_want"))
+    rows = comparable.join(wanted, list(scope)) if scope else comparable.withColumn("_want", wanted.scalar())
+    rows = rows.join(seen, [*scope, "instance_label"], "left")
+    gap = F.array_except("_want", F.coalesce("_seen", F.array().cast("array<string>")))
+    return rows.select(*scope, "instance_label", F.explode(gap).alias("selector"))
 
 
 def health(instances: DataFrame, missing: DataFrame, explicit: bool = False) -> DataFrame:

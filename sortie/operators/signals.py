@@ -84,13 +84,20 @@ def _changes_only(rows: DataFrame, values: Sequence[str]) -> DataFrame:
 def throughput_samples(lines: DataFrame) -> DataFrame:
     """Call and gas rates: reported, from JSON totals, or from the change of text counters."""
     m, text = F.col("_metrics"), F.col("_text")
+    # every pattern needs one of these words; most lines have none, and this scan is cheap
+    calls = F.when(text.rlike("(?i)tx|call|transaction"), text)
+    gas_text = F.when(text.rlike("(?i)gas"), text)
+
+    def metric(keys: Sequence[str], line: Column, patterns: Sequence[str]) -> Column:
+        return nonnegative(F.coalesce(pick_metric(m, keys), first_number(line, patterns)))
+
     rows = _clocked(
         lines,
         {
-            "tx_rate": nonnegative(F.coalesce(pick_metric(m, fixed.TX_RATE_KEYS), first_number(text, fixed.TX_RATE_TEXT))),
-            "gas_rate": nonnegative(F.coalesce(pick_metric(m, fixed.GAS_RATE_KEYS), first_number(text, fixed.GAS_RATE_TEXT))),
-            "tx_count": nonnegative(F.coalesce(pick_metric(m, fixed.TX_COUNT_KEYS), first_number(text, fixed.TX_COUNT_TEXT))),
-            "gas_count": nonnegative(F.coalesce(pick_metric(m, fixed.GAS_COUNT_KEYS), first_number(text, fixed.GAS_COUNT_TEXT))),
+            "tx_rate": metric(fixed.TX_RATE_KEYS, calls, fixed.TX_RATE_TEXT),
+            "gas_rate": metric(fixed.GAS_RATE_KEYS, gas_text, fixed.GAS_RATE_TEXT),
+            "tx_count": metric(fixed.TX_COUNT_KEYS, text, fixed.TX_COUNT_TEXT),
+            "gas_count": metric(fixed.GAS_COUNT_KEYS, gas_text, fixed.GAS_COUNT_TEXT),
         },
     )
     t = F.col("elapsed_seconds")

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.scalars import effect_class
+from .findings import peers
 from .ordered import quantiles, scan, value_bucket
 
 NORMAL = NormalDist()
@@ -214,10 +215,13 @@ def pairwise_rank_tests(
     """
     counts = finals.groupBy("tool", "found").agg(F.count(F.lit(1)).alias("_c"))
     medians = quantiles(finals, ["tool"], "found", {"median": 0.5})
-    dim = order.select("tool", "position").join(medians, "tool", "left").withColumn("_all", F.lit(1))
-    a = dim.select("_all", *[F.col(c).alias(f"{c}_a") for c in ("tool", "position", "n", "median")])
-    b = dim.select("_all", *[F.col(c).alias(f"{c}_b") for c in ("tool", "position", "n", "median")])
-    pairs = a.join(b, "_all").where(F.col("position_a") < F.col("position_b")).drop("_all")
+    own = ("tool", "position", "n", "median")
+    dim = order.select("tool", "position").join(medians, "tool", "left")
+    pairs = (
+        peers(dim, own)
+        .select(*[F.col(c).alias(f"{c}_a") for c in own], *[F.col(f"peer.{c}").alias(f"{c}_b") for c in own])
+        .where(F.col("position_a") < F.col("position_b"))
+    )
     n_pairs = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
     sides = pairs.select(
         "tool_a", "tool_b",
@@ -258,7 +262,7 @@ def pairwise_rank_tests(
 
 # Fewer rows than this replay the documented sequential generator row by row;
 # larger samples draw the same multinomial counts at once. Neither drops rows.
-REPLAY_ROWS = 5_000
+REPLAY_ROWS = 500
 
 
 def _resampled_means(values: np.ndarray, counts: np.ndarray, draws: int, rng: random.Random, big) -> np.ndarray:
