@@ -44,7 +44,7 @@ def test_summary_numbers(spark):
 
 def catalog_events(spark):
     raw = [
-        ("i-a1", "foundry", "CryticTester.assert_canary_ASSERTION_CANARY(uint256)", 1.0), ("i-a1", "foundry", "assert_canary_ASSERTION_CANARY", 2.0),
+        ("i-a1", "foundry", "SuiteTester.assert_canary_ASSERTION_CANARY(uint256)", 1.0), ("i-a1", "foundry", "assert_canary_ASSERTION_CANARY", 2.0),
         ("i-a1", "foundry", "invariant_canary()", 0.5), ("i-a1", "foundry", "squeezeUndone(uint8,uint8)", 3.0), ("i-a1", "foundry", "squeezeWithdrawn", 4.0),
         ("i-a1", "foundry", "testUnexpected(uint256)", 5.0), ("i-a2", "echidna", "assert_canary_ASSERTION_CANARY(uint256)", 1.0),
         ("i-a2", "echidna", "invariant_canary", 0.0), ("i-a2", "echidna", "squeezeWithdrawn(uint8,uint8)", 7.0), ("i-a3", "foundry", "invariant_canary", 0.0),
