@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import pin
-from . import bpe, common, decontam, langid, pii, simhash
+from ..session import fresh_folder, pin
+from . import ann, bpe, common, decontam, langid, pii, sharding, simhash, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,12 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query()
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 @query()
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
@@ -43,6 +49,17 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 
 
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held = common.id_remainder(F.col("doc_id"), 3) == 1
+    labels = common.table(spark, sf_dir, "labels").where(common.id_remainder(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("_labelled"), "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_labelled")))
+    found = docs.select("doc_id", held.alias("held_out"), toxicity.tagged(model, F.col("text")).alias("t"))
+    spans = F.array_join(F.transform("t.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.7).cast("int").alias("predicted"), spans.alias("toxic_spans"))
+
+
 @query()
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(common.table(spark, sf_dir, "documents"))
@@ -57,6 +74,91 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), langid.predicted(model, F.col("text")).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+@query(WARC_SQL)
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = common.table(spark, sf_dir, "pages"), fresh_folder(spark, "warc")
+    return warc.read(pages, folder, warc.write(pages, folder))
+
+
+@query()
+def op7_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(common.table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list made from the pages' own hosts: additions and removals of a host or its parent domain.
+
+    A stand-in for list dumps: dates, categories and the removals follow from a digest of the rule.
+    """
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where(F.col("host").isNotNull()).distinct()
+    rules = hosts.select("host", F.lit("h").alias("via")).union(hosts.select(F.regexp_extract("host", r"([^.]+[.][^.]+)$", 1), F.lit("d"))).where("host <> ''").distinct()
+    digest = F.md5(F.concat("host", "via", F.col("n").cast("string")))
+    number = lambda at: F.conv(F.substring(digest, at, 4), 16, 10).cast("int")
+    changes = rules.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    category = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("allow")), number(9) % 3 + 1)
+    return changes.select(F.col("host").alias("rule"), F.date_add(F.lit("2020-01-01").cast("date"), number(1) % 1500).alias("at"), (number(5) % 2 == 0).alias("listed"), category.alias("category"))
+
+
+def with_fetch_days(pages: DataFrame) -> DataFrame:
+    """`pages` has no fetch time: a day from the id, over 1500 days."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2020-01-01").cast("date"), (F.pmod(F.col("page_id") * 7919, F.lit(1500))).cast("int")).alias("fetched_on"))
+
+
+URL_LIST_SQL = """
+WITH p AS (
+  SELECT page_id, url, DATE '2020-01-01' + CAST(((page_id * 7919) % 1500 + 1500) % 1500 AS INTEGER) AS fetched_on,
+         nullif(rtrim(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host,
+         regexp_extract(url, '^(?i:https?)://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+r AS (
+  SELECT DISTINCT host, 'h' AS via FROM p WHERE host IS NOT NULL
+  UNION SELECT DISTINCT regexp_extract(host, '([^.]+[.][^.]+)$', 1), 'd' FROM p WHERE regexp_extract(host, '([^.]+[.][^.]+)$', 1) <> ''),
+c AS (SELECT host AS rule, md5(concat(host, via, CAST(n AS VARCHAR))) AS d FROM r, (SELECT unnest([0, 1, 2, 3]) AS n)),
+e AS (
+  SELECT rule, DATE '2020-01-01' + CAST(CAST('0x' || substr(d, 1, 4) AS INTEGER) % 1500 AS INTEGER) AS valid_from,
+         CAST('0x' || substr(d, 5, 4) AS INTEGER) % 2 = 0 AS listed,
+         ['adult', 'malware', 'allow'][CAST('0x' || substr(d, 9, 4) AS INTEGER) % 3 + 1] AS category FROM c),
+g AS (
+  SELECT rule, valid_from, bool_or(listed) AS listed,
+         coalesce(min(category) FILTER (listed), min(category)) AS category FROM e GROUP BY ALL),
+i AS (SELECT * FROM (SELECT *, lead(valid_from) OVER (PARTITION BY rule ORDER BY valid_from) AS valid_until FROM g) WHERE listed),
+k AS (
+  SELECT *, string_split(host, '.') AS parts, string_split(path, '/') AS steps FROM p),
+a AS (
+  SELECT page_id, fetched_on, array_to_string(parts[j:], '.') AS rule, len(parts) - j + 1 AS precision_
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS j FROM k WHERE host IS NOT NULL)
+  UNION ALL
+  SELECT page_id, fetched_on, concat(host, array_to_string(steps[1:j], '/'), '/'), len(parts) + j
+  FROM (SELECT *, unnest(generate_series(1, len(steps) - 1)) AS j FROM k WHERE host IS NOT NULL)),
+m AS (
+  SELECT a.page_id, i.rule, i.category, i.valid_from, count(*) OVER (PARTITION BY a.page_id) AS n_active,
+         row_number() OVER (PARTITION BY a.page_id ORDER BY a.precision_ DESC, i.rule) AS nth
+  FROM a JOIN i ON a.rule = i.rule AND a.fetched_on >= i.valid_from AND (i.valid_until IS NULL OR a.fetched_on < i.valid_until))
+SELECT p.page_id, p.host, p.fetched_on,
+       CASE WHEN m.rule IS NULL THEN 'none' WHEN m.category = 'allow' THEN 'allow' ELSE 'block' END AS verdict,
+       m.rule, m.category, m.valid_from, coalesce(m.n_active, 0) AS n_active
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.nth = 1
+"""
+
+
+@query(URL_LIST_SQL)
+def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    return urlfilter.judged(with_fetch_days(pages), urlfilter.intervals(dated_list(pages)))
+
+
 @query()
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_vocabulary()
