@@ -66,6 +66,16 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return head, rest[:size]
 
 
+def packed(body: Column) -> Column:
+    """The body, compressed for the shuffles on its way to its archive."""
+
+    @F.arrow_udf("binary")
+    def pack(bodies: pa.Array) -> pa.Array:
+        return pa.array([zlib.compress(x, 1) for x in bodies.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return pack(body)
+
+
 def _opened(folder: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(folder)
 
@@ -80,10 +90,10 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), body.alias("_body"), F.sha2(body, 256).alias("_digest"), F.octet_length(body).alias("_size"))
     copies = rows.where(F.col("_size") >= LEAST_REVISIT).groupBy("_digest").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_url").alias("url"))).alias("_first")).where("_n > 1").select(F.col("_digest").alias("_of"), "_first")
-    rows = rows.join(copies, F.col("_digest") == F.col("_of"), "left")
+    rows = rows.withColumn("_packed", packed(F.col("_body"))).drop("_body").join(copies, F.col("_digest") == F.col("_of"), "left")
     refers = F.when(~F.col("_id").eqNullSafe(F.col("_first.id")) & F.col("_of").isNotNull(), F.col("_first.id"))
     target = F.when(refers.isNotNull(), capture_key(F.col("_first.url"), F.col("_first.id")))
-    rows = rows.select(capture_key(F.col("_url"), F.col("_id")).alias("capture"), F.col("_id").cast("string").alias("id"), F.coalesce("_url", F.lit("")).alias("url"), F.col("_body").cast("binary").alias("body"), "_digest", refers.cast("string").alias("refers_to"), target.alias("target"))
+    rows = rows.select(capture_key(F.col("_url"), F.col("_id")).alias("capture"), F.col("_id").cast("string").alias("id"), F.coalesce("_url", F.lit("")).alias("url"), F.col("_packed").alias("body"), "_digest", refers.cast("string").alias("refers_to"), target.alias("target"))
 
     def archive(batches):
         name, fs, out, at, lines, first, last, count = uuid.uuid4().hex, None, None, 0, [], None, None, 0
@@ -105,7 +115,7 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
                 head = [("WARC-Type", "revisit" if refers_to is not None else "response"), ("WARC-Record-ID", f"<urn:page:{ident or ''}>"), ("WARC-Target-URI", quote(link, safe=SIGNS + "%")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "text/html")]
                 if refers_to is not None:
                     head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Refers-To-Capture", quote(target, safe=SIGNS + " "))]
-                record = member(head, b"" if refers_to is not None else data)
+                record = member(head, b"" if refers_to is not None else zlib.decompress(data))
                 out.write(record)
                 lines.append([capture, at, len(record)])
                 at += len(record)
@@ -178,8 +188,9 @@ def read(wanted: DataFrame, folder: str, manifest: DataFrame, *, key: str = "pag
     """
     kind = wanted.schema[key].dataType.simpleString()
     keys = wanted.select(capture_key(F.col(url), F.col(key)).alias("capture"), F.col(key).alias("id")).distinct()
-    keys = keys.repartitionByRange("capture").sortWithinPartitions("capture")
-    shared = wanted.sparkSession.sparkContext.broadcast([tuple(r) for r in manifest.select("name", "first_key", "last_key").collect()])  # a row per archive
+    archives = [tuple(r) for r in manifest.select("name", "first_key", "last_key").collect()]  # a row per archive
+    keys = keys.repartitionByRange(max(len(archives), 1), "capture").sortWithinPartitions("capture")
+    shared = wanted.sparkSession.sparkContext.broadcast(archives)
 
     def fetch(batches):
         reader = Reader(folder, shared.value)
