@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ NONE = np.int32(2**31 - 1)
 #: Rows longer than this have no matrix (its work is the square of the length); a heap does the same merges.
 LONGEST_ROW = 256
 #: Words whose ids a worker remembers; all are forgotten beyond it.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Ids that are spelled out at once when decoding.
+DECODED = 1 << 20
 #: The published pattern of the byte-level vocabularies (a fixed value).
 CUTS_AT_BLANKS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -61,6 +64,11 @@ class Vocabulary:
             left = left[~won]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
+    @functools.cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of each id, and the bytes of all ids end to end."""
+        return np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)), np.frombuffer(b"".join(self.tokens), np.uint8)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -257,7 +265,16 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        get = vocabulary(path).tokens.__getitem__
-        return pa.array([None if x is None else b"".join(map(get, x)) for x in lists.to_pylist()], pa.binary())
+        lengths, text = vocabulary(path).spelled
+        at = np.cumsum(lengths) - lengths
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(lengths)):
+            raise ValueError("an id is not in the vocabulary")
+        parts = [text[spans(at[flat[k : k + DECODED]], lengths[flat[k : k + DECODED]])] for k in range(0, len(flat), DECODED)]
+        sizes = np.concatenate(([0], np.cumsum(lengths[flat]) if len(flat) else np.zeros(0, np.int64)))[ends]
+        data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+        return pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), out) if lists.null_count else out
 
     return decode(ids)

@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Sets how much of a table a Python worker gets at once: whole texts are long, so fewer rows than usual."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,13 +68,16 @@ def letters() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-@functools.lru_cache(maxsize=1)
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64)))) for x in (base, inverse))
+    """At least n powers of an odd number and of its inverse, modulo 2**64; the longest tables so far are kept."""
+    if not _tables or len(_tables[0][0]) < n:
+        base, size = 0x9E3779B97F4A7C15, 1 << max(16, n.bit_length())
+        with np.errstate(over="ignore"):
+            _tables[:] = [tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))]
+    return _tables[0]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -106,9 +115,13 @@ def words(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of code points, from one running sum; equal spans agree wherever they stand."""
-    up, down = _powers(1 << max(16, int(len(points)).bit_length()))
-    symbols = np.cumsum(_symbols()[points] * up[: len(points)])
-    sums_ = np.concatenate((np.zeros(1, np.uint64), symbols))
+    return symbol_hashes(_symbols()[points], starts, lengths)
+
+
+def symbol_hashes(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same for spans of 64-bit symbols."""
+    up, down = _powers(len(symbols) + 1)
+    sums_ = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbols * up[: len(symbols)])))
     return mixed((sums_[starts + lengths] - sums_[starts]) * down[starts] + lengths.astype(np.uint64))
 
 

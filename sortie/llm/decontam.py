@@ -36,8 +36,8 @@ class Scheme:
     """
 
     similarity: float = 0.8
-    walks: int = 6
-    bands: int = 4
+    walks: int = 4
+    bands: int = 6
     steps: int = 2
     bits: int = 24
     growth: float = 1.2
@@ -158,9 +158,14 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
                     starts, owner, ends = starts[roomy], owner[roomy], ends[roomy]
                     for k in range(0, len(starts), 1 << 15):
                         s, o, e = starts[k : k + (1 << 15)], owner[k : k + (1 << 15)], ends[k : k + (1 << 15)]
-                        base = int(s[0])
-                        keys = scheme.keys(hashes[base : int(e.max())], s - base, e - base, c)
-                        common_bands = in_map(key_map, keys.ravel()).reshape(keys.shape)
+                        # windows of equal words are walked once, over the words of windows only
+                        _, one, same = np.unique(common.symbol_hashes(hashes, s, e - s), return_index=True, return_inverse=True)
+                        edge = np.bincount(s[one], minlength=len(hashes) + 1) - np.bincount(e[one], minlength=len(hashes) + 1)
+                        used = np.cumsum(edge) > 0
+                        moved = np.cumsum(used) - used
+                        keys = scheme.keys(hashes[used[:-1]], moved[s[one]], moved[s[one]] + (e - s)[one], c)
+                        shared_bands = in_map(key_map, keys.ravel()).reshape(keys.shape)
+                        keys, common_bands = keys[same], shared_bands[same]
                         some = common_bands.any(1)
                         if not some.any():
                             continue

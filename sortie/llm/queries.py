@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(pin(spark), sf_dir)
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(common.bounded(pin(spark)), sf_dir)
         if sql is not None:
             SQL[fn.__name__] = sql
         return fn
