@@ -27,9 +27,9 @@ NONE = np.int32(2**31 - 1)
 #: Rows longer than this have no matrix (its work is the square of the length); a heap does the same merges.
 LONGEST_ROW = 256
 #: Words whose ids a worker remembers; all are forgotten beyond it.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Ids that are spelled out at once when decoding.
-DECODED = 1 << 20
+DECODED = 1 << 18
 #: The published pattern of the byte-level vocabularies (a fixed value).
 CUTS_AT_BLANKS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -161,7 +161,7 @@ class Vocabulary:
         order = np.argsort(bucket, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             group = rows[group]
-            most = max(1, (1 << 20) // int(sizes[group].max()))
+            most = max(1, (1 << 18) // int(sizes[group].max()))
             for k in range(0, len(group), most):
                 part = group[k : k + most]
                 w, c, f = self.rows(data, starts[part], sizes[part])
@@ -245,36 +245,45 @@ def encode_texts(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray,
     return per_text, known.flat[spans(known.starts[place], sizes)]
 
 
+def encode_array(texts: pa.Array, path: str, pattern: str) -> pa.Array:
+    got = [encode_texts(part, path, pattern) for part in common.chunks(texts)]
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([x[0] for x in got]))]) if got else np.zeros(1)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int32)))
+
+
+def decode_array(lists: pa.Array, path: str) -> pa.Array:
+    lengths, text = vocabulary(path).spelled
+    at = np.cumsum(lengths) - lengths
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) and (flat.min() < 0 or flat.max() >= len(lengths)):
+        raise ValueError("an id is not in the vocabulary")
+    parts = [text[spans(at[flat[k : k + DECODED]], lengths[flat[k : k + DECODED]])] for k in range(0, len(flat), DECODED)]
+    sizes = np.concatenate(([0], np.cumsum(lengths[flat]) if len(flat) else np.zeros(0, np.int64)))[ends]
+    data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+    return pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), out) if lists.null_count else out
+
+
 def encoded(text: Column, path: str, pattern: str) -> Column:
     """Token ids of a text, array<int>; a null or empty text has none.
 
     path: a rank file that every executor can open, such as an installed vocabulary.
     """
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        got = [encode_texts(part, path, pattern) for part in common.chunks(texts)]
-        ends = np.concatenate([[0], np.cumsum(np.concatenate([x[0] for x in got]))]) if got else np.zeros(1)
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int32)))
-
-    return encode(text)
+    return F.arrow_udf(lambda texts: encode_array(texts, path, pattern), "array<int>")(text)
 
 
 def decoded(ids: Column, path: str) -> Column:
     """The bytes that token ids stand for; null for null. An id outside the vocabulary fails."""
+    return F.arrow_udf(lambda lists: decode_array(lists, path), "binary")(ids)
+
+
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """struct(ids, decoded): both of the above by one Python worker a task, so ids aren't sent back for decoding."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = encode_array(texts, path, pattern)
+        return pa.StructArray.from_arrays([ids, decode_array(ids, path)], ["ids", "decoded"])
 
-    @F.arrow_udf("binary")
-    def decode(lists: pa.Array) -> pa.Array:
-        lengths, text = vocabulary(path).spelled
-        at = np.cumsum(lengths) - lengths
-        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(lengths)):
-            raise ValueError("an id is not in the vocabulary")
-        parts = [text[spans(at[flat[k : k + DECODED]], lengths[flat[k : k + DECODED]])] for k in range(0, len(flat), DECODED)]
-        sizes = np.concatenate(([0], np.cumsum(lengths[flat]) if len(flat) else np.zeros(0, np.int64)))[ends]
-        data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-        out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-        return pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), out) if lists.null_count else out
-
-    return decode(ids)
+    return both(text)

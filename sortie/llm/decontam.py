@@ -181,36 +181,41 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
     return docs.select(key, F.col(text).cast("string")).mapInArrow(find, f"key {kind}, place long, offset long, words array<long>, keys array<long>")
 
 
-def prefix_edits(window: list[np.ndarray], item: list[np.ndarray]) -> np.ndarray:
-    """Exact edit distance of each item to the best prefix of its window, all pairs in step."""
-    rows = len(item)
-    if not rows:
+def prefix_edits(window: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Exact edit distance of each item to the best prefix of its window, all pairs in step; each side: sizes, and words end to end."""
+    (n, b_flat), (m, a_flat) = window, item
+    if not len(m):
         return np.zeros(0, np.int64)
-    m, n = np.array([len(x) for x in item]), np.array([len(x) for x in window])
-    a, b = np.zeros((rows, m.max()), np.uint64), np.zeros((rows, n.max() if n.max() else 1), np.uint64)
-    for i in range(rows):
-        a[i, : m[i]], b[i, : n[i]] = item[i], window[i]
-    before = np.broadcast_to(np.arange(b.shape[1] + 1), (rows, b.shape[1] + 1)).copy()
-    before[np.arange(b.shape[1] + 1) > n[:, None]] = 1 << 30
-    steps = np.arange(b.shape[1] + 1)
+    a, b = np.zeros((len(m), int(m.max())), np.int64), np.zeros((len(n), max(int(n.max()), 1)), np.int64)
+    a[np.arange(a.shape[1]) < m[:, None]] = a_flat
+    b[np.arange(b.shape[1]) < n[:, None]] = b_flat
+    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
+    beyond = np.where(steps > n[:, None], np.int32(1 << 29), np.int32(0))
+    before = np.broadcast_to(steps, (len(m), len(steps))) + beyond
     out = before.min(1)
     for i in range(a.shape[1]):
-        now = np.empty_like(before)
+        now = before + np.int32(1)
         now[:, 0] = i + 1
-        now[:, 1:] = np.minimum(before[:, :-1] + (b != a[:, i, None]), before[:, 1:] + 1)
-        now = np.minimum.accumulate(now - steps, axis=1) + steps  # insertions
-        now[steps > n[:, None]] = 1 << 30
-        before = now
+        np.minimum(now[:, 1:], before[:, :-1] + (b != a[:, i, None]), out=now[:, 1:])
+        before = np.minimum.accumulate(now - steps, axis=1) + steps + beyond  # insertions
+        np.minimum(before, np.int32(1 << 29), out=before)
         out = np.where(m == i + 1, before.min(1), out)
     return out
 
 
 def edits(window: Column, item: Column) -> Column:
+    """Edit distance of the item's words to the best prefix of the window's; items have at most some thousand words."""
+
     @F.arrow_udf("int")
     def distance(window: pa.Array, item: pa.Array) -> pa.Array:
-        as_arrays = lambda x: [np.array(y, np.int64).view(np.uint64) for y in x.to_pylist()]
-        parts = [prefix_edits(as_arrays(window.slice(k, 2000)), as_arrays(item.slice(k, 2000))) for k in range(0, len(item), 2000)]
-        return pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32))
+        def lists(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            return pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False)
+
+        order = np.argsort(lists(item)[0], kind="stable")  # pairs of about one length go together
+        window, item, out = window.take(pa.array(order)), item.take(pa.array(order)), np.zeros(len(order), np.int32)
+        for k in range(0, len(order), 1000):
+            out[order[k : k + 1000]] = prefix_edits(lists(window.slice(k, 1000)), lists(item.slice(k, 1000)))
+        return pa.array(out)
 
     return distance(window, item)
 
@@ -224,8 +229,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None =
     scheme = scheme or Scheme()
     known = items(benchmark, scheme, item=item, text=item_text)
     found = windows(docs, known, scheme, key=key, text=text).select("key", "place", "offset", "words", F.explode("keys").alias("band"))
-    bands = known.select("item", F.col("words").alias("item_words"), F.explode("keys").alias("item_band"))
-    met = found.join(bands, F.col("band") == F.col("item_band")).groupBy("key", "place", "item").agg(F.first("offset").alias("offset"), F.first("words").alias("words"), F.first("item_words").alias("item_words"))
+    bands = known.select(F.col("item").alias("_item"), F.explode("keys").alias("item_band"))
+    met = found.join(bands, F.col("band") == F.col("item_band")).groupBy("key", "place", "_item").agg(F.first("offset").alias("offset"), F.first("words").alias("words"))
+    met = met.join(known.select("item", F.col("words").alias("item_words")), F.col("_item") == F.col("item"))
     met = met.withColumn("edits", edits(F.col("words"), F.col("item_words"))).withColumn("n_words", F.size("item_words"))
     allowed = F.floor(F.col("n_words") * (1 - scheme.similarity) + 1e-9)
     best = met.where(F.col("edits") <= allowed).groupBy("key", "item", "n_words").agg(F.min(F.struct("edits", "place", "offset")).alias("best"))

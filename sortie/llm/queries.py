@@ -162,8 +162,8 @@ def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_vocabulary()
-    ids = common.table(spark, sf_dir, "documents").select("doc_id", bpe.encoded(F.col("text"), path, pattern).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"))
+    both = common.table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), path, pattern).alias("b"))
+    return both.select("doc_id", F.size("b.ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("b.ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(F.col("b.decoded"), 256).alias("decoded_sha256"))
 
 
 @query()
