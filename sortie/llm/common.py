@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import sys
 import unicodedata
@@ -34,6 +35,7 @@ def id_remainder(column: Column, parts: int) -> Column:
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
     """Consecutive runs of whole texts of about `limit` bytes; null texts become empty."""
+    tidy()  # of what the batch before has left
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -43,6 +45,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
     starts = np.flatnonzero(np.diff(ends // limit, prepend=-1))
     for at, stop in zip(starts, [*starts[1:], len(texts)], strict=True):
         yield texts.slice(int(at), int(stop - at))
+    tidy()
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +147,23 @@ def sample_by_hash(rows: DataFrame, key: Column, group: str, most: int) -> DataF
     """About `most` rows of each group, chosen by a hash of the key; small groups stay whole.
 
     The share of a group follows from its exact count, so the sample is bounded
-    by most x groups in expectation, and repeats from run to run.
+    by most x groups in expectation, and repeats from run to run. Groups are the classes
+    of a model, which the driver holds in any case; rows aren't shuffled.
     """
+    counts = rows.groupBy(group).count().where(F.col(group).isNotNull()).collect()
+    if not counts:
+        return rows.limit(0)
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r[group], most / r["count"])])
     scale = 1 << 30
-    shares = rows.groupBy(group).count().select(F.col(group).alias("_group"), (F.lit(float(most)) / F.col("count")).alias("_share"))
-    drawn = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(scale)) < F.col("_share") * scale
-    return rows.join(shares, F.col(group) == F.col("_group")).where(drawn).drop("_group", "_share")
+    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(scale)) < F.element_at(shares, F.col(group)) * scale)
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers live long, and an executor's share is small."""
+    _trim()(0)
+    pa.default_memory_pool().release_unused()
