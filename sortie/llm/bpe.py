@@ -50,10 +50,10 @@ class Vocabulary:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
         keys, found = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
-        self.bits = max(4, int(4 * len(pairs)).bit_length())
+        self.bits = max(4, int(2 * len(pairs)).bit_length())
         self.keys, self.found = np.full(1 << self.bits, 2**64 - 1, np.uint64), np.full(1 << self.bits, NONE, np.int32)
+        del pairs
         slot, left, self.probes = self._slot(keys), np.arange(len(keys)), 0
         while len(left):  # each free slot takes one of the keys that want it; the others try the next
             self.probes += 1
@@ -95,9 +95,9 @@ class Vocabulary:
 
     def long_row(self, ids: list[int]) -> list[int]:
         """The same merges for one long row: a heap of (rank, place) over a linked list."""
-        n, pairs = len(ids), self.pairs
+        n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = lambda i: pairs.get(ids[i] << 32 | ids[after[i]]) if after[i] < n else None
+        rank = lambda i: self.ranks.get(self.tokens[ids[i]] + self.tokens[ids[after[i]]]) if after[i] < n else None
         heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
         heapq.heapify(heap)
         while heap:

@@ -218,7 +218,7 @@ def tagged(model: Model, text: Column, at_least: float = 0.5) -> Column:
     def tag(texts: pa.Array) -> pa.Array:
         model, scores, lists = shared.value, [np.zeros(0)], [pa.array([], pa.list_(span))]
         bits = (model.weights.shape[1] - 1).bit_length()
-        for part in common.chunks(texts, common.CHUNK_BYTES // 2):
+        for part in common.chunks(texts, common.CHUNK_BYTES):
             units, starts, lengths, first, _ = tokens(part)
             columns = buckets(units, first, bits)
             emission = np.zeros(columns.shape[1])
