@@ -118,7 +118,7 @@ def coverage_approach(name: Col) -> Column:
         F.size(parts) >= 2,
         F.struct(
             F.get(parts, F.lit(0)).alias("approach"),
-            F.array_join(F.slice(parts, 2, 1_000_000), "__").alias("suite_test"),
+            F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "__").alias("suite_test"),
         ),
     ).otherwise(F.struct(_c(name).alias("approach"), F.lit(None).cast("string").alias("suite_test")))
 
@@ -139,7 +139,8 @@ def coverage_instance(label: Col) -> Column:
 
     def tag(prefix: str) -> Column:
         hits = F.filter(tags, lambda p: p.startswith(prefix))
-        return safe_component(F.substring(F.try_element_at(hits, F.lit(-1)), len(prefix) + 1, 1_000_000))
+        last = F.try_element_at(hits, F.lit(-1))
+        return safe_component(F.substring(last, F.lit(len(prefix) + 1), F.length(last)))
 
     def has(prefix: str) -> Column:
         return F.exists(tags, lambda p: p.startswith(prefix))

@@ -8,17 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def money(value: Column) -> Column:
-    """Six decimals, snapped to zero below half a millionth."""
-    v = F.round(value.cast("double"), 6)
-    return F.when(F.abs(v) < 0.0000005, 0.0).otherwise(v)
-
-
-def add_months(day: dt.date, months: int) -> dt.date:
-    index = day.year * 12 + day.month - 1 + months
-    return dt.date(index // 12, index % 12 + 1, 1)
-
-
 def service_months(ledger: DataFrame) -> DataFrame:
     """Cost and share per month and service. Zero costs go, negative ones stay."""
     month = F.trunc("day", "month")
@@ -41,8 +30,8 @@ def month_totals(ledger: DataFrame, today: dt.date | None = None, months: int |
     if today is None:
         return rows.withColumn("tax", F.coalesce("tax", F.lit(0)))
     current = dt.date(today.year, today.month, 1)
-    first = add_months(current, -(months or 12))
-    kept = rows.where((F.col("month") >= F.lit(first)) & (F.col("month") <= F.lit(current)))
+    first = F.add_months(F.lit(current), -(months or 12))
+    kept = rows.where((F.col("month") >= first) & (F.col("month") <= F.lit(current)))
     nothing = F.lit(0).cast(kept.schema["total"].dataType)
     empty = ledger.sparkSession.range(1).select(F.lit(current).alias("month"), nothing.alias("total"), nothing.alias("tax"))
     return (
@@ -53,8 +42,7 @@ def month_totals(ledger: DataFrame, today: dt.date | None = None, months: int |
 
 
 def daily(ledger: DataFrame, month: dt.date) -> DataFrame:
-    end = add_months(month, 1)
-    return ledger.where((F.col("day") >= F.lit(month)) & (F.col("day") < F.lit(end))).groupBy("day").agg(F.sum("cost").alias("total"))
+    return ledger.where(F.trunc("day", "month") == F.lit(month).cast("date")).groupBy("day").agg(F.sum("cost").alias("total"))
 
 
 def top_services(ledger: DataFrame) -> DataFrame:

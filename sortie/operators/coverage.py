@@ -60,16 +60,6 @@ def campaign_size(campaign_edges: DataFrame, trials: DataFrame | None = None) ->
     )
 
 
-def within_limit(sizes: DataFrame, max_work_items: int = fixed.MAX_WORK_ITEMS) -> DataFrame:
-    """Campaigns small enough to score; 0 switches the guard off, `combined` always stays."""
-    names = sizes.select("campaign", "work_items").distinct()
-    if max_work_items == 0:
-        return names.select("campaign")
-    return names.where(
-        (F.col("work_items") <= max_work_items) | (F.col("campaign") == "combined")
-    ).select("campaign")
-
-
 def _approaches(trials: DataFrame) -> DataFrame:
     """Per campaign its approaches (a handful by nature) and their number."""
     return (

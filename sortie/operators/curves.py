@@ -342,8 +342,3 @@ def tool_order(table: DataFrame) -> DataFrame:
     """Position by (final median, area), best first. One row per tool in."""
     by = Window.orderBy(F.desc("final_p50"), F.desc("auc_norm"), F.asc("tool"))
     return table.withColumn("position", F.row_number().over(by))
-
-
-def no_data(df: DataFrame) -> DataFrame:
-    """An empty table with the full schema."""
-    return df.limit(0)

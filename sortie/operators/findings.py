@@ -111,7 +111,7 @@ def jaccard_matrix(events: DataFrame, tools: Sequence[str]) -> DataFrame:
 
 
 def intersections(
-    events: DataFrame, top_k: int | None = 20, scope: Sequence[str] = ()
+    events: DataFrame, top_k: int | None = None, scope: Sequence[str] = ()
 ) -> DataFrame:
     """Events grouped by their exact tool set, largest first; `rank` within the scope."""
     sets = (

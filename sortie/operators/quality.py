@@ -85,7 +85,7 @@ def pinned_url(url: str, repo: Column, commit: Column) -> Column:
     c = F.col(url)
     path = F.split(F.substring_index(F.substring_index(c, "#", 1), "?", 1), "/")
     own = repo_url(F.concat_ws("/", F.slice(path, 1, 5))) == repo_url(repo)
-    parts = F.slice(path, 8, 10_000)
+    parts = F.slice(path, F.lit(8), F.size(path))
     return F.coalesce(
         own & (F.get(path, F.lit(5)) == "blob") & (F.get(path, F.lit(6)) == commit) & (F.size(parts) > 0)
         & ~F.exists(parts, lambda p: p == "") & ~c.contains("?") & F.substring_index(c, "#", -1).rlike(LINES) & c.contains("#"),

@@ -244,7 +244,12 @@ def binned(
 
 
 def series_positions(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Anonymous names: groups in order become `Fuzzer A`, `Fuzzer B`, …"""
+    """Anonymous names: groups in order become `Fuzzer A`, …, `Fuzzer Z`, `Fuzzer AA`, …"""
     names = df.select(*by).distinct()
-    w = Window.orderBy(*by)
-    return names.withColumn("alias", F.concat(F.lit("Fuzzer "), F.char(F.lit(64) + F.row_number().over(w))))
+    place = F.row_number().over(Window.orderBy(*by)) - 1
+    letters = []
+    for length in range(1, 8):  # names of one letter come first, then those of two, and so on; seven serve any row number
+        shorter = sum(26**i for i in range(1, length))
+        digits = F.floor((place - shorter) / 26 ** (length - 1)), *[F.floor((place - shorter) / 26**i) for i in range(length - 2, -1, -1)]
+        letters.append(F.when(place < shorter + 26**length, F.concat(*[F.char(65 + F.pmod(x, F.lit(26))) for x in digits])))
+    return names.withColumn("alias", F.concat(F.lit("Fuzzer "), F.coalesce(*letters)))

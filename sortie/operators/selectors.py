@@ -172,7 +172,7 @@ def instance_summary(
     per_file = files.groupBy(*INSTANCE).agg(
         F.count(F.lit(1)).alias("artifact_files"),
         F.sum("bytes").alias("bytes"),
-        F.count_if(c("digest").isNull() | (c("bytes") > fixed.MAX_ARTIFACT_BYTES)).alias("malformed"),
+        F.count_if(c("digest").isNull()).alias("malformed"),
         F.count_if(c("bytes") > fixed.MAX_ARTIFACT_BYTES).alias("_big"),
     )
     per_digest = dedupe(files).groupBy(*INSTANCE).agg(
@@ -204,7 +204,7 @@ def instance_summary(
 def status(rows: DataFrame) -> Column:
     """unavailable, observed_zero, malformed, partial or available."""
     c = F.col
-    trouble = (c("malformed") > 0) | (c("limit_violations") > 0)
+    trouble = c("malformed") > 0  # sizes are reported in limit_violations and change no status
     saved = c("engine") != "foundry"
     return (
         F.when(~c("engine").isin(*fixed.TOOLS), "unavailable")

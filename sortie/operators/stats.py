@@ -8,7 +8,6 @@ turns one row of sums per group into a p-value, and resamples counts.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -260,19 +259,12 @@ def pairwise_rank_tests(
 
 # --- bootstrap ------------------------------------------------------------------
 
-# Fewer rows than this replay the documented sequential generator row by row;
-# larger samples draw the same multinomial counts at once. Neither drops rows.
-REPLAY_ROWS = 500
 
-
-def _resampled_means(values: np.ndarray, counts: np.ndarray, draws: int, rng: random.Random, big) -> np.ndarray:
+def _resampled_means(values: np.ndarray, counts: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of resamples of all rows, drawn as multinomial counts of the distinct values; one law for every size."""
     n = int(counts.sum())
-    if n <= REPLAY_ROWS:
-        flat = np.repeat(values, counts)
-        picks = [[rng.randrange(n) for _ in range(n)] for _ in range(draws)]
-        return flat[np.asarray(picks)].mean(axis=1)
     share = counts / n
-    return np.array([big.multinomial(n, share) @ values / n for _ in range(draws)])
+    return np.array([rng.multinomial(n, share) @ values / n for _ in range(draws)])
 
 
 def _sorted_quantile(ordered: np.ndarray, q: float) -> float:
@@ -315,16 +307,8 @@ def bca_interval(
     theta = means[0] - (means[1] if y is not None else 0.0)
     if all(len(v) == 1 for v, _ in arms):
         return theta, theta, "ok"
-    rng, big = random.Random(seed), np.random.default_rng(seed)
-    signs = (1.0, -1.0)
-    if y is not None and all(int(c.sum()) <= REPLAY_ROWS for _, c in arms):
-        flat = [np.repeat(v, c) for v, c in arms]
-        boot = np.empty(draws)
-        for i in range(draws):  # both arms share one generator, x first in every draw
-            part = [f[[rng.randrange(len(f)) for _ in range(len(f))]].mean() for f in flat]
-            boot[i] = part[0] - part[1]
-    else:
-        boot = sum(s * _resampled_means(v, c, draws, rng, big) for s, (v, c) in zip(signs, arms))
+    rng, signs = np.random.default_rng(seed), (1.0, -1.0)
+    boot = sum(s * _resampled_means(v, c, draws, rng) for s, (v, c) in zip(signs, arms))
     jack = []
     for i, (v, c) in enumerate(arms):
         n = int(c.sum())

@@ -102,15 +102,13 @@ def baseline_pairs(spark, d):
     "A32",
     with_views(
         "campaign_edges",
-        """SELECT campaign, approach, trials, edges, te * greatest(tt, 1) AS work_items, te * greatest(tt, 1) <= 20000 OR campaign = 'combined' AS kept FROM
+        """SELECT campaign, approach, trials, edges, te * greatest(tt, 1) AS work_items FROM
            (SELECT campaign, approach, count(DISTINCT trial_id) AS trials, count(DISTINCT edge) AS edges FROM campaign_edges GROUP BY ALL)
            JOIN (SELECT campaign, count(DISTINCT edge) AS te, count(DISTINCT (approach, trial_id)) AS tt FROM campaign_edges GROUP BY ALL) USING (campaign)""",
     ),
 )
 def campaign_sizes(spark, d):
-    sizes = C.campaign_size(_ce(spark, d))
-    kept = C.within_limit(sizes, 20000).withColumn("kept", F.lit(True))
-    return sizes.join(kept, "campaign", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return C.campaign_size(_ce(spark, d))
 
 
 @query(

@@ -69,12 +69,12 @@ def jaccard_square(spark, d):
     with_views(
         "v_events",
         """SELECT tools, CAST(n AS INTEGER) AS tool_count, events, CAST(rank AS INTEGER) AS rank FROM (
-           SELECT tools, n, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, tools) AS rank FROM sets GROUP BY tools, n) WHERE rank <= 20""",
+           SELECT tools, n, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, tools) AS rank FROM sets GROUP BY tools, n)""",
         _SETS,
     ),
 )
 def tool_intersections(spark, d):
-    return O.intersections(v_events(spark, d), 20)
+    return O.intersections(v_events(spark, d))
 
 
 @query("A23", with_views("v_events", "SELECT event FROM sets WHERE n = (SELECT count(DISTINCT tool) FROM v_events)", _SETS))

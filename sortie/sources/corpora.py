@@ -25,7 +25,7 @@ def is_artifact(engine: Column, inside: Column) -> Column:
         .when(engine == "medusa", below("call_sequences") & lower.endswith(".json"))
         .when(engine == "foundry", below("corpus") & (lower.endswith(".json") | lower.endswith(".json.gz")))
         .otherwise(F.lit(False))
-    ) & (F.size(folders) <= fixed.MAX_DEPTH)
+    )
 
 
 def read_artifacts(

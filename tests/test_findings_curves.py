@@ -176,7 +176,6 @@ def test_costs_keep_negative_services_and_absent_months(spark):
     assert got == {"A": (15.0, 93.75), "Credit": (-3.0, -18.75), "Unknown": (3.0, 18.75), "Tax": (1.0, 6.25)}
     months = {r.month: (float(r.total), float(r.tax), r.estimated) for r in cost.month_totals(ledger, dt.date(2026, 4, 9)).collect()}
     assert months == {dt.date(2026, 3, 1): (16.0, 1.0, False), dt.date(2026, 4, 1): (0.0, 0.0, True)}
-    assert cost.add_months(dt.date(2026, 1, 1), -1) == dt.date(2025, 12, 1)
 
 
 def test_target_resolution(spark):
