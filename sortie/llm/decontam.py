@@ -240,5 +240,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None =
 
 def clean(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents in which no item is found; all columns stay, null keys and null texts included."""
-    found = stage(contaminated(docs, benchmark, scheme, key=key, text=text).select(F.col(key).alias("_found")).distinct(), "contaminated")
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_found")), "left_anti")
+    found = stage(contaminated(docs, benchmark, scheme, key=key, text=text).select(F.col(key).alias("_leak_found")).distinct(), "contaminated")
+    return docs.join(found, F.col(key).eqNullSafe(F.col("_leak_found")), "left_anti")

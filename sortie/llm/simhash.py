@@ -96,7 +96,9 @@ def links(prints: DataFrame, column: str = "fingerprint", radius: int = 2) -> Da
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fingerprint long, component): one row per row; component is the least key reachable by links.
+    """(key, fingerprint long, component, root): one row per row; component is the least key reachable by links.
+
+    root is the group's least fingerprint, which tells groups without any key apart.
 
     Rows with a null key keep a row; the component ignores nulls (null only if all are).
     """
@@ -105,16 +107,20 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius:
     roots = components(links(prints, "_print", radius))
     joined = stage(least.join(roots, F.col("_print") == F.col("node"), "left").select("_print", F.coalesce("root", "_print").alias("_root"), "_least"), "roots")
     first = joined.groupBy("_root").agg(F.min("_least").alias("component")).withColumnRenamed("_root", "_top")
-    named = stage(joined.join(first, F.col("_root") == F.col("_top")).select(F.col("_print").alias("_at"), "component"), "components")
-    return prints.join(named, F.col("_print") == F.col("_at")).select(F.col("_key").alias(key), F.col("_print").alias("fingerprint"), "component")
+    named = stage(joined.join(first, F.col("_root") == F.col("_top")).select(F.col("_print").alias("_at"), F.col("_root").alias("root"), "component"), "components")
+    return prints.join(named, F.col("_print") == F.col("_at")).select(F.col("_key").alias(key), F.col("_print").alias("fingerprint"), "component", "root")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """The rows of `docs` whose key is its component's; all columns stay. Of rows with one key, one stays."""
     found = stage(classes(docs.select(key, text), key=key, text=text, radius=radius, width=width, seed=seed), "classes")
-    kept = found.where(F.col(key).eqNullSafe(F.col("component"))).groupBy(F.col(key).alias("_kept")).count()
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")))
-    if found.groupBy(key).count().where("count > 1").isEmpty():
-        return rows.select(docs.columns)
-    again = rows.where("count > 1").dropDuplicates([key])
-    return rows.where("count = 1").unionByName(again).select(docs.columns)
+    first = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_dedup_kept"), F.col("fingerprint").alias("_dedup_print"), F.col("root").alias("_dedup_root"))
+    many = found.groupBy(F.col(key).alias("_dedup_key")).count().where("count > 1")
+    if many.isEmpty():
+        return docs.join(first.select("_dedup_kept"), F.col(key).eqNullSafe(F.col("_dedup_kept"))).select(docs.columns)
+    # keys that repeat don't name a row: there the fingerprint does, and of rows that are alike in both one stays
+    many = stage(many.select("_dedup_key"), "repeated")
+    once = docs.join(first.join(many, F.col("_dedup_kept").eqNullSafe(F.col("_dedup_key")), "left_anti"), F.col(key).eqNullSafe(F.col("_dedup_kept")))
+    again = docs.join(many, F.col(key).eqNullSafe(F.col("_dedup_key")), "left_semi").withColumn("_dedup_own", fingerprint(F.col(text), width, seed))
+    again = again.join(first.distinct(), F.col(key).eqNullSafe(F.col("_dedup_kept")) & (F.col("_dedup_own") == F.col("_dedup_print"))).dropDuplicates(["_dedup_root"])
+    return once.select(docs.columns).unionByName(again.select(docs.columns))

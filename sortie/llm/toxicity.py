@@ -1,7 +1,7 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Tokens (words) are toxic or not. Emissions are sums of weights of hashed features:
-the word, its beginnings and ending, and the words beside it; transitions are four
+the word, its beginnings, and the words beside it; transitions are four
 weights. Forward and backward messages give each token's marginal. They run over
 segments of bounded length for all texts of a batch in step: each segment is run
 from both states, and a text's segments are chained by 2 x 2 matrices, so a long text
@@ -43,11 +43,10 @@ class Model:
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (units, tokens) of word, two beginnings and ending; starts and lengths in their text; first tokens."""
+    """Hashes (units, tokens) of the word and its beginnings; starts and lengths in their text; first tokens."""
     points, bounds = common.codepoints(pc.utf8_lower(texts))
     starts, lengths, first = common.words(points, bounds)
-    tail = np.minimum(lengths, 3)
-    parts = [(starts, lengths), (starts, np.minimum(lengths, 4)), (starts, np.minimum(lengths, 5)), (starts + lengths - tail, tail)]
+    parts = [(starts, lengths), *((starts, np.minimum(lengths, n)) for n in (3, 4, 5))]
     units = np.stack([common.span_hashes(points, s, n) for s, n in parts]) if len(starts) else np.zeros((4, 0), np.uint64)
     return units, starts - np.repeat(bounds[:-1], np.diff(first)), lengths, first, bounds
 
@@ -151,7 +150,7 @@ def _toxic_units(units: np.ndarray, first: np.ndarray, toxic: np.ndarray, least:
     """
     of_toxic, marked = toxic[np.repeat(np.arange(len(toxic)), np.diff(first))], np.zeros(units.shape[1], bool)
     before = np.append(np.uint64(0), units[0])[:-1]
-    for row in units[:3]:
+    for row in units:
         found = np.unique(np.stack([row, before, of_toxic.astype(np.uint64)], 1), axis=0)
         names, place = np.unique(found[:, 0], return_inverse=True)
         bad = np.bincount(place, found[:, 2] == 1, len(names))
