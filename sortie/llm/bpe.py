@@ -27,7 +27,7 @@ NONE = np.int32(2**31 - 1)
 #: Rows longer than this have no matrix (its work is the square of the length); a heap does the same merges.
 LONGEST_ROW = 256
 #: Words whose ids a worker remembers; all are forgotten beyond it.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Ids that are spelled out at once when decoding.
 DECODED = 1 << 18
 #: The published pattern of the byte-level vocabularies (a fixed value).

@@ -20,7 +20,7 @@ CHUNK_BYTES = 1 << 19
 
 def bounded(spark: SparkSession) -> SparkSession:
     """Sets how much of a table a Python worker gets at once: whole texts are long, so fewer rows than usual."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
 
