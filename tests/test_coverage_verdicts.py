@@ -83,7 +83,7 @@ def test_verdict_scenarios(spark):
         "combined": {"master": {"run-a": {"a"}}, "pr-1": {"run-b": {"a"}}},
     }
     edges, trials = table(spark, camps)
-    out = verdicts.differential_verdicts(edges, trials, pairing="paired", draws=400)
+    out = verdicts.differential_verdicts(edges, trials, pairing="paired", per_test=False, draws=400)
     rows = {(r.campaign, r.metric): r for r in out.collect()}
     got = {c: (r.relcov_status, r.verdict) for (c, m), r in rows.items() if m == "relscore"}
     assert got == {
