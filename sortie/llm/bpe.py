@@ -64,6 +64,11 @@ class Vocabulary:
             left = left[~won]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
+    @functools.cached_property
+    def byte_pairs(self) -> np.ndarray:
+        """The id of each two bytes joined, by left * 256 + right; NONE where there is none."""
+        return self.merged(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
+
     @functools.cached_property
     def spelled(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of each id, and the bytes of all ids end to end."""
@@ -117,9 +122,10 @@ class Vocabulary:
         """Merged rows of pieces of about one length: which piece, how many ids, and the ids end to end."""
         width = int(sizes.max())
         inside = np.arange(width) < sizes[:, None]
-        ids = np.where(inside, self.bytes[data[np.where(inside, starts[:, None] + np.arange(width), 0)]], np.int32(-1))
-        which, counts, flat = [], [], []
-        rank, row = self.merged(ids[:, :-1], ids[:, 1:]), np.arange(len(sizes))
+        raw = data[np.where(inside, starts[:, None] + np.arange(width), 0)].astype(np.int32)
+        ids = np.where(inside, self.bytes[raw], np.int32(-1))
+        rank = np.where(inside[:, 1:], self.byte_pairs[raw[:, :-1] << 8 | raw[:, 1:]], NONE)
+        which, counts, flat, row = [], [], [], np.arange(len(sizes))
         while len(row):
             each = np.arange(len(row))
             at = rank.argmin(1) if rank.shape[1] else np.zeros(len(row), np.int64)
@@ -135,14 +141,13 @@ class Vocabulary:
                 each = np.arange(len(row))
             ids[each, at] = best
             width = ids.shape[1] - 1
-            take = np.arange(width)[None, :]
-            ids = np.take_along_axis(ids, take + (take > at[:, None]), 1)
-            take = take[:, : width - 1]
-            rank = np.take_along_axis(rank, take + (take >= at[:, None]), 1)
-            for side in (-1, 0):  # the pairs beside the merged one
-                p = at + side
-                ok = (p >= 0) & (p < width - 1)
-                rank[each[ok], p[ok]] = self.merged(ids[each[ok], p[ok]], ids[each[ok], p[ok] + 1])
+            stays = np.ones(ids.shape, bool)
+            stays[each, at + 1] = False
+            ids, rank = ids[stays].reshape(-1, width), rank[stays[:, 1:]].reshape(-1, width - 1)
+            r, p = np.concatenate((each, each)), np.concatenate((at - 1, at))  # the pairs beside the merged one
+            ok = (p >= 0) & (p < width - 1)
+            r, p = r[ok], p[ok]
+            rank[r, p] = self.merged(ids[r, p], ids[r, p + 1])
         return np.concatenate(which), np.concatenate(counts), np.concatenate(flat)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +211,7 @@ class Memory:
         if new:
             parts = list(map(regex.compile(pattern).findall, new))
             counts, flat = vocab.encode_pieces([p.encode() for p in chain.from_iterable(parts)])
-            ends = np.cumsum(counts)[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) - 1] if len(counts) else np.zeros(len(parts), np.int64)
+            ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
             sizes = np.diff(ends, prepend=0)
             self.places.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
             self.starts = np.concatenate((self.starts, len(self.flat) + ends - sizes))
