@@ -19,8 +19,9 @@ CHUNK_BYTES = 1 << 19
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """Sets how much of a table a Python worker gets at once: whole texts are long, so fewer rows than usual."""
+    """Sets how much of a table a Python worker gets at once: few rows, and fewer where texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 
