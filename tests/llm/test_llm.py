@@ -342,3 +342,36 @@ def test_pipeline_stages(spark):
     kept = corpus_pipeline.near_duplicates(spark, odd, SMALL)
     assert corpus_pipeline.byte_bpe(spark, corpus_pipeline.personal_data(spark, corpus_pipeline.decontamination(spark, kept, SMALL), SMALL), SMALL).count() == kept.count()
     assert corpus_pipeline.language_id(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
+    r = random.Random(11)
+    some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+
+    def edited(words, places):
+        return [f"new{i}{r.random()}" if i in places else w for i, w in enumerate(words)]
+
+    texts = []
+    for n in (40, 80, 200, 600):
+        for _ in range(6):
+            base = some(n)
+            texts.append(base)
+            texts += [edited(base, {n // 2}), edited(base, {0, n - 1}), base[1:], [w.upper() for w in base]]  # near copies
+            texts.append(edited(base, set(range(0, n, 9))))  # shares half of its words in a row at most
+    hot = some(120)
+    texts += [edited(hot, {i}) for i in range(60)] + [["word"] * 3, ["word"] * 3]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    docs = docs_of(spark, [" ".join(texts[i]) for i in order], order)
+    sets = {i: {tuple(t[j : j + 5]) for j in range(max(len(t) - 4, 1))} for i, t in enumerate([[w.lower() for w in t] for t in texts])}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    left = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if alike(a, b)]
+    assert len(links) > 200 and not any(a in left and b in left for a, b in links)
+    root = {i: i for i in sets}  # of rows joined by links the smallest id stays
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root.values()) <= left and all(any(alike(i, j) for j in sets if j != i) for i in set(sets) - left)
+    odd = docs_of(spark, [" ".join(texts[0]), " ".join(texts[2]), " ".join(texts[6]), " ".join(texts[0])], [7, None, None, 7])
+    assert sorted((x.doc_id or 0, x.text) for x in corpus_pipeline.near_duplicates(spark, odd, SMALL).collect()) == sorted([(7, " ".join(texts[0])), (0, " ".join(texts[6]))])
