@@ -4,7 +4,9 @@ Trees are grown on a bounded sample: each node splits at the median along the be
 a few random directions. They are broadcast (their size follows from the sample's
 bound); every vector is then dropped into its leaf of each tree. A query searches all
 trees through one priority queue, ordered by its distance to the cells not yet opened,
-until the leaves taken hold `candidates` vectors by their exact counts. Leaves are cut
+until the leaves taken hold its budget of vectors by their exact counts. The budget is at
+least `candidates` and grows until a fixed set of probing queries, whose true neighbours
+one pass over all vectors finds, reaches `recall`. Leaves are cut
 into blocks, each query meets the blocks of its leaves, and the inner products of
 all pairs in a block are taken exactly; the best of each query's blocks are merged.
 """
@@ -98,6 +100,18 @@ def search(trees: list[Tree], counts: list[np.ndarray], q: np.ndarray, wanted: i
     return out
 
 
+def budget(trees: list[Tree], counts: list[np.ndarray], probes: np.ndarray, nearest: list[np.ndarray], recall: float) -> int:
+    """The least `wanted` of a search that finds that share of the probes' neighbours; nearest: for each probe its neighbours' leaves, one column a tree."""
+    needs = []
+    for q, leaves in zip(probes, nearest, strict=True):
+        before, taken = [np.full(t.leaves, 1 << 62) for t in trees], 0
+        for i, j in search(trees, counts, q, 1 << 62):
+            before[i][j] = taken
+            taken += int(counts[i][j])
+        needs += np.min([b[leaves[:, i]] for i, b in enumerate(before)], axis=0).tolist()
+    return sorted(needs)[max(0, int(np.ceil(recall * len(needs))) - 1)] + 1 if needs else 0
+
+
 def scaled(x: np.ndarray, largest: float) -> np.ndarray:
     """Unit vectors whose nearest by distance is the largest by inner product: one component more fills up the norm."""
     y = x / largest
@@ -122,7 +136,7 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding", trees: int = 4, leaf: int = 1500, candidates: int = 60_000, sample: int = 60_000, block: int = 2_000, seed: int = 17) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding", trees: int = 4, leaf: int = 1500, candidates: int = 60_000, recall: float = 0.97, probes: int = 64, sample: int = 60_000, block: int = 2_000, seed: int = 17) -> DataFrame:
     """(query_id, rank, key, score): each query's k nearest found by inner product, in double precision.
 
     Ties go to the smaller key; a query's own key is no neighbour. Vectors that are
@@ -131,6 +145,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str
     vectors only the k + 1 smallest keys can be among the k nearest; the rest are put
     aside before the search, so a hot vector costs no more than k + 1. `sample` bounds the rows that
     trees grow on (by a hash of the key), and so their size; all vectors are indexed.
+    The search is as deep as `probes` queries (by a hash of the key) need for `recall` against
+    brute force; on vectors without structure that is a large share of the table at any size.
     """
     spark = vectors.sparkSession
     good = lambda df: df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -165,6 +181,32 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str
     counts = [np.zeros(t.leaves, np.int64) for t in forest]
     for r in placed.groupBy("tree", "leaf").count().toLocalIterator():  # as many rows as the forest has leaves
         counts[r["tree"]][r["leaf"]] = r["count"]
+    chosen = asked.distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(probes).collect()
+    probe_ids = np.array([r["id"] for r in chosen], np.int64)
+    probe_vectors = np.array([r["v"] for r in chosen], np.float64).reshape(len(chosen), -1)
+
+    def nearest(batches):
+        forest, largest = shared.value
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, probe_vectors.shape[1])))] * len(probe_ids)
+        for batch in batches:
+            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
+            for n, score in enumerate(probe_vectors @ x.T):
+                other = np.flatnonzero((ids != probe_ids[n]) & (len(best[n][0]) < k or score >= best[n][0][-1]))
+                if len(other):
+                    s, i, v = np.append(best[n][0], score[other]), np.append(best[n][1], ids[other]), np.vstack((best[n][2], x[other]))
+                    top = np.lexsort((i, -s))[:k]
+                    best[n] = s[top], i[top], v[top]
+        for n, (score, ids, v) in enumerate(best):
+            if len(ids):
+                at = np.stack([drop(tree, scaled(v, largest)) for tree in forest], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), n, np.int32)), pa.array(ids), pa.array(score), pa.array(list(at), pa.list_(pa.int64()))], ["probe", "id", "score", "at"])
+
+    if chosen:
+        nth = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "id"))
+        true = kept.mapInArrow(nearest, "probe int, id long, score double, at array<long>").withColumn("_nth", nth).where(F.col("_nth") <= k).select("probe", "at").collect()
+        units = np.hstack((probe_vectors / np.linalg.norm(probe_vectors, axis=1)[:, None], np.zeros((len(chosen), 1))))
+        leaves = [np.array([r["at"] for r in true if r["probe"] == n], np.int64).reshape(-1, trees) for n in range(len(chosen))]
+        candidates = max(candidates, budget(forest, counts, units, leaves, recall))
     told = spark.sparkContext.broadcast([np.maximum(1, -(-c // block)) for c in counts])
     counted = spark.sparkContext.broadcast(counts)
 

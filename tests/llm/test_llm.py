@@ -220,6 +220,20 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert ann.neighbours(three, three, 20).count() == 6
 
 
+def test_neighbours_budget_grows_until_recall_is_reached(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, df.where("vec_id % 50 = 0"), 20, leaf=100, candidates=1200, block=500).collect()
+    found, hits = {(g.query_id, g.vec_id) for g in got}, 0
+    for q in range(0, 4000, 50):
+        score = x @ x[q]
+        score[q] = -9
+        hits += sum((q, int(i)) in found for i in np.argsort(-score)[:20])
+    assert hits >= 0.9 * 80 * 20
+
+
 # --- 3: toxicity
 
 
