@@ -36,8 +36,8 @@ class Scheme:
     """
 
     similarity: float = 0.8
-    walks: int = 4
-    bands: int = 6
+    walks: int = 6
+    bands: int = 4
     steps: int = 2
     bits: int = 24
     growth: float = 1.2

@@ -197,6 +197,22 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.clean(docs, items.limit(0)).count() == docs.count() and decontam.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_walks_find_long_items_at_the_greatest_distance():
+    scheme, r, n, found = decontam.Scheme(), np.random.default_rng(1), 59, 0
+    c, k = int(scheme.length_class(np.array([n]))[0]), int(scheme.edits(n))
+    span = (high := scheme.lengths(c)[1]) + int(scheme.edits(high))
+    for _ in range(400):
+        item = r.integers(1, 2**62, n).astype(np.uint64)
+        near = list(item)
+        for _ in range(k):
+            i, new = r.integers(len(near)), np.uint64(r.integers(1, 2**62))
+            near[i : i + 1] = [[], [new], [new, near[i]]][r.integers(3)]
+        text = np.concatenate((np.array(near, np.uint64), r.integers(1, 2**62, span).astype(np.uint64)))
+        window = scheme.keys(text, np.zeros(1, np.int64), np.array([span]), c)
+        found += bool((window == scheme.keys(item, np.zeros(1, np.int64), np.array([n]), c)).any())
+    assert found >= 0.96 * 400  # in the window that begins where the copy does; its neighbours add to it
+
+
 # --- 1: nearest neighbours
 
 
