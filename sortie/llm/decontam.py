@@ -230,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None =
     known = items(benchmark, scheme, item=item, text=item_text)
     found = windows(docs, known, scheme, key=key, text=text).select("key", "place", "offset", "words", F.explode("keys").alias("band"))
     bands = known.select(F.col("item").alias("_item"), F.explode("keys").alias("item_band"))
-    met = found.join(bands, F.col("band") == F.col("item_band")).groupBy("key", "place", "_item").agg(F.first("offset").alias("offset"), F.first("words").alias("words"))
+    met = found.join(bands, F.col("band") == F.col("item_band")).groupBy("key", "place", "_item", F.xxhash64("words").alias("_window")).agg(F.first("offset").alias("offset"), F.first("words").alias("words"))
     met = met.join(known.select("item", F.col("words").alias("item_words")), F.col("_item") == F.col("item"))
     met = met.withColumn("edits", edits(F.col("words"), F.col("item_words"))).withColumn("n_words", F.size("item_words"))
     allowed = F.floor(F.col("n_words") * (1 - scheme.similarity) + 1e-9)
@@ -239,6 +239,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no item is found; all columns stay, null keys and null texts included."""
-    found = stage(contaminated(docs, benchmark, scheme, key=key, text=text).select(F.col(key).alias("_leak_found")).distinct(), "contaminated")
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_leak_found")), "left_anti")
+    """The documents in which no item is found; all columns stay, null keys and null texts included.
+
+    Rows are told apart by key and text, since keys may be null or repeat.
+    """
+    row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("print"))
+    found = contaminated(docs.select(row.alias("_row"), F.col(text).alias("_content")), benchmark, scheme, key="_row", text="_content")
+    found = stage(found.select(F.col("_row.key").alias("_leak_found"), F.col("_row.print").alias("_leak_print")).distinct(), "contaminated")
+    return docs.join(found, F.col(key).eqNullSafe(F.col("_leak_found")) & (F.xxhash64(F.col(text)) == F.col("_leak_print")), "left_anti")

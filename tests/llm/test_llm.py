@@ -213,6 +213,17 @@ def test_walks_find_long_items_at_the_greatest_distance():
     assert found >= 0.96 * 400  # in the window that begins where the copy does; its neighbours add to it
 
 
+def test_decontamination_tells_rows_of_one_key_apart(spark):
+    item = [f"w{i}" for i in range(20)]
+    items = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    far = [" ".join(item[:9] + [f"x{n}{i}" for i in range(11)]) for n in range(12)]  # shares bands, but is too far
+    docs = docs_of(spark, [*far, " ".join(item), *far, " ".join(item), "clean words without an id", None], [1] * 25 + [None] * 3)
+    docs = docs.where("doc_id is null or text is not null")
+    assert [(x.doc_id, x.edits) for x in decontam.contaminated(docs.where("doc_id = 1"), items).collect()] == [(1, 0)]
+    left = [(x.doc_id, x.text) for x in decontam.clean(docs, items).collect()]
+    assert len(left) == 26 and (None, "clean words without an id") in left and (None, None) in left and (1, " ".join(item)) not in left
+
+
 # --- 1: nearest neighbours
 
 
