@@ -210,7 +210,7 @@ def test_walks_find_long_items_at_the_greatest_distance():
         text = np.concatenate((np.array(near, np.uint64), r.integers(1, 2**62, span).astype(np.uint64)))
         window = scheme.keys(text, np.zeros(1, np.int64), np.array([span]), c)
         found += bool((window == scheme.keys(item, np.zeros(1, np.int64), np.array([n]), c)).any())
-    assert found >= 0.96 * 400  # in the window that begins where the copy does; its neighbours add to it
+    assert found >= 0.97 * 400  # in the window that begins where the copy does; its neighbours add to it
 
 
 def test_decontamination_tells_rows_of_one_key_apart(spark):
