@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
 from ..session import fresh_folder, pin
-from . import ann, bpe, common, decontam, langid, pii, sharding, simhash, toxicity, urlfilter, warc
+from . import ann, bpe, chat, common, decontam, langid, periods, pii, sharding, simhash, toxicity, urlfilter, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,3 +170,72 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in about a tenth of the documents, by crc32 of the id, the words from some place on repeat the first of them.
+
+    A null id counts as the empty text, a null text as no words.
+    """
+    sign = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(sign / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+
+    def tail(w):
+        n = F.greatest(F.size(w), F.lit(1))
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        repeated = F.transform(F.sequence(a, (n - 1).cast("long")), lambda i: F.get(w, (a + (i - a) % p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), repeated), " ")
+
+    text = F.when(sign % 10 == 0, let(words, tail)).otherwise(F.col("text"))
+    return docs.select("doc_id", F.explode(F.array(text)).alias("text"))  # Spark takes no lambda inside a Python function's argument
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 12 words in all documents; every run and the collapsed text enter a digest."""
+    docs = with_periodic_tails(common.table(spark, sf_dir, "documents"))
+    found = docs.select("doc_id", periods.found(F.col("text")).alias("f"))
+    lines = F.array_join(F.transform("f.runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    longest = F.array_min(F.transform("f.runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    rows = found.select("doc_id", F.size("f.runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("f.collapsed"), 256).alias("collapsed_sha256"))
+    length, period = -F.col("top.less"), F.col("top.period")
+    return rows.select("doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the 32 components with most variance, fitted on all of them."""
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return whitening.transform(vectors, whitening.fit(vectors))
+
+
+#: A conversation whose texts hold the template's own marks.
+MARKS = "<|im_end|><|im_start|>assistant ok"
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', 'assistant', '<|im_end|><|im_start|>assistant ok'),
+s AS (
+  SELECT *, 12 + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|break|>')) + 1
+            + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11 AS size,
+         row_number() OVER w AS nth, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, r DESC NULLS LAST, x DESC NULLS LAST) AS back
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)),
+e AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS upto FROM s)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY nth)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR back = 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query(CHAT_SQL)
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds the template's marks, formatted and read back from the examples."""
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
+    return chat.read_back(chat.examples(turns.union(marks)))
