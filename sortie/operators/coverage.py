@@ -1,24 +1,49 @@
 """Coverage campaigns: rarity scores, relative coverage, baseline pairs, sizes.
 
-Edges stay in a long table. Scores never join trials with edges a second
-time for edges every approach has: those add nothing to any score, and they
-are the hot ones. The join that is left is salted.
+A trial's edges are a bitmap: edges are numbered densely over the whole table, and
+a set is stored as (word, mask) rows of 64 numbers each, empty words left out. Unions
+are `bit_or`, overlaps `bit_count` of two masks. All scores follow from the overlaps
+of trials with approaches: a trial's rarity score is the sum over approaches of its
+edges less the overlap, and relative coverage is overlap over reference.
+
+Tables may carry `run_id`; every result is then per run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions.scalars import is_baseline_name
+from ..session import stage
+from .numbering import dense_numbers
 from .ordered import quantiles
 
 ARM = ("campaign", "approach")
 TRIAL = ("campaign", "approach", "trial_id")
-SALTS = 8
+WORD = 64
+
+
+def scoped(df: DataFrame, *names: str) -> list[str]:
+    """The names, after `run_id` where the table has it."""
+    return [*(["run_id"] if "run_id" in df.columns else []), *names]
+
+
+def edge_sets(rows: DataFrame) -> DataFrame:
+    """Replaces `edge` by `word` and `mask`, one row per set and word that is not empty; staged.
+
+    Rows of equal other columns are one set; a repeated edge counts once and a null
+    one is no edge. Edges that sort side by side share words, so the edges of one
+    target make dense words.
+    """
+    others = [c for c in rows.columns if c != "edge"]
+    numbers = dense_numbers(rows, "edge", "_number")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_number") % WORD).cast("int"))
+    words = (
+        rows.join(numbers, "edge")
+        .groupBy(*others, F.floor(F.col("_number") / WORD).alias("word")).agg(F.bit_or(bit).alias("mask"))
+    )
+    return stage(words, "edge-sets")
 
 
 def _campaign_names() -> Column:
@@ -28,146 +53,115 @@ def _campaign_names() -> Column:
 
 
 def campaigns(rows: DataFrame) -> DataFrame:
-    """Every campaign a trial row belongs to; edges of one trial are united.
+    """Every campaign a trial belongs to; a trial's sets are united there.
 
-    Takes (approach, target_label, suite_test, trial_id[, edge]). Rows whose
-    label is missing are not in the labelled campaigns.
+    Takes (approach, target_label, suite_test, trial_id) with word and mask for sets,
+    without for trials. Rows whose label is missing are not in the labelled campaigns.
     """
-    cols = ["approach", "trial_id", *(["edge"] if "edge" in rows.columns else [])]
-    return rows.select(F.explode(_campaign_names()).alias("campaign"), *cols).distinct()
+    named = rows.withColumn("campaign", F.explode(_campaign_names()))
+    if "word" not in rows.columns:
+        return trials_of(named)
+    return named.groupBy(*scoped(rows, *TRIAL), "word").agg(F.bit_or("mask").alias("mask"))
 
 
-def trials_of(campaign_edges: DataFrame) -> DataFrame:
-    return campaign_edges.select(*TRIAL).distinct()
+def trials_of(sets: DataFrame) -> DataFrame:
+    return sets.select(*scoped(sets, *TRIAL)).distinct()
 
 
-def campaign_size(campaign_edges: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+def unions(sets: DataFrame) -> DataFrame:
+    """The edges each approach ever hit, as words."""
+    return sets.groupBy(*scoped(sets, *ARM), "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def campaign_size(sets: DataFrame, trials: DataFrame | None = None) -> DataFrame:
     """Trials and distinct edges per approach, and the work items of the whole campaign."""
-    trials = trials_of(campaign_edges) if trials is None else trials
-    per_arm = campaign_edges.groupBy(*ARM, "edge").agg(F.count(F.lit(1)).alias("_h"))
-    edges = per_arm.groupBy(*ARM).agg(F.count(F.lit(1)).alias("edges"))
-    counts = trials.groupBy(*ARM).agg(F.count(F.lit(1)).alias("trials"))
-    whole = (
-        per_arm.select("campaign", "edge").distinct().groupBy("campaign").agg(F.count(F.lit(1)).alias("_edges"))
-    )
-    all_trials = trials.groupBy("campaign").agg(F.count(F.lit(1)).alias("_trials"))
-    work = all_trials.join(whole, "campaign", "left").select(
-        "campaign",
+    trials = trials_of(sets) if trials is None else trials
+    arm, campaign = scoped(sets, *ARM), scoped(sets, "campaign")
+    per_arm = unions(sets)
+    edges = per_arm.groupBy(*arm).agg(F.sum(F.bit_count("mask")).alias("edges"))
+    counts = trials.groupBy(*arm).agg(F.count(F.lit(1)).alias("trials"))
+    whole = per_arm.groupBy(*campaign, "word").agg(F.bit_or("mask").alias("mask"))
+    whole = whole.groupBy(*campaign).agg(F.sum(F.bit_count("mask")).alias("_edges"))
+    all_trials = trials.groupBy(*campaign).agg(F.count(F.lit(1)).alias("_trials"))
+    work = all_trials.join(whole, campaign, "left").select(
+        *campaign,
         (F.coalesce("_edges", F.lit(0)) * F.greatest(F.col("_trials"), F.lit(1))).alias("work_items"),
     )
-    return (
-        counts.join(edges, list(ARM), "left").fillna(0, subset=["edges"]).join(work, "campaign")
-    )
+    return counts.join(edges, arm, "left").fillna(0, subset=["edges"]).join(work, campaign)
 
 
-def _approaches(trials: DataFrame) -> DataFrame:
-    """Per campaign its approaches (a handful by nature) and their number."""
+def overlaps(sets: DataFrame) -> DataFrame:
+    """(trial columns, reference, shared): how many edges of a trial an approach of its campaign ever hit.
+
+    Only pairs that share a word are there; with its own approach a trial shares all
+    its edges. One join of words, in which a key meets a row per approach.
+    """
+    held = unions(sets).select(
+        *scoped(sets, "campaign"), "word", F.col("approach").alias("reference"), F.col("mask").alias("_held")
+    )
     return (
-        trials.select(*ARM).distinct().groupBy("campaign")
-        .agg(F.array_sort(F.collect_list("approach")).alias("approaches"))
-        .withColumn("n_approaches", F.size("approaches"))
+        sets.join(held, scoped(sets, "campaign", "word"))
+        .groupBy(*scoped(sets, *TRIAL), "reference")
+        .agg(F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("_held")))).alias("shared"))
     )
 
 
-def _edge_owners(campaign_edges: DataFrame) -> DataFrame:
-    """Per campaign and edge: the approaches that ever hit it, with their trial counts."""
-    hits = campaign_edges.groupBy(*ARM, "edge").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.groupBy("campaign", "edge").agg(
-        F.collect_list(F.struct("approach", "hits")).alias("owners")
-    )
+def _own() -> Column:
+    return F.sum(F.when(F.col("reference") == F.col("approach"), F.col("shared")))
 
 
-def relscore(campaign_edges: DataFrame, trials: DataFrame | None = None) -> DataFrame:
-    """Rarity score per approach: edges weighted by the approaches that never hit them."""
-    trials = trials_of(campaign_edges) if trials is None else trials
-    scored = (
-        _edge_owners(campaign_edges)
-        .join(_approaches(trials).select("campaign", "n_approaches"), "campaign")
-        .select(
-            "campaign",
-            (F.col("n_approaches") - F.size("owners")).alias("_never"),
-            F.explode("owners").alias("_o"),
-        )
-        .groupBy("campaign", F.col("_o.approach").alias("approach"))
-        .agg(F.sum(F.col("_never") * F.col("_o.hits")).alias("_total"))
-    )
-    covered = trials_of(campaign_edges).groupBy(*ARM).agg(F.count(F.lit(1)).alias("_n"))
+def _scored(sets: DataFrame, trials: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Per trial: own_edges and score, zero included; `extra` aggregates see its overlaps."""
+    campaign, trial = scoped(sets, "campaign"), scoped(sets, *TRIAL)
+    arms = trials.select(*campaign, "approach").distinct().groupBy(*campaign).agg(F.count(F.lit(1)).alias("_arms"))
+    sums = overlaps(sets).groupBy(*trial).agg(_own().alias("own_edges"), F.sum("shared").alias("_all"), *extra)
+    joined = trials.join(arms, campaign).join(sums, trial, "left")
+    score = F.col("_arms") * F.col("own_edges") - F.col("_all")
     return (
-        trials.select(*ARM).distinct()
-        .join(scored, list(ARM), "left").join(covered, list(ARM), "left")
-        .select(*ARM, F.coalesce(F.col("_total") / F.col("_n"), F.lit(0.0)).alias("relscore"))
+        joined.withColumn("score", F.coalesce(score, F.lit(0)).cast("double"))
+        .withColumn("own_edges", F.coalesce("own_edges", F.lit(0))).drop("_arms", "_all")
     )
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, salts: int = SALTS) -> DataFrame:
-    """Inner equi-join whose hot left keys go to several tasks; ``right`` is small per key."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+def trial_scores(sets: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+    """Rarity score of every trial: its edges weighted by the approaches that never hit them."""
+    trials = trials_of(sets) if trials is None else trials
+    return _scored(sets, trials).select(*scoped(sets, *TRIAL), "score")
 
 
-def _rare_hits(campaign_edges: DataFrame, trials: DataFrame) -> DataFrame:
-    """Trial rows of edges that at least one approach never hit, with who missed them."""
-    rare = (
-        _edge_owners(campaign_edges)
-        .join(_approaches(trials), "campaign")
-        .where(F.size("owners") < F.col("n_approaches"))
-        .select(
-            "campaign",
-            "edge",
-            F.array_except("approaches", F.transform("owners", lambda o: o["approach"])).alias("missed_by"),
-        )
-    )
-    return salted_join(campaign_edges, rare, ["campaign", "edge"], F.col("trial_id"))
-
-
-def trial_scores(campaign_edges: DataFrame, trials: DataFrame | None = None) -> DataFrame:
-    """Rarity score of every trial, zero included."""
-    trials = trials_of(campaign_edges) if trials is None else trials
-    total = _rare_hits(campaign_edges, trials).groupBy(*TRIAL).agg(
-        F.sum(F.size("missed_by")).alias("_s")
-    )
-    return trials.join(total, list(TRIAL), "left").select(
-        *TRIAL, F.coalesce(F.col("_s"), F.lit(0)).cast("double").alias("score")
+def relscore(sets: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+    """Rarity score per approach: the mean over its trials that hit anything, zero without one."""
+    trials = trials_of(sets) if trials is None else trials
+    full = F.count_if(F.col("own_edges") > 0)
+    return _scored(sets, trials).groupBy(*scoped(sets, *ARM)).agg(
+        F.coalesce(F.try_divide(F.sum("score"), full), F.lit(0.0)).alias("relscore")
     )
 
 
 def relcov_samples(
-    campaign_edges: DataFrame,
+    sets: DataFrame,
     trials: DataFrame | None = None,
     references: DataFrame | None = None,
 ) -> DataFrame:
     """Share of a reference approach's edges each trial covers, zero overlap included.
 
-    Shared edges are the trial's edges less those the reference never hit, so
-    only rare edges are looked at. ``references`` (campaign, reference) narrows
-    the references.
+    ``references`` (campaign, reference) narrows the references.
     """
-    trials = trials_of(campaign_edges) if trials is None else trials
-    union = (
-        campaign_edges.groupBy(*ARM, "edge").agg(F.count(F.lit(1)).alias("_h"))
-        .groupBy(*ARM).agg(F.count(F.lit(1)).alias("_u"))
-    )
+    trials = trials_of(sets) if trials is None else trials
+    campaign, trial = scoped(sets, "campaign"), scoped(sets, *TRIAL)
+    sizes = unions(sets).groupBy(*campaign, F.col("approach").alias("reference")).agg(F.sum(F.bit_count("mask")).alias("_u"))
     refs = (
-        trials.select("campaign", F.col("approach").alias("reference")).distinct()
-        .join(union.withColumnRenamed("approach", "reference"), ["campaign", "reference"], "left")
-        .select("campaign", "reference", F.coalesce("_u", F.lit(0)).alias("reference_edges"))
+        trials.select(*campaign, F.col("approach").alias("reference")).distinct()
+        .join(sizes, [*campaign, "reference"], "left")
+        .select(*campaign, "reference", F.coalesce("_u", F.lit(0)).alias("reference_edges"))
     )
     if references is not None:
-        refs = refs.join(references, ["campaign", "reference"], "left_semi")
-    own = campaign_edges.groupBy(*TRIAL).agg(F.count(F.lit(1)).alias("_own"))
-    misses = (
-        _rare_hits(campaign_edges, trials)
-        .select(*TRIAL, F.explode("missed_by").alias("reference"))
-        .groupBy(*TRIAL, "reference").agg(F.count(F.lit(1)).alias("_miss"))
-    )
-    shared = F.coalesce("_own", F.lit(0)) - F.coalesce("_miss", F.lit(0))
+        refs = refs.join(references, scoped(references, "campaign", "reference"), "left_semi")
+    shared = F.coalesce("shared", F.lit(0))
     return (
-        trials.join(own, list(TRIAL), "left")
-        .join(refs, "campaign")
-        .join(misses, [*TRIAL, "reference"], "left")
+        trials.join(refs, campaign).join(overlaps(sets), [*trial, "reference"], "left")
         .select(
-            *TRIAL, "reference", shared.alias("shared"), "reference_edges",
+            *trial, "reference", shared.alias("shared"), "reference_edges",
             F.coalesce(F.try_divide(shared, "reference_edges"), F.lit(0.0)).alias("relcov"),
         )
     )
@@ -175,16 +169,16 @@ def relcov_samples(
 
 def relcov(samples: DataFrame) -> DataFrame:
     """Median over trials per (approach, reference)."""
-    return quantiles(samples, [*ARM, "reference"], "relcov", {"relcov": 0.5}).select(
-        *ARM, "reference", "relcov"
-    )
+    keys = scoped(samples, *ARM, "reference")
+    return quantiles(samples, keys, "relcov", {"relcov": 0.5}).select(*keys, "relcov")
 
 
 def baseline_feature(trials: DataFrame) -> DataFrame:
     """Campaigns with exactly two approaches of which exactly one is a baseline by name."""
-    arms = trials.select(*ARM).distinct().withColumn("_base", is_baseline_name("approach"))
+    campaign = scoped(trials, "campaign")
+    arms = trials.select(*campaign, "approach").distinct().withColumn("_base", is_baseline_name("approach"))
     return (
-        arms.groupBy("campaign")
+        arms.groupBy(*campaign)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.count_if("_base").alias("_b"),
@@ -192,38 +186,27 @@ def baseline_feature(trials: DataFrame) -> DataFrame:
             F.max(F.when(~F.col("_base"), F.col("approach"))).alias("feature"),
         )
         .where((F.col("_n") == 2) & (F.col("_b") == 1))
-        .select("campaign", "baseline", "feature")
+        .select(*campaign, "baseline", "feature")
     )
 
 
-def pair_measures(campaign_edges: DataFrame, trials: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_measures(sets: DataFrame, trials: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per trial of a baseline/feature pair: rarity score and coverage of the baseline.
 
-    One pass over the edges gives both. ``relcov`` is NULL where the baseline
-    has no edges at all.
+    One join of words gives both. ``relcov`` is NULL where the baseline has no edges at all.
     """
-    chosen = pairs.select("campaign", "baseline", "feature")
-    edges = campaign_edges.join(pairs.select("campaign"), "campaign", "left_semi")
-    runs = trials.join(chosen, "campaign")
-    rare = _rare_hits(edges, trials).join(chosen.select("campaign", "baseline"), "campaign")
-    lost = F.array_contains("missed_by", F.col("baseline")).cast("int")
-    rare = rare.groupBy(*TRIAL).agg(
-        F.sum(F.size("missed_by")).alias("_score"), F.sum(lost).alias("_miss")
-    )
-    own = edges.groupBy(*TRIAL).agg(F.count(F.lit(1)).alias("own_edges"))
-    union = (
-        edges.groupBy(*ARM, "edge").agg(F.count(F.lit(1)).alias("_h"))
-        .groupBy("campaign", F.col("approach").alias("baseline")).agg(F.count(F.lit(1)).alias("_ref"))
-    )
-    zero = F.lit(0)
-    return (
-        runs.join(own, list(TRIAL), "left").join(rare, list(TRIAL), "left")
-        .join(union, ["campaign", "baseline"], "left")
-        .select(
-            *TRIAL, "baseline", "feature",
-            (F.col("approach") == F.col("feature")).alias("is_x"),
-            F.coalesce("own_edges", zero).alias("own_edges"),
-            F.coalesce("_score", zero).cast("double").alias("score"),
-            ((F.coalesce("own_edges", zero) - F.coalesce("_miss", zero)) / F.col("_ref")).alias("relcov"),
-        )
+    campaign, trial = scoped(sets, "campaign"), scoped(sets, *TRIAL)
+    chosen = pairs.select(*campaign, "baseline", "feature")
+    words = sets.join(chosen, campaign)
+    runs = trials.join(chosen.select(*campaign), campaign, "left_semi")
+    # of two approaches the other one's overlap is all overlaps less the own
+    other = F.sum(F.when(F.col("reference") != F.col("approach"), F.col("shared"))).alias("_other")
+    scored = _scored(words.select(sets.columns), runs, (other,)).join(chosen, campaign)
+    size = unions(words.where(F.col("approach") == F.col("baseline")).select(sets.columns))
+    size = size.groupBy(*campaign).agg(F.sum(F.bit_count("mask")).alias("_ref"))
+    is_x = F.col("approach") == F.col("feature")
+    shared = F.when(is_x, F.coalesce("_other", F.lit(0))).otherwise(F.col("own_edges"))
+    return scored.join(size, campaign, "left").select(
+        *trial, "baseline", "feature", is_x.alias("is_x"), "own_edges", "score",
+        (shared / F.col("_ref")).alias("relcov"),
     )

@@ -14,7 +14,7 @@ from .views import HORIZON_HOURS, STEP_MIN, table, v_edges, v_events, with_views
 
 
 def _ce(spark, d):
-    return C.campaigns(v_edges(spark, d))
+    return C.campaigns(C.edge_sets(v_edges(spark, d)))
 
 
 def _measures(spark, d):
@@ -33,15 +33,18 @@ def _matched(rows, value):
 
 
 def _pair_edges(spark, d):
-    """Baseline and feature only: the shape of a build-against-build comparison."""
-    return C.campaigns(v_edges(spark, d).where(F.col("approach").isin("main", "feature")))
+    """All event types as two builds: the shape of a build-against-build comparison."""
+    main = F.col("approach").isin("main", "error", "signup")
+    built = v_edges(spark, d).withColumn("approach", F.when(main, "main").otherwise("feature"))
+    return C.campaigns(C.edge_sets(built))
 
 
 def _round(df, n=9):
     return df.select(*[F.round(c, n).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-_PAIR = "pe AS (SELECT * FROM campaign_edges WHERE approach IN ('main', 'feature'))"
+_PAIR = """pe AS (SELECT DISTINCT campaign, CASE WHEN approach IN ('main', 'error', 'signup') THEN 'main' ELSE 'feature' END AS approach, trial_id, edge
+   FROM campaign_edges)"""
 
 
 def _score_sql(src: str, p: str) -> str:
@@ -63,7 +66,7 @@ def _cov_sql(src: str, p: str) -> str:
 
 @query("A6", with_views("campaign_edges", "SELECT campaign, approach, count(*) AS rows, count(DISTINCT trial_id) AS trials FROM campaign_edges GROUP BY ALL"))
 def coverage_campaigns(spark, d):
-    per_trial = _ce(spark, d).groupBy(*C.TRIAL).agg(F.count(F.lit(1)).alias("n"))
+    per_trial = _ce(spark, d).groupBy(*C.TRIAL).agg(F.sum(F.bit_count("mask")).alias("n"))
     return per_trial.groupBy(*C.ARM).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("trials"))
 
 
@@ -120,7 +123,7 @@ def campaign_sizes(spark, d):
     ),
 )
 def campaign_families(spark, d):
-    names = _ce(spark, d).select("campaign").distinct()
+    names = C.campaigns(v_edges(spark, d).drop("edge")).select("campaign").distinct()
     return names.select("campaign", S.is_target_family("campaign").alias("target_family"), S.is_per_test("campaign").alias("per_test"))
 
 

@@ -11,7 +11,7 @@ def table(spark, campaigns):
     rows = [(c, a, t, e) for c, arms in campaigns.items() for a, trials in arms.items() for t, es in trials.items() for e in es]
     names = [(c, a, t) for c, arms in campaigns.items() for a, trials in arms.items() for t in trials]
     return (
-        spark.createDataFrame(rows, "campaign string, approach string, trial_id string, edge string"),
+        C.edge_sets(spark.createDataFrame(rows, "campaign string, approach string, trial_id string, edge string")),
         spark.createDataFrame(names, "campaign string, approach string, trial_id string"),
     )
 
