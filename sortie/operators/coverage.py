@@ -110,12 +110,15 @@ def _own() -> Column:
     return F.sum(F.when(F.col("reference") == F.col("approach"), F.col("shared")))
 
 
-def _scored(sets: DataFrame, trials: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
-    """Per trial: own_edges and score, zero included; `extra` aggregates see its overlaps."""
+def _scored(sets: DataFrame, trials: DataFrame | None, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Per trial: own_edges and score, zero included; `extra` aggregates see its overlaps.
+
+    Without ``trials`` they are those of the sets, each of which overlaps with its own approach.
+    """
     campaign, trial = scoped(sets, "campaign"), scoped(sets, *TRIAL)
-    arms = trials.select(*campaign, "approach").distinct().groupBy(*campaign).agg(F.count(F.lit(1)).alias("_arms"))
+    arms = (unions(sets) if trials is None else trials).groupBy(*campaign).agg(F.count_distinct("approach").alias("_arms"))
     sums = overlaps(sets).groupBy(*trial).agg(_own().alias("own_edges"), F.sum("shared").alias("_all"), *extra)
-    joined = trials.join(arms, campaign).join(sums, trial, "left")
+    joined = (sums if trials is None else trials.join(sums, trial, "left")).join(arms, campaign)
     score = F.col("_arms") * F.col("own_edges") - F.col("_all")
     return (
         joined.withColumn("score", F.coalesce(score, F.lit(0)).cast("double"))
@@ -125,13 +128,11 @@ def _scored(sets: DataFrame, trials: DataFrame, extra: tuple[Column, ...] = ())
 
 def trial_scores(sets: DataFrame, trials: DataFrame | None = None) -> DataFrame:
     """Rarity score of every trial: its edges weighted by the approaches that never hit them."""
-    trials = trials_of(sets) if trials is None else trials
     return _scored(sets, trials).select(*scoped(sets, *TRIAL), "score")
 
 
 def relscore(sets: DataFrame, trials: DataFrame | None = None) -> DataFrame:
     """Rarity score per approach: the mean over its trials that hit anything, zero without one."""
-    trials = trials_of(sets) if trials is None else trials
     full = F.count_if(F.col("own_edges") > 0)
     return _scored(sets, trials).groupBy(*scoped(sets, *ARM)).agg(
         F.coalesce(F.try_divide(F.sum("score"), full), F.lit(0.0)).alias("relscore")

@@ -17,13 +17,15 @@ def dense_numbers(df: DataFrame, column: str, name: str) -> DataFrame:
     """
     ranged = (
         df.select(column).where(F.col(column).isNotNull()).distinct()
-        .repartitionByRange(column).select(column, F.spark_partition_id().alias("_range"))
+        .repartitionByRange(column).sortWithinPartitions(column)
+    )
+    # the generated id holds the range above bit 33 and the place in it below; the written table fixes both
+    dealt = stage(ranged.select(column, F.monotonically_increasing_id().alias("_id")), "ranges").select(
+        column, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
     )
-    dealt = stage(ranged, "ranges")
     # as many rows as ranges
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
+    firsts = dealt.groupBy("_range").agg(F.max("_at").alias("_last")).select(
+        "_range", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_first")
     )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column)).cast("bigint") - 1
-    return dealt.withColumn("_at", inside).join(firsts, "_range").select(column, (F.col("_first") + F.col("_at")).alias(name))
+    return dealt.join(firsts, "_range").select(column, (F.col("_first") + F.col("_at")).alias(name))

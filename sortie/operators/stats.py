@@ -2,7 +2,8 @@
 
 Ranks come from value counts run along the value order, so neither a big
 sample nor a value shared by most rows meets a single task. Python only
-turns one row of sums per group into a p-value, and resamples counts.
+turns one row of sums per group into a p-value, and draws resamples of
+one leaf of values at a time.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.scalars import effect_class
+from ..session import stage
 from .findings import peers
-from .ordered import quantiles, scan, value_bucket
+from .ordered import SEGMENTS, quantiles, scan, with_segments
 
 NORMAL = NormalDist()
 
@@ -36,8 +39,8 @@ def rank_sums(samples: DataFrame, keys: Sequence[str], value: Column, is_x: Colu
             F.coalesce(F.sum(F.when(F.col("_is_x"), F.col("_w"))), F.lit(0)).alias("_nx"),
             F.coalesce(F.sum(F.when(~F.col("_is_x"), F.col("_w"))), F.lit(0)).alias("_ny"),
         )
-        .withColumn("_seg", value_bucket(F.col("_x")))
     )
+    counts = with_segments(counts, "_x")
     ranked = scan(counts, keys, ["_x"], {"_upto": ("sum", F.col("_ny"))}, "_seg")
     t = (F.col("_nx") + F.col("_ny")).cast("double")
     return ranked.groupBy(*keys).agg(
@@ -65,8 +68,9 @@ def _u_exact_sf(u: float, n1: int, n2: int) -> float:
         up, down = large + i, i
         if up <= top:
             ways[up:] = ways[up:] - ways[: top + 1 - up].copy()
-        for j in range(down, top + 1):
-            ways[j] += ways[j - down]
+        lanes = np.zeros(-(-(top + 1) // down) * down)  # running sums with stride `down`
+        lanes[: top + 1] = ways
+        ways = np.cumsum(lanes.reshape(-1, down), axis=0).ravel()[: top + 1]
     at = math.ceil(u - 1e-9)
     return float(ways[at:].sum() / ways.sum()) if at <= top else 0.0
 
@@ -133,8 +137,8 @@ def signed_sums(pairs: DataFrame, keys: Sequence[str], diff: Column) -> DataFram
         .where(F.col("_d").isNotNull() & ~F.isnan("_d") & (F.col("_d") != 0.0))
         .groupBy(*keys, F.abs("_d").alias("_x"))
         .agg(F.count_if(F.col("_d") > 0).alias("_up"), F.count(F.lit(1)).alias("_t"))
-        .withColumn("_seg", value_bucket(F.col("_x")))
     )
+    counts = with_segments(counts, "_x")
     ranked = scan(counts, keys, ["_x"], {"_upto": ("sum", F.col("_t"))}, "_seg")
     rank = F.col("_upto") - (F.col("_t") - 1) / 2.0
     t = F.col("_t").cast("double")
@@ -195,11 +199,24 @@ def noninferiority_signed_test(
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, out: str = "p_adjusted") -> DataFrame:
-    """Step-down adjusted p-values inside each family of hypotheses."""
-    by_p = Window.partitionBy(*family).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    step = F.least(F.lit(1.0), (m - F.row_number().over(by_p) + 1) * F.col(p))
-    return df.withColumn("_step", step).withColumn(out, F.max("_step").over(by_p)).drop("_step")
+    """Step-down adjusted p-values inside each family of hypotheses; a null p stays null and counts for nothing.
+
+    Equal p-values are one row with a count. Ranks and the running maximum are carried
+    over segments of p, so a family may be a whole archive.
+    """
+    keys = [f"_f{i}" for i in range(len(family))]
+    counts = (
+        df.where(F.col(p).isNotNull()).groupBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(family, keys)], F.col(p).alias("_p"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    counts = stage(with_segments(counts, "_p"), "p-values")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    ranked = scan(counts, keys, ["_p"], {"_upto": ("sum", F.col("_c"))}, "_seg").join(sizes, keys)
+    ranked = stage(ranked, "p-ranks")  # the second scan reads it twice
+    step = F.least(F.lit(1.0), (F.col("_m") - F.col("_upto") + F.col("_c")) * F.col("_p"))
+    adjusted = scan(ranked, keys, ["_p"], {out: ("max", step)}, "_seg").select(*keys, "_p", F.col(out).alias("_adjusted"))
+    same = [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(k) for c, k in zip(family, keys)]
+    return df.join(adjusted, [*same, F.col(p) == F.col("_p")], "left").withColumn(out, F.col("_adjusted")).drop(*keys, "_p", "_adjusted")
 
 
 def pairwise_rank_tests(
@@ -259,63 +276,84 @@ def pairwise_rank_tests(
 
 # --- bootstrap ------------------------------------------------------------------
 
+#: Distinct values of a leaf, and draws that are made together.
+LEAF, BLOCK = 1024, 200
+#: Bits of a leaf's place inside its segment.
+_PLACE = 20
+
+
+def _leaves(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, is_x, leaf, n, values, counts, path): an arm's distinct values in leaves of a binary tree.
+
+    A path has, from the root down, each node where the tree forks: how many rows
+    lie below it and below its left side, and on which side the leaf is.
+    """
+    arm = [*keys, "is_x"]
+    counts = with_segments(counts, "v")
+    nth = F.row_number().over(Window.partitionBy(*arm, "_seg").orderBy("v")) - 1
+    leaf = F.col("_seg").cast("bigint") * (1 << _PLACE) + F.floor(nth / LEAF)
+    leaves = (
+        counts.withColumn("_leaf", leaf).groupBy(*arm, "_leaf")
+        .agg(F.sum("c").alias("_held"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("_vc"))
+    )
+    leaves = stage(leaves, "leaves")  # the rows behind a draw must not change between its parts
+    levels = _PLACE + SEGMENTS.bit_length()
+    up = lambda c, by: F.floor(c / F.pow(F.lit(2.0), by)).cast("bigint")
+    above = leaves.select(*arm, "_leaf", "_held", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
+    above = above.withColumn("_node", up(F.col("_leaf"), F.col("_level")))
+    nodes = above.groupBy(*arm, "_level", "_node").agg(F.sum("_held").alias("_n"))
+    right = F.sum(F.when(F.col("_node") % 2 == 1, F.col("_n")))
+    left = F.sum(F.when(F.col("_node") % 2 == 0, F.col("_n")))
+    forks = (
+        nodes.groupBy(*arm, (F.col("_level") + 1).alias("_level"), up(F.col("_node"), F.lit(1)).alias("_node"))
+        .agg(left.alias("_left"), right.alias("_right")).where(F.col("_left").isNotNull() & F.col("_right").isNotNull())
+    )
+    side = up(F.col("_leaf"), F.col("_level") - 1) % 2 == 1
+    step = F.struct((-F.col("_level")).alias("level"), F.col("_node").alias("node"), F.col("_left").alias("left"), (F.col("_left") + F.col("_right")).alias("both"), side.alias("right"))
+    paths = above.join(forks, [*arm, "_level", "_node"]).groupBy(*arm, "_leaf").agg(F.sort_array(F.collect_list(step)).alias("_path"))
+    total = nodes.where(F.col("_level") == levels).groupBy(*arm).agg(F.sum("_n").alias("_rows"))
+    return leaves.join(paths, [*arm, "_leaf"], "left").join(total, arm)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _partial_sums(arm: pa.Array, block: pa.Array, rows: pa.Array, leaf: pa.Array, path: pa.Array, values: pa.Array, draws: pa.Array) -> pa.Array:
+    """What a leaf adds to the sum of each draw of a block; draws are multinomial over all values of the arm.
 
-def _resampled_means(values: np.ndarray, counts: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """Means of resamples of all rows, drawn as multinomial counts of the distinct values; one law for every size."""
-    n = int(counts.sum())
-    share = counts / n
-    return np.array([rng.multinomial(n, share) @ values / n for _ in range(draws)])
-
-
-def _sorted_quantile(ordered: np.ndarray, q: float) -> float:
-    return float(np.quantile(ordered, min(max(q, 0.0), 1.0)))
-
-
-def _bca(boot: np.ndarray, theta: float, jack: list[tuple[np.ndarray, np.ndarray]], level: float) -> tuple[float, float]:
-    boot, m = np.sort(boot), len(boot)
-    same = np.isclose(boot, theta, rtol=1e-12, atol=1e-15)  # equal up to summation order
-    below = (np.count_nonzero((boot < theta) & ~same) + 0.5 * np.count_nonzero(same)) / m
-    z0 = NORMAL.inv_cdf(min(max(below, 1e-9), 1.0 - 1e-9))
-    estimates = np.concatenate([e for e, _ in jack])
-    weights = np.concatenate([w for _, w in jack])
-    off = np.average(estimates, weights=weights) - estimates
-    spread = float((weights * off**2).sum()) ** 1.5
-    accel = float((weights * off**3).sum()) / (6.0 * spread) if spread else 0.0
-
-    def level_at(alpha: float) -> float:
-        z = z0 + NORMAL.inv_cdf(alpha)
-        scale = 1.0 - accel * z
-        return alpha if scale == 0.0 else NORMAL.cdf(z0 + z / scale)
-
-    tail = (1.0 - level) / 2.0
-    return _sorted_quantile(boot, level_at(tail)), _sorted_quantile(boot, level_at(1.0 - tail))
-
-
-def bca_interval(
-    x: tuple[np.ndarray, np.ndarray],
-    y: tuple[np.ndarray, np.ndarray] | None,
-    level: float,
-    min_samples: int,
-    draws: int,
-    seed: int,
-) -> tuple[float | None, float | None, str]:
-    """Interval of mean(x), or of mean(x) - mean(y); arms are (values, counts)."""
-    arms = [x] if y is None else [x, y]
-    if any(int(c.sum()) < min_samples for _, c in arms):
-        return None, None, "insufficient n"
-    means = [float(np.average(v, weights=c)) for v, c in arms]
-    theta = means[0] - (means[1] if y is not None else 0.0)
-    if all(len(v) == 1 for v, _ in arms):
-        return theta, theta, "ok"
-    rng, signs = np.random.default_rng(seed), (1.0, -1.0)
-    boot = sum(s * _resampled_means(v, c, draws, rng) for s, (v, c) in zip(signs, arms))
-    jack = []
-    for i, (v, c) in enumerate(arms):
-        n = int(c.sum())
-        if n > 1:
-            other = theta - signs[i] * means[i]
-            jack.append((other + signs[i] * (means[i] * n - v) / (n - 1), c.astype(float)))
-    return (*_bca(boot, theta, jack, level), "ok")
+    The rows of a draw are shared out along the path by conditional binomials. The chance
+    at a fork is seeded by the fork, so every leaf below it agrees on it.
+    """
+    out = []
+    for name, nth, n, at, steps, vc, many in zip(*[c.to_pylist() for c in (arm, block, rows, leaf, path, values, draws)], strict=True):
+        held = np.full(many, n, np.int64)
+        for s in steps or ():
+            fork = np.random.default_rng([name & (2**64 - 1), nth, 1 - s["level"], s["node"]])
+            left = fork.binomial(held, s["left"] / s["both"])
+            held = held - left if s["right"] else left
+        v, c = np.array([x["v"] for x in vc]), np.array([x["c"] for x in vc], float)
+        own = np.random.default_rng([name & (2**64 - 1), nth, 0, at])
+        out.append(own.multinomial(held, c / c.sum()) @ v)
+    return pa.array([o.tolist() for o in out], pa.list_(pa.float64()))
+
+
+@F.arrow_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def _bca(boot: pa.Array, theta: pa.Array, skew: pa.Array, spread: pa.Array, level: pa.Array) -> pa.Array:
+    """Bias-corrected and accelerated limits from all draws of a group, its estimate and jackknife moments."""
+    out = []
+    for draws, t, third, second, confidence in zip(*[c.to_pylist() for c in (boot, theta, skew, spread, level)], strict=True):
+        b = np.sort(np.array(draws, float))
+        same = np.isclose(b, t, rtol=1e-12, atol=1e-15)  # equal up to summation order
+        below = (np.count_nonzero((b < t) & ~same) + 0.5 * np.count_nonzero(same)) / len(b)
+        z0 = NORMAL.inv_cdf(min(max(below, fixed.LEAST_SHARE), 1.0 - fixed.LEAST_SHARE))
+        accel = third / (6.0 * second**1.5) if second else 0.0
+
+        def limit(alpha: float) -> float:
+            z = z0 + NORMAL.inv_cdf(alpha)
+            share = NORMAL.cdf(z0 + z / (1.0 - accel * z)) if accel * z != 1.0 else alpha
+            return float(np.quantile(b, min(max(share, 0.0), 1.0)))
+
+        tail = (1.0 - confidence) / 2.0
+        out.append({"low": limit(tail), "high": limit(1.0 - tail)})
+    return pa.array(out, pa.struct([("low", pa.float64()), ("high", pa.float64())]))
 
 
 def bca_ci(
@@ -330,8 +368,10 @@ def bca_ci(
 ) -> DataFrame:
     """BCa interval per group of a mean, or with ``is_x`` of a difference of means.
 
-    Values are counted before they reach Python: coverage ratios take at most
-    one value per edge of the reference, however many trials there are.
+    Equal values are one with a count; an arm's values lie in leaves of at most LEAF, and a
+    task draws BLOCK resamples of one leaf. Sums of a draw are merged by groups; only the
+    draws of a group (a fixed number) ever meet. Null, infinite and undefined values are
+    left out. The law is the same for every size, and draws repeat from run to run.
     """
     keys = list(keys)
     side = F.lit(True) if is_x is None else is_x
@@ -341,22 +381,39 @@ def bca_ci(
         .groupBy(*keys, "is_x", "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    fields = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", ci_low double, ci_high double, ci_status string"
-    two = is_x is not None
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-
-        def arm(flag: bool):
-            part = pdf[pdf["is_x"] == flag]
-            return part["v"].to_numpy(float), part["c"].to_numpy(np.int64)
-
-        low, high, status = bca_interval(arm(True), arm(False) if two else None, level, min_samples, draws, seed)
-        head = pdf[keys].iloc[:1].copy()
-        head["ci_low"], head["ci_high"], head["ci_status"] = low, high, status
-        head["ci_low"] = head["ci_low"].astype(float)
-        head["ci_high"] = head["ci_high"].astype(float)
-        return head
-
-    return counts.groupBy(*keys).applyInPandas(one, schema)
+    arm = [*keys, "is_x"]
+    means = counts.groupBy(*arm).agg(
+        F.sum("c").alias("_n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("_mean"), F.count(F.lit(1)).alias("_kinds")
+    )
+    sign = F.when(F.col("is_x"), 1.0).otherwise(-1.0)
+    off = sign * (F.col("v") - F.col("_mean")) / (F.col("_n") - 1)  # a jackknife estimate less their mean
+    moments = counts.join(means.where(F.col("_n") > 1), arm).groupBy(*keys).agg(
+        F.sum(F.col("c") * off * off).alias("_m2"), F.sum(F.col("c") * off * off * off).alias("_m3")
+    )
+    wanted = 1 if is_x is None else 2
+    arms = means.groupBy(*keys).agg(
+        (F.count_if(F.col("_n") >= min_samples) == wanted).alias("_enough"), (F.max("_kinds") == 1).alias("_constant"),
+        F.sum(sign * F.col("_mean")).alias("_theta"),
+    )
+    named = F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("is_x"))
+    drawn = arms.where(F.col("_enough") & ~F.col("_constant")).select(*keys)
+    leaves = _leaves(counts.join(drawn, keys, "left_semi"), keys)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BLOCK)))
+    many = F.least(F.lit(BLOCK), F.lit(draws) - F.col("_block") * BLOCK)
+    parts = leaves.select("*", blocks.alias("_block")).select(
+        *arm, "_block", "_rows",
+        _partial_sums(named, F.col("_block"), F.col("_rows"), F.col("_leaf"), F.col("_path"), F.col("_vc"), many).alias("_sums"),
+    ).select(*arm, "_block", "_rows", F.posexplode("_sums").alias("_at", "_sum"))
+    sums = parts.groupBy(*keys, "_block", "_at").agg(F.sum(sign * F.col("_sum") / F.col("_rows")).alias("_estimate"))
+    boots = sums.groupBy(*keys).agg(F.collect_list("_estimate").alias("_boot"))
+    wide = arms.join(moments, keys, "left").join(boots, keys, "left")
+    zero = F.lit(0.0)
+    limits = _bca(F.col("_boot"), F.col("_theta"), F.coalesce("_m3", zero), F.coalesce("_m2", zero), F.lit(float(level)))
+    held = wide.where(F.col("_boot").isNotNull()).select(*keys, "_enough", "_constant", "_theta", limits.alias("_ci"))
+    rest = wide.where(F.col("_boot").isNull()).select(*keys, "_enough", "_constant", "_theta", F.lit(None).cast("struct<low: double, high: double>").alias("_ci"))
+
+    def limit(end: str) -> Column:
+        return F.when(~F.col("_enough"), None).when(F.col("_constant"), F.col("_theta")).otherwise(F.col(f"_ci.{end}"))
+
+    status = F.when(F.col("_enough"), "ok").otherwise("insufficient n")
+    return held.unionByName(rest).select(*keys, limit("low").alias("ci_low"), limit("high").alias("ci_high"), status.alias("ci_status"))

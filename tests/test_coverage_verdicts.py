@@ -3,6 +3,7 @@ import statistics
 
 import pytest
 
+from sortie.functions import fixed
 from sortie.operators import coverage as C
 from sortie.operators import stats, verdicts
 
@@ -92,7 +93,7 @@ def test_verdict_scenarios(spark):
         "combined": ("inconclusive", "inconclusive"),
     }
     assert rows["by_target/tiny", "relscore"].reason == "too few runs"
-    assert rows["combined", "relscore"].reason == verdicts.PAIRED_REASON and rows["combined", "relcov"].test_name == "paired-required"
+    assert rows["combined", "relscore"].reason == fixed.VERDICT_SENTENCES["unpaired"] and rows["combined", "relcov"].test_name == "paired-required"
     lost = rows["by_target/lost", "relscore"]
     assert lost.ci_high < -0.05 and lost.feature_sample_mean > lost.baseline_sample_mean
     assert rows["by_target/floor", "relscore"].baseline_reliability == pytest.approx(1.0)
@@ -163,20 +164,77 @@ def test_pairwise_tests(spark):
     assert got["a", "c"].warning == "fewer than 2 runs" and got["a", "c"].p_value is None
 
 
-def test_bootstrap_is_repeatable_and_covers_big_samples():
+def plain_bca(x, y, draws, rng):
+    """The textbook interval of mean(x) - mean(y), resampling rows."""
     import numpy as np
 
-    v, c = np.array([0.0, 0.5, 1.0]), np.array([3, 4, 5])
-    one = stats.bca_interval((v, c), None, 0.95, 6, 500, 1)
-    assert one == stats.bca_interval((v, c), None, 0.95, 6, 500, 1)
-    assert one[0] < np.average(v, weights=c) < one[1]
-    big = stats.bca_interval((v, c * 10_000), (v, c * 10_000), 0.95, 6, 300, 1)
-    assert -0.01 < big[0] < 0 < big[1] < 0.01
-    assert stats.bca_interval((v[:1], np.array([9])), None, 0.95, 6, 10, 1) == (0.0, 0.0, "ok")
-    assert stats.bca_interval((v, np.array([1, 1, 1])), None, 0.95, 6, 10, 1)[2] == "insufficient n"
+    arms = [a for a in (x, y) if a is not None]
+    signs = (1, -1)
+    theta = sum(s * a.mean() for s, a in zip(signs, arms))
+    boot = np.sort(sum(s * rng.choice(a, (draws, len(a))).mean(1) for s, a in zip(signs, arms)))
+    z0 = stats.NORMAL.inv_cdf(((boot < theta).sum() + 0.5 * (boot == theta).sum()) / draws)
+    jack = np.concatenate([theta - s * a.mean() + s * (a.sum() - a) / (len(a) - 1) for s, a in zip(signs, arms)])
+    off = jack.mean() - jack
+    accel = (off**3).sum() / (6 * (off**2).sum() ** 1.5)
+    at = lambda q: stats.NORMAL.cdf(z0 + (z0 + stats.NORMAL.inv_cdf(q)) / (1 - accel * (z0 + stats.NORMAL.inv_cdf(q))))
+    return np.quantile(boot, at(0.025)), np.quantile(boot, at(0.975))
+
+
+def test_bootstrap_over_many_leaves_equals_a_plain_model(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(stats, "LEAF", 4)  # so that small arms have many leaves and long paths
+    rng = np.random.default_rng(4)
+    arms = {
+        "skewed": (rng.exponential(2.0, 300), rng.exponential(1.0, 200)), "tied": (np.repeat([0.0, 0.5, 1.0], [3, 4, 5]), np.repeat([0.0, 1.0], [6, 6])),
+        "narrow": (1.7e9 + rng.random(200), 1.7e9 + rng.random(150)), "constant": (np.ones(9), np.zeros(7)), "few": (np.arange(5.0), np.arange(9.0)),
+    }
+    rows = [(k, side, float(v)) for k, (x, y) in arms.items() for side, a in ((True, x), (False, y)) for v in a] + [("few", True, None), ("few", True, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x boolean, v double")
+    ask = lambda: {r.k: r for r in stats.bca_ci(df, ["k"], F.col("v"), F.col("x")).collect()}
+    got = ask()
+    assert got == ask()
+    assert got["constant"][1:] == (1.0, 1.0, "ok") and got["few"][1:] == (None, None, "insufficient n")
+    for k in ("skewed", "tied", "narrow"):
+        low, high = plain_bca(*arms[k], 20000, rng)
+        assert got[k].ci_low == pytest.approx(low, abs=0.06 * (high - low)) and got[k].ci_high == pytest.approx(high, abs=0.06 * (high - low))
+    one = {r.k: r for r in stats.bca_ci(df.where("x"), ["k"], F.col("v")).collect()}
+    low, high = plain_bca(arms["skewed"][0], None, 20000, rng)
+    assert one["skewed"].ci_low == pytest.approx(low, abs=0.06 * (high - low)) and one["constant"].ci_low == 1.0
+
+
+def test_bootstrap_shares_a_hot_campaign_out(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.lit("c").alias("k"), (F.col("id") % 2 == 0).alias("x"), (F.col("id") / 3.0).alias("v"))
+    counts = df.select("k", F.col("x").alias("is_x"), "v", F.lit(1).cast("bigint").alias("c"))
+    leaves = stats._leaves(counts, ["k"]).collect()
+    assert len(leaves) >= 256 and max(len(r["_vc"]) for r in leaves) <= 1024 and sum(r["_held"] for r in leaves) == 20_000
+    assert all(r["_path"] for r in leaves)
+    ci = stats.bca_ci(df, ["k"], F.col("v"), F.col("x"), draws=400).first()
+    assert ci.ci_low < -1 / 3 < ci.ci_high and ci.ci_high - ci.ci_low == pytest.approx(2 * 1.96 * 1924.5 * (2 / 10_000) ** 0.5, rel=0.25)
 
 
 def test_holm(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03), ("g", "d", 0.6), ("g", "e", 0.6)], "f string, k string, p double")
     got = {r.k: round(r.p_adjusted, 9) for r in stats.holm(df, ["f"], "p").collect()}
     assert got == {"a": 0.03, "c": 0.06, "b": 0.06, "d": 1.0, "e": 1.0}
+
+
+def test_holm_over_one_large_family_runs_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [("r1", i, rng.choice([0.5, rng.random(), rng.random() / 1000, None])) for i in range(3000)] + [("r2", 1, 0.01)]
+    df = spark.createDataFrame(rows, "run string, i int, p double")
+    ps = sorted(p for r, _, p in rows if r == "r1" and p is not None)
+    want, top = {}, 0.0
+    for k, p in enumerate(ps):
+        top = max(top, min(1.0, (len(ps) - k) * p))
+        want.setdefault(p, top)
+    want = {p: max(v, want[p]) for p, v in want.items()}
+    for r in stats.holm(df, ["run"], "p").collect():
+        assert (r.p_adjusted is None) if r.p is None else r.p_adjusted == pytest.approx(0.01 if r.run == "r2" else want[r.p])
+    counts = df.where("p is not null").groupBy("run", "p").count()
+    assert stats.with_segments(counts, "p").select("_seg").distinct().count() > 200

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from sortie.operators.ordered import grouped_quantiles, quantiles, scan
+from sortie.operators.ordered import grouped_quantiles, quantiles, scan, with_segments
 
 
 def test_scan_equals_plain_windows_with_a_hot_group(spark):
@@ -50,3 +50,14 @@ def test_grouped_quantiles_keep_groups_without_values(spark):
     assert (got["a"].x_n, got["a"].x_p50, got["a"].y_n, got["a"].y_p50) == (2, 2.0, 0, None)
     assert (got["b"].x_n, got["b"].x_p50) == (0, None)
 
+
+
+def test_segments_follow_the_values_wherever_they_lie(spark):
+    for low, high in ((1.700e9, 1.708e9), (0.500, 0.506), (-3.0, 1e300)):
+        df = spark.range(5000).select((F.lit(low) + F.col("id") * ((high - low) / 5000)).alias("x"))
+        rows = with_segments(df, "x", "s").orderBy("x").collect()
+        segments = [r.s for r in rows]
+        assert segments == sorted(segments) and len(set(segments)) > 200
+        assert max(segments.count(s) for s in set(segments)) < 50
+    empty = spark.range(0).select(F.col("id").cast("double").alias("x"))
+    assert with_segments(empty, "x").count() == 0
