@@ -54,8 +54,8 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held = common.id_remainder(F.col("doc_id"), 3) == 1
-    labels = common.table(spark, sf_dir, "labels").where(common.id_remainder(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("_labelled"), "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_labelled")))
+    labels = common.table(spark, sf_dir, "labels").where(common.id_remainder(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(labels, docs)
     found = docs.select("doc_id", held.alias("held_out"), toxicity.tagged(model, F.col("text")).alias("t"))
     spans = F.array_join(F.transform("t.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.7).cast("int").alias("predicted"), spans.alias("toxic_spans"))

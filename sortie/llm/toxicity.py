@@ -160,13 +160,20 @@ def _toxic_units(units: np.ndarray, first: np.ndarray, toxic: np.ndarray, least:
     return marked & of_toxic
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1200, bits: int = 18, epochs: int = 3, rate: float = 0.3, least: int = 12, odds: float = 20.0) -> Model:
+def fit(labelled: DataFrame, texts: DataFrame | None = None, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1200, bits: int = 18, epochs: int = 3, rate: float = 0.3, least: int = 12, odds: float = 20.0) -> Model:
     """Learns from about `per_class` rows of each label (a bounded sample by a hash of the key); whole texts are used.
 
-    Rows with a null text or label are skipped. Without both labels the model scores all texts alike.
+    Labels may lie in a table of their own, with the texts in `texts`: then keys are sampled
+    first, and the few chosen are sent to the texts, which are not shuffled. Rows with a null
+    text or label are skipped; a repeated key counts as often as it stands there. Without
+    both labels, as in an empty table, the model scores all texts alike.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).cast("int").alias("_label"))
-    got = common.sample_by_hash(rows, F.col("_key"), "_label", per_class).select("_text", "_label", F.xxhash64("_key").alias("_order")).toPandas().sort_values(["_order", "_text"])
+    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"), *([F.col(text).alias("_text")] if texts is None else []))
+    chosen = common.sample_by_hash(rows if texts is not None else rows.where("_text IS NOT NULL"), F.col("_key"), "_label", per_class)
+    if texts is not None:  # per_class bounds what is broadcast
+        named = texts.select(F.col(key).alias("_of"), F.col(text).alias("_text")).where("_text IS NOT NULL")
+        chosen = named.join(F.broadcast(chosen), F.col("_of") == F.col("_key"))
+    got = chosen.select("_text", "_label", F.xxhash64("_key").alias("_order")).toPandas().sort_values(["_order", "_text"])
     toxic = got["_label"].to_numpy() == 1
     model = Model(np.zeros((TEMPLATES, 1 << bits), np.float32), np.zeros((2, 2)), np.zeros(2), np.array([-2.0, 0, 0, 0]))
     if not toxic.any() or toxic.all():
