@@ -181,30 +181,48 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
     return docs.select(key, F.col(text).cast("string")).mapInArrow(find, f"key {kind}, place long, offset long, words array<long>, keys array<long>")
 
 
-def prefix_edits(window: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Exact edit distance of each item to the best prefix of its window, all pairs in step; each side: sizes, and words end to end."""
+def prefix_edits(window: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Edit distance of each item to the best prefix of its window where that is at most `most`, else more than `most`.
+
+    Each side: sizes, and words end to end. All pairs go in step, over the diagonals within
+    the largest `most` of the main one; a pair whose whole row exceeds its own `most` is done.
+    """
     (n, b_flat), (m, a_flat) = window, item
+    out = most + 1
     if not len(m):
-        return np.zeros(0, np.int64)
-    a, b = np.zeros((len(m), int(m.max())), np.int64), np.zeros((len(n), max(int(n.max()), 1)), np.int64)
+        return out
+    far = np.int32(1 << 29)
+    k = int(most.max())
+    a, b = np.zeros((len(m), int(m.max())), np.int64), np.zeros((len(n), max(int(m.max()), int(n.max())) + 2 * k + 1), np.int64)
     a[np.arange(a.shape[1]) < m[:, None]] = a_flat
-    b[np.arange(b.shape[1]) < n[:, None]] = b_flat
-    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
-    beyond = np.where(steps > n[:, None], np.int32(1 << 29), np.int32(0))
-    before = np.broadcast_to(steps, (len(m), len(steps))) + beyond
-    out = before.min(1)
-    for i in range(a.shape[1]):
-        now = before + np.int32(1)
-        now[:, 0] = i + 1
-        np.minimum(now[:, 1:], before[:, :-1] + (b != a[:, i, None]), out=now[:, 1:])
-        before = np.minimum.accumulate(now - steps, axis=1) + steps + beyond  # insertions
-        np.minimum(before, np.int32(1 << 29), out=before)
-        out = np.where(m == i + 1, before.min(1), out)
+    b[(np.arange(b.shape[1]) >= k) & (np.arange(b.shape[1]) < k + n[:, None])] = b_flat
+    steps = np.arange(2 * k + 1, dtype=np.int32)  # a window's word j lies on diagonal j - i + k of an item's word i
+    pair, limit = np.arange(len(m)), most
+    before = np.where((steps >= k) & (steps - k <= n[:, None]), steps - np.int32(k), far)
+    ended = m == 0
+    out[ended] = 0
+    for i in range(1, a.shape[1] + 1):
+        now = before + (b[:, i - 1 : i + 2 * k] != a[:, i - 1, None])
+        np.minimum(now[:, :-1], before[:, 1:] + np.int32(1), out=now[:, :-1])
+        place = steps + np.int32(i - k)
+        now[(place < 0) | (place > n[:, None])] = far
+        if i <= k:
+            now[:, k - i] = i  # the item's beginning is left out whole
+        before = np.minimum(np.minimum.accumulate(now - steps, axis=1) + steps, far)
+        before[place > n[:, None]] = far
+        best = before.min(1)
+        ended = m == i
+        out[pair[ended]] = best[ended]
+        alive = ~ended & (best <= limit)
+        if 4 * np.count_nonzero(alive) < 3 * len(pair):
+            a, b, m, n, pair, limit, before = a[alive], b[alive], m[alive], n[alive], pair[alive], limit[alive], before[alive]
+            if not len(pair):
+                break
     return out
 
 
-def edits(window: Column, item: Column) -> Column:
-    """Edit distance of the item's words to the best prefix of the window's; items have at most some thousand words."""
+def edits(window: Column, item: Column, scheme: Scheme) -> Column:
+    """Edit distance of the item's words to the best prefix of the window's, exact where the scheme allows that many."""
 
     @F.arrow_udf("int")
     def distance(window: pa.Array, item: pa.Array) -> pa.Array:
@@ -214,7 +232,8 @@ def edits(window: Column, item: Column) -> Column:
         order = np.argsort(lists(item)[0], kind="stable")  # pairs of about one length go together
         window, item, out = window.take(pa.array(order)), item.take(pa.array(order)), np.zeros(len(order), np.int32)
         for k in range(0, len(order), 1000):
-            out[order[k : k + 1000]] = prefix_edits(lists(window.slice(k, 1000)), lists(item.slice(k, 1000)))
+            pair = lists(window.slice(k, 1000)), lists(item.slice(k, 1000))
+            out[order[k : k + 1000]] = prefix_edits(*pair, scheme.edits(pair[1][0]))
         return pa.array(out)
 
     return distance(window, item)
@@ -232,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None =
     bands = known.select(F.col("item").alias("_item"), F.explode("keys").alias("item_band"))
     met = found.join(bands, F.col("band") == F.col("item_band")).groupBy("key", "place", "_item", F.xxhash64("words").alias("_window")).agg(F.first("offset").alias("offset"), F.first("words").alias("words"))
     met = met.join(known.select("item", F.col("words").alias("item_words")), F.col("_item") == F.col("item"))
-    met = met.withColumn("edits", edits(F.col("words"), F.col("item_words"))).withColumn("n_words", F.size("item_words"))
+    met = met.withColumn("edits", edits(F.col("words"), F.col("item_words"), scheme)).withColumn("n_words", F.size("item_words"))
     allowed = F.floor(F.col("n_words") * (1 - scheme.similarity) + 1e-9)
     best = met.where(F.col("edits") <= allowed).groupBy("key", "item", "n_words").agg(F.min(F.struct("edits", "place", "offset")).alias("best"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), F.col("best.edits").alias("edits"), "n_words", F.col("best.place").alias("place"), F.col("best.offset").alias("offset"))
