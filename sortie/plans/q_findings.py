@@ -133,13 +133,15 @@ def event_overlap_wide(spark, d):
     "J5",
     with_views(
         "v_events",
-        """SELECT tool, coalesce(events, 0) AS events FROM (SELECT DISTINCT tool FROM v_events)
-           LEFT JOIN (SELECT tool, count(DISTINCT event) AS events FROM v_events WHERE event LIKE 'only_%1' GROUP BY tool) USING (tool)""",
+        """SELECT tool, coalesce(events, 0) AS events FROM (SELECT tool FROM v_events UNION SELECT lower(r_name) FROM region)
+           LEFT JOIN (SELECT tool, count(DISTINCT event) AS events FROM v_events GROUP BY tool) USING (tool)""",
     ),
 )
 def tool_set_sizes(spark, d):
+    """Regions play tools that were set up and found nothing."""
     ev = v_events(spark, d)
-    return O.set_sizes(ev.where(F.col("event").like("only_%1")), ev.select("tool").distinct())
+    idle = table(spark, d, "region").select(F.lower("r_name").alias("tool"))
+    return O.set_sizes(ev, ev.select("tool").union(idle).distinct())
 
 
 @query(
@@ -247,17 +249,16 @@ def unmapped_triage(spark, d):
 
 # --- replicates ------------------------------------------------------------------------
 
-_LEGS = """legs AS (SELECT tool, user_id FROM (SELECT DISTINCT tool FROM v_events) CROSS JOIN (SELECT DISTINCT user_id FROM v_events)),
-  early AS (SELECT DISTINCT tool, user_id, run_id, instance_id FROM v_events WHERE elapsed_seconds < 864000 AND k % 3 = 0)"""
-
-
-def _early(spark, d):
-    return v_events(spark, d).where((F.col("elapsed_seconds") < 864000) & (F.col("k") % 3 == 0))
+_LEGS = """legs AS (SELECT tool, user_id FROM (SELECT DISTINCT tool FROM v_events) CROSS JOIN (SELECT user_id FROM v_events UNION SELECT c_custkey FROM customer)),
+  early AS (SELECT DISTINCT tool, user_id, run_id, instance_id FROM v_events)"""
 
 
 def _machines(spark, d):
-    """Every machine runs every tool: a row per (tool, machine), made per machine."""
-    users = table(spark, d, "events").select("user_id").distinct()
+    """Every machine runs every tool: a row per (tool, machine), made per machine.
+
+    Customers are machines too; those without events are the missing ones.
+    """
+    users = table(spark, d, "events").select("user_id").union(table(spark, d, "customer").select("c_custkey")).distinct()
     return users.select(
         F.explode(F.array(*[F.lit(t) for t in TYPES])).alias("tool"),
         F.concat(F.lit("i-"), F.col("user_id").cast("string")).alias("instance_id"),
@@ -273,7 +274,7 @@ def _machines(spark, d):
     ),
 )
 def replicate_inventory(spark, d):
-    return O.replicates(_early(spark, d), _machines(spark, d), default_run_id="r0")
+    return O.replicates(v_events(spark, d), _machines(spark, d), default_run_id="r0")
 
 
 @query(
@@ -287,7 +288,7 @@ def replicate_inventory(spark, d):
     ),
 )
 def missing_replicates(spark, d):
-    present = O.replicates(_early(spark, d))
+    present = O.replicates(v_events(spark, d))
     expected = _machines(spark, d).groupBy("tool").agg(F.count(F.lit(1)).alias("instances"))
     return O.missing_replicates(present, expected, "r0")
 
@@ -303,6 +304,6 @@ def missing_replicates(spark, d):
 )
 def leg_sets(spark, d):
     legs = _machines(spark, d).select("tool", F.substring("instance_id", 3, 30).cast("bigint").alias("user_id"))
-    early = _early(spark, d).select("tool", "user_id")
+    early = v_events(spark, d).select("tool", "user_id")
     missing = legs.exceptAll(early.distinct()).withColumn("part", F.lit("missing"))
     return missing.unionByName(legs.intersect(early).withColumn("part", F.lit("present")))

@@ -101,16 +101,20 @@ def top_calls(spark, d):
 
 
 def _instances(spark, d):
-    """Counters per instance, from the documents; the status ladder decides the rest."""
-    docs = _docs(spark, d).where(~F.col("instance_label").like("%9-%") | F.col("digest").isNull())
-    calls = _docs(spark, d).where(F.col("digest").isNotNull()).select(*O.INSTANCE, (F.col("bytes") % 2 == 0).alias("ignored"), (F.col("bytes") % 10 == 1).alias("mismatch"))
-    calls = calls.where(~F.col("instance_label").like("%9-%"))
-    inventory = _docs(spark, d).select(*O.INSTANCE).distinct()
+    """Counters per instance, from the documents; nations play instances that saved nothing."""
+    docs = _docs(spark, d)
+    calls = docs.where(F.col("digest").isNotNull()).select(*O.INSTANCE, (F.col("bytes") % 2 == 0).alias("ignored"), (F.col("bytes") % 10 == 1).alias("mismatch"))
+    engine = F.when(F.col("n_regionkey") == 0, "echidna").otherwise("foundry")
+    empty = table(spark, d, "nation").select(
+        F.lit("r1").alias("run_id"), F.concat(F.lit("i-"), "n_name").alias("instance_label"), engine.alias("engine"), engine.alias("tool"), F.lit("none").alias("tool_label")
+    )
+    inventory = docs.select(*O.INSTANCE).unionByName(empty.select(*O.INSTANCE)).distinct()
     return O.instance_summary(docs, calls, inventory)
 
 
 _STATUS = """it AS (SELECT instance_label, engine, tool_label, count(*) FILTER (c) AS artifact_files, count(*) FILTER (c AND digest IS NULL) AS malformed, count(DISTINCT digest) FILTER (c) AS sequences,
-    count(*) FILTER (c AND digest IS NOT NULL AND strlen(text) % 2 = 1) AS calls FROM (SELECT *, instance_label NOT LIKE '%9-%' OR digest IS NULL AS c FROM dc) GROUP BY ALL),
+    count(*) FILTER (c AND digest IS NOT NULL AND strlen(text) % 2 = 1) AS calls FROM (SELECT instance_label, engine, tool_label, text, digest, true AS c FROM dc
+      UNION ALL SELECT 'i-' || n_name, CASE WHEN n_regionkey = 0 THEN 'echidna' ELSE 'foundry' END, 'none', NULL, NULL, false FROM nation) GROUP BY ALL),
   stt AS (SELECT *, CASE WHEN artifact_files = 0 THEN CASE WHEN engine = 'foundry' THEN 'unavailable' ELSE 'observed_zero' END
     WHEN calls > 0 OR sequences > 0 THEN CASE WHEN malformed > 0 THEN 'partial' WHEN calls > 0 THEN 'available' ELSE 'observed_zero' END WHEN malformed > 0 THEN 'malformed' ELSE 'unavailable' END AS status FROM it)"""
 

@@ -8,7 +8,7 @@ from ..session import fresh_folder
 from ..sources import sinks
 from ..streaming import jobs
 from .registry import query
-from .views import base_events, table, v_events, v_samples, with_views
+from .views import base_events, table, v_events, v_lines, v_samples, with_views
 
 ORIGIN = 1_704_067_200  # 2024-01-01
 
@@ -117,10 +117,17 @@ def complete_lines(spark, d):
 
 @query(
     "A36",
-    with_views("v_events v_samples", "SELECT run_id, 'events' AS counter, count(*) AS rows FROM v_events GROUP BY run_id UNION ALL SELECT run_id, 'samples', count(*) FROM v_samples WHERE gas_per_second IS NOT NULL GROUP BY run_id"),
+    with_views(
+        "v_events v_samples",
+        """SELECT run_id, 'events' AS counter, count(*) AS rows FROM v_events GROUP BY run_id UNION ALL SELECT run_id, 'samples', count(*) FROM v_samples GROUP BY run_id
+           UNION ALL SELECT run_id, 'log_files', count(DISTINCT (instance_id, tool)) FROM v_events GROUP BY run_id UNION ALL SELECT 'r1', 'selectors', count(DISTINCT md5(event)) FROM v_events""",
+    ),
 )
 def run_counters(spark, d):
-    return sinks.run_counters(events=v_events(spark, d), samples=v_samples(spark, d).where("gas_per_second IS NOT NULL"))
+    ev = v_events(spark, d)
+    logs = v_lines(spark, d).select("run_id", "log_path").distinct()
+    calls = ev.select("run_id", F.md5("event").alias("selector")).distinct()
+    return sinks.run_counters(events=ev, samples=v_samples(spark, d), log_files=logs, selectors=calls)
 
 
 @query("S11", with_views("b_events", "SELECT event_type AS tool, event, count(*) AS rows FROM b_events GROUP BY ALL"))
