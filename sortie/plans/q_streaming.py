@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_folder
 from ..sources import sinks
-from ..streaming import jobs
+from ..streaming import growing, jobs
 from .registry import query
 from .views import base_events, table, v_events, v_lines, v_samples, with_views
 
@@ -137,3 +137,40 @@ def written_table(spark, d):
     counts = base_events(spark, d).groupBy(F.col("event_type").alias("tool"), "event").agg(F.count(F.lit(1)).alias("rows"))
     sinks.write_table(counts, path, ("tool",))
     return spark.read.parquet(path)
+
+
+_ROUNDS = 3
+
+
+def _round_of(us):
+    """Thirds of the month: when a line is written."""
+    return F.least(F.greatest(F.floor((us / F.lit(1e6) - ORIGIN) / 864_000), F.lit(0)), F.lit(_ROUNDS - 1))
+
+
+def _append_round(spark, d, root: str, number: int) -> None:
+    """Appends a round's lines to each instance's log; each round ends inside a line that the next one completes."""
+    lines = v_lines(spark, d).select("log_path", F.concat_ws(" ", "stamp", "event", F.col("event_id").cast("string")).alias("line"), "pos", _round_of(F.col("us")).alias("round"))
+    ends = lines.select("log_path").distinct().select("log_path", F.lit(None).cast("string").alias("line"), F.lit(None).cast(lines.schema["pos"].dataType).alias("pos"))
+    due = lines.where(F.col("round") == number).select("log_path", "line", "pos").unionByName(ends)
+    dealt = due.repartition("log_path").sortWithinPartitions("log_path", F.col("pos").asc_nulls_last()).select("log_path", "line")
+    growing.append_lines(dealt, root, first=f"round {number} begins\n" if number else "", last="before ")
+
+
+@query(
+    "S1 ST1",
+    with_views(
+        "v_events",
+        """SELECT instance_id, tool, line, count(*) AS copies FROM (
+             SELECT instance_id, tool, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') || ' ' || event || ' ' || event_id AS line FROM v_events
+             UNION ALL SELECT instance_id, tool, 'before round ' || r || ' begins' FROM (SELECT DISTINCT instance_id, tool FROM v_events), (SELECT unnest([1, 2]) AS r))
+           GROUP BY ALL""",
+    ),
+)
+def growing_log_lines(spark, d):
+    """Logs written in three rounds, read between them; each round leaves a line unfinished, the last one for good."""
+    root = fresh_folder(spark, "growing")
+    for number in range(_ROUNDS):
+        _append_round(spark, d, root, number)
+        seen = jobs.drain_append(growing.growing_lines(spark, root, "r1"), "growing-lines", f"{root}-seen")
+    instance = F.substring_index("log_path", "/", 1).alias("instance_id")
+    return seen.groupBy(instance, F.regexp_extract("log_path", r"([a-z]+)\.log$", 1).alias("tool"), "line").agg(F.count(F.lit(1)).alias("copies"))

@@ -35,6 +35,11 @@ def ordered_lines(
         F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("line"),
     )
+    return labelled(lines, run_id, raw_labels, exclude)
+
+
+def labelled(lines: DataFrame, run_id: str | None = None, raw_labels: bool = False, exclude: Sequence[str] = ()) -> DataFrame:
+    """Adds what paths tell: (log_path, _full, block, pos, line) to the lines table, without files that are no logs."""
     name = file_name(F.col("log_path"))
     label = first_part(F.col("log_path"))
     named = lines.where(

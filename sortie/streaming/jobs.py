@@ -93,10 +93,13 @@ def running_first_times(stream: DataFrame) -> DataFrame:
 # --- running a stream to its end -----------------------------------------------------------
 
 
-def drain_append(df: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode query over what is available; its result as a table."""
+def drain_append(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Run an append-mode query over what is available; its result as a table.
+
+    With ``out`` the query goes on from where an earlier one into that folder ended.
+    """
     spark = df.sparkSession
-    out = fresh_folder(spark, name)
+    out = out or fresh_folder(spark, name)
     query = (
         df.writeStream.format("parquet").outputMode("append").option("path", out)
         .option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
