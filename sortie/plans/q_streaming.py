@@ -83,15 +83,42 @@ def stream_first_times(spark, d):
     return jobs.drain_update(jobs.running_first_times(_stream(spark, d)), "running", keys)
 
 
-@query("ST4")
+_WINDOWS = """SELECT make_timestamp(w * 21600000000) AS start, make_timestamp((w + 1) * 21600000000) AS "end", tool, events, as_of_seconds FROM (
+             SELECT us // 21600000000 AS w, tool, count(*) AS events, max(elapsed_seconds) AS as_of_seconds FROM sb GROUP BY ALL)
+           WHERE (w + 1) * 21600000000 <= (SELECT max(us) FROM sb) - 300000000"""
+
+
+@query("ST4", with_views("b_events", _WINDOWS, _B))
 def published_once(spark, d):
-    """Two deliveries of the same closed windows: the target holds each once."""
-    target = fresh_folder(spark, "published")
+    """The closed windows of some tools, then all of them, then all again: the target shows each once."""
+    target, keys = fresh_folder(spark, "published"), ["start", "tool"]
     closed = jobs.drain_append(jobs.tumbling(_stream(spark, d), 21600, ["tool"]), "windows")
-    publish = jobs.publish_once(target, ["start"])
-    publish(closed, 0)
+    publish = jobs.publish_once(target, keys)
+    publish(closed.where(F.col("tool") < "error"), 0)
     publish(closed, 1)
-    return spark.read.parquet(target)
+    publish(closed, 2)
+    return jobs.published(spark, target, keys)
+
+
+_DUE = """due AS (SELECT 'i-' || o_custkey AS instance_id, 1704067200000000 + (o_orderkey * 613) % 2592000 * 1000000 + 500 AS us FROM orders)"""
+
+
+@query(
+    "ST7 R6",
+    with_views(
+        "b_events",
+        """SELECT instance_id, make_timestamp(us) AS due_at, make_timestamp(us + 28800000000) AS silent_at FROM due d
+           WHERE us + 28800000000 < least((SELECT max(us) FROM due), (SELECT max(us) FROM sb)) - 300000000
+             AND NOT EXISTS (SELECT 1 FROM sb WHERE sb.instance_id = d.instance_id AND sb.us BETWEEN d.us AND d.us + 28800000000)""",
+        _B + ", " + _DUE,
+    ),
+)
+def stream_silent_runs(spark, d):
+    """Orders play run starts of an instance; an instance without an event in the eight hours after is silent."""
+    orders = jobs.file_stream(spark, d, table(spark, d, "orders").schema, "orders.parquet")
+    second = F.lit(ORIGIN) + F.col("o_orderkey") * 613 % 2_592_000
+    starts = orders.select(F.concat(F.lit("i-"), F.col("o_custkey").cast("string")).alias("instance_id"), F.timestamp_micros(second * 1_000_000 + 500).alias("due_at"))
+    return jobs.drain_append(jobs.silent_runs(starts, _stream(spark, d), ["instance_id"], 28800), "silent")
 
 
 @query(

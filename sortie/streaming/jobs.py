@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from datetime import timedelta
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,20 +131,65 @@ def drain_update(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(top.alias("_t")).select(*keys, "_t.*")
 
 
+def _commits(spark: SparkSession, target: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{target}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def publish_once(target: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: insert only key sets the target does not have yet.
+    """For ``foreachBatch``: publish only key sets that no earlier batch has published.
 
-    A replayed batch therefore adds nothing, and a published checkpoint is
-    never written again.
+    ``keys`` are all grouping columns, the checkpoint first. A batch's rows go to a
+    folder of their own; then its keys are committed. Only the commit log is looked at,
+    from the batch's first checkpoint on, never the published rows. A batch that dies
+    before its commit leaves rows that nobody reads, and its retry writes them again;
+    of two batches that commit one key at a time, `published` shows the lower attempt.
     """
+    keys = list(keys)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fresh = batch
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            done = spark.read.schema(batch.schema).parquet(target).select(*keys).distinct()
-            fresh = batch.join(done, list(keys), "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(target)
+        spark, attempt = batch.sparkSession, f"{batch_id:012d}-{uuid.uuid4().hex}"
+        done, fresh = _commits(spark, target), batch
+        first = batch.agg(F.min(keys[0]).alias("first")).first()["first"]
+        if done is not None and first is not None:
+            fresh = batch.join(done.where(F.col(keys[0]) >= F.lit(first)).select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
+        path = f"{target}/rows/attempt={attempt}"
+        fresh.write.parquet(path)
+        written = spark.read.schema(batch.schema).parquet(path)
+        written.select(*keys).distinct().withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{target}/commits")
 
     return publish
+
+
+def published(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
+    """The published rows: of each key set those of the first attempt that committed it."""
+    keys = list(keys)
+    rows = spark.read.parquet(f"{target}/rows")
+    winners = spark.read.parquet(f"{target}/commits").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
+    return rows.join(winners, [*keys, "attempt"], "left_semi").drop("attempt")
+
+
+# --- runs that never report ----------------------------------------------------------------
+
+
+def silent_runs(
+    starts: DataFrame, signs: DataFrame, keys: Sequence[str], gap_s: int = fixed.STALE_SECONDS, settle_s: int = fixed.SETTLE_SECONDS
+) -> DataFrame:
+    """Runs without a sign of life in the ``gap_s`` seconds after they are due, each once.
+
+    ``starts`` has the keys and `due_at` (a run's start, or its deadline), ``signs`` the
+    keys and `event_time`. A row comes when the watermark has passed the gap, so state
+    is kept for a gap and the settle delay. Session windows can't see such runs: they
+    have no row that opens a session.
+    """
+    due = starts.select(*[F.col(k).alias(f"_due_{k}") for k in keys], "due_at").withWatermark("due_at", f"{settle_s} seconds")
+    alive = signs.select(*keys, "event_time").withWatermark("event_time", f"{settle_s} seconds")
+    gap = F.lit(timedelta(seconds=gap_s))
+    same = reduce(lambda a, b: a & b, [F.col(f"_due_{k}") == F.col(k) for k in keys])
+    inside = (F.col("event_time") >= F.col("due_at")) & (F.col("event_time") <= F.col("due_at") + gap)
+    silent = due.join(alive, same & inside, "left_outer").where(F.col("event_time").isNull())
+    return silent.select(*[F.col(f"_due_{k}").alias(k) for k in keys], "due_at", (F.col("due_at") + gap).alias("silent_at"))

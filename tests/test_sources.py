@@ -1,3 +1,4 @@
+import datetime as dt
 import gzip
 import json
 
@@ -204,12 +205,44 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 
 
 def test_publish_once(spark, tmp_path):
-    target = str(tmp_path / "pub")
-    publish = jobs.publish_once(target, ["run_id", "checkpoint"])
+    target, keys = str(tmp_path / "pub"), ["checkpoint", "run_id"]
+    publish = jobs.publish_once(target, keys)
     schema = "run_id string, checkpoint int, v int"
+    shown = lambda: sorted(map(tuple, jobs.published(spark, target, keys).select("run_id", "checkpoint", "v").collect()))
     publish(spark.createDataFrame([("r", 1, 10), ("r", 1, 11)], schema), 0)
     publish(spark.createDataFrame([("r", 1, 99), ("r", 2, 20)], schema), 1)
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("r", 1, 10), ("r", 1, 11), ("r", 2, 20)]
+    assert shown() == [("r", 1, 10), ("r", 1, 11), ("r", 2, 20)]
+    # a batch that died between its rows and its commit is not seen, and its retry is
+    late = spark.createDataFrame([("r", 3, 30), ("s", 1, 40)], schema)
+    late.write.parquet(f"{target}/rows/attempt=000000000002-dead")
+    assert len(shown()) == 3
+    publish(late, 2)
+    publish(late, 2)
+    publish(late.limit(0), 3)
+    assert shown() == [("r", 1, 10), ("r", 1, 11), ("r", 2, 20), ("r", 3, 30), ("s", 1, 40)]
+    # two batches that commit a key at a time: the lower attempt shows
+    late.write.parquet(f"{target}/rows/attempt=000000000000-other")
+    late.select(*keys).withColumn("attempt", F.lit("000000000000-other")).write.mode("append").parquet(f"{target}/commits")
+    assert len(shown()) == 5
+
+
+def test_silent_runs_come_once_and_only_when_due(spark, tmp_path):
+    schema = "run_id string, due_at timestamp, event_time timestamp"
+    at = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+
+    def batch(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        both = jobs.file_stream(spark, feed, schema)
+        starts = both.where("due_at IS NOT NULL").select("run_id", "due_at")
+        signs = both.where("event_time IS NOT NULL").select("run_id", "event_time")
+        rows = jobs.drain_append(jobs.silent_runs(starts, signs, ["run_id"], 1800), "silent", out).collect()
+        return sorted((r.run_id, r.silent_at) for r in rows)
+
+    assert batch([("mute", at(0), None), ("late", at(1), None), ("fine", at(0), None), ("fine", None, at(10))]) == []
+    assert batch([("late", None, at(29)), ("other", at(33), None), ("x", None, at(33))]) == []  # not yet past the settle delay
+    assert batch([("later", at(60), None), ("x", None, at(60))]) == [("mute", at(30))]
+    assert batch([("last", at(200), None), ("x", None, at(200))]) == [("later", at(90)), ("mute", at(30)), ("other", at(63))]
 
 
 def test_complete_records_drop_the_partial_tail(spark):
