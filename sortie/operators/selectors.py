@@ -51,9 +51,33 @@ def _text_at(path: str) -> Column:
 
 def extract_calls(files: DataFrame) -> DataFrame:
     """One row per array item of every well-formed file; identity columns NULL when ignored."""
-    items = files.where(F.col("digest").isNotNull()).select(
+    return calls_of(files.where(F.col("digest").isNotNull()).select(
         *INSTANCE, "path", "digest", F.posexplode(F.from_json("content", "array<variant>")).alias("pos", "_item")
-    )
+    ))
+
+
+def element_sequences(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """Files with their sequence digest, from their elements; NULL digest marks a malformed file.
+
+    Each element's digest covers its place; a file's is the exclusive or of them, so
+    no task holds a whole file. An empty array has a digest of its own.
+    """
+    each = F.sha2(F.concat_ws(":", F.col("part").cast("string"), canonical_json(F.concat(F.lit("["), "text", F.lit("]")))), 256)
+    quarters = [F.bit_xor(F.conv(F.substring("_sha", 16 * i + 1, 16), 16, -10).cast("bigint")).alias(f"_q{i}") for i in range(4)]
+    sums = elements.select(*INSTANCE, "path", each.alias("_sha")).groupBy(*INSTANCE, "path").agg(*quarters)
+    digest = F.lower(F.concat(*[F.lpad(F.hex(F.coalesce(f"_q{i}", F.lit(0).cast("bigint"))), 16, "0") for i in range(4)]))
+    return files.join(sums, [*INSTANCE, "path"], "left").select(*files.columns, F.when(F.col("well_formed"), digest).alias("digest"))
+
+
+def extract_element_calls(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """`extract_calls` from element rows; ``files`` has the digests."""
+    named = files.where(F.col("digest").isNotNull()).select(*INSTANCE, "path", "digest")
+    items = elements.select(*INSTANCE, "path", F.col("part").alias("pos"), F.try_parse_json("text").alias("_item"))
+    return calls_of(items.join(named, [*INSTANCE, "path"]))
+
+
+def calls_of(items: DataFrame) -> DataFrame:
+    """One row per item (`_item`, a VARIANT); identity columns NULL when ignored."""
     engine, tag = F.col("engine"), _at("$.call.tag")
     pair = _at("$.call.contents[1]", "variant").isNotNull() & _at("$.call.contents[2]", "variant").isNull()
     tagged = (engine == "echidna") & (tag == "SolCall") & pair
@@ -334,7 +358,16 @@ def expected_catalog(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def analyze(artifacts: DataFrame, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole selector report from corpus files: calls are extracted and staged once."""
     files = stage(sequences(artifacts), "sequences")
-    calls = stage(resolve(extract_calls(files)), "calls")
+    return _report(files, stage(resolve(extract_calls(files)), "calls"), inventory)
+
+
+def analyze_elements(elements: DataFrame, files: DataFrame, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The same report from `corpora.read_elements`, for files of any size."""
+    known = stage(element_sequences(elements, files), "sequences")
+    return _report(known, stage(resolve(extract_element_calls(elements, known)), "calls"), inventory)
+
+
+def _report(files: DataFrame, calls: DataFrame, inventory: DataFrame | None) -> dict[str, DataFrame]:
     first = dedupe(files).select(*INSTANCE, "path")
     kept = calls.join(first, [*INSTANCE, "path"], "left_semi")
     counts = enrich(counted(kept.where(~F.col("ignored"))))

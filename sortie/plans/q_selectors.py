@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import payloads
 from ..operators import selectors as O
+from ..session import fresh_folder
+from ..sources.elements import array_elements, read_pieces
 from .registry import query
 from .views import table, with_views
 
@@ -243,3 +245,24 @@ def expected_selector_checks(spark, d):
         F.when(k % 3 != 0, F.concat(word, F.lit("(uint)"))).alias("signature"), F.when(k % 4 == 0, word).when(k % 11 == 0, "1bad").alias("function_name"),
     )
     return O.expected_catalog(entries)[1].groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "S6 P26",
+    """SELECT 'f' || (conv_id % 8) AS file, CAST(row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS BIGINT) AS part, role, md5(text) AS text_md5,
+         count(*) OVER (PARTITION BY conv_id % 8) AS elements FROM conversations""",
+)
+def corpus_elements(spark, d):
+    """Conversations written as eight large JSON arrays, read in splits and cut into elements."""
+    root = fresh_folder(spark, "arrays")
+    conv = table(spark, d, "conversations").withColumn("file", F.concat(F.lit("f"), (F.col("conv_id") % 8).cast("string")))
+    item = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    order = Window.partitionBy("file").orderBy("conv_id", "turn")
+    last = F.lead("conv_id").over(order).isNull()
+    line = F.concat(F.when(F.row_number().over(order) == 1, "[").otherwise(""), item, F.when(last, "]").otherwise(","))
+    # the window deals files out and sorts them, so that a file has one writer
+    conv.select("file", line.alias("line")).write.partitionBy("file").text(root)
+    items, files = array_elements(read_pieces(spark, root))
+    value = lambda name: F.try_variant_get(F.try_parse_json("text"), f"$.{name}", "string")
+    rows = items.join(files.where("well_formed"), "path")
+    return rows.select(F.regexp_extract("path", "file=(f[0-9])", 1).alias("file"), "part", value("role").alias("role"), F.md5(value("text")).alias("text_md5"), "elements")

@@ -87,7 +87,8 @@ MEDUSA = [{"call": {"data": "0xa9059cbb00aa", "dataAbiValues": {"methodSignature
 CALLDATA = [{"calldata": "0xa9059cbb" + "0" * 10}]
 
 
-def test_corpora_of_four_engines(spark, tmp_path):
+@pytest.mark.parametrize("way", ["files", "elements"])
+def test_corpora_of_four_engines(spark, tmp_path, way):
     root = write(
         tmp_path,
         {
@@ -97,7 +98,10 @@ def test_corpora_of_four_engines(spark, tmp_path):
             "i-dd-foundry-git/f/worker0/corpus/s.json.gz": gzip.compress(json.dumps(CALLDATA).encode()), "i-ee-foundry-git/f/logs/s.json": "[]",
         },
     )
-    out = selectors.analyze(corpora.read_artifacts(spark, root))
+    if way == "files":
+        out = selectors.analyze(corpora.read_artifacts(spark, root))
+    else:
+        out = selectors.analyze_elements(*corpora.read_elements(spark, root))
     inst = {r.engine: r for r in out["instances"].collect()}
     e = inst["echidna"]
     assert (e.artifact_files, e.sequences, e.duplicates, e.malformed, e.ignored, e.calls, e.status) == (3, 1, 1, 1, 1, 3, "partial")
