@@ -179,6 +179,8 @@ def fit(labelled: DataFrame, texts: DataFrame | None = None, *, key: str = "doc_
     if not toxic.any() or toxic.all():
         return model
     units, _, _, first, _ = tokens(pa.array(got["_text"], pa.large_string()))
+    del got
+    common.tidy()
     least = max(3, min(least, int(toxic.sum()) // 40))  # few toxic rows can't show many contexts
     gold, columns = _toxic_units(units, first, toxic, least, odds).astype(np.int64), buckets(units, first, bits)
     weights, moves, ends = model.weights.astype(np.float64), model.moves.copy(), np.array([0.0, -2.0])
