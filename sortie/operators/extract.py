@@ -161,7 +161,7 @@ def _text_failure(line: Column) -> Column:
     )
 
 
-def json_signals(lines: DataFrame) -> DataFrame:
+def signal_rows(lines: DataFrame) -> DataFrame:
     """Sparse rows: clocks, named failures (with their kind) and pulse totals."""
     text = F.when(F.col("_json").isNull(), F.col("_line"))
     handler = _group(text, fixed.HANDLER_SUMMARY)
@@ -182,9 +182,12 @@ def json_signals(lines: DataFrame) -> DataFrame:
             F.coalesce("_payload", "_handler", "_text").alias("hit"),
         )
     )
-    return stage(
-        keep_signals(rows, [*FILE, *ORDER], ["ts", "text_clock", "expected", "hit"]), "json-signals"
-    )
+    return keep_signals(rows, [*FILE, *ORDER], ["ts", "text_clock", "expected", "hit"])
+
+
+def json_signals(lines: DataFrame) -> DataFrame:
+    """The same, staged for the scans that read it more than once."""
+    return stage(signal_rows(lines), "json-signals")
 
 
 def reconcile(signals: DataFrame) -> DataFrame:

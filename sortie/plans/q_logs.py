@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import payloads, scalars as S
 from ..operators import extract, signals
 from ..operators.ordered import scan
+from ..session import fresh_folder
 from ..sources.logs import tails
-from .registry import query
+from ..streaming import jobs, reconcile
+from .registry import ENTRIES, query
 from .views import table, v_events, v_lines, with_views
 
 _OUT = ("instance_id", "tool", "event", "elapsed_seconds", "source")
@@ -142,6 +144,22 @@ def json_log_round_trip(spark, d):
     return extract.json_events(_as_lines(spark, d, _json_line())).select(*_OUT)
 
 
+@query("L5 L6 ST8", ENTRIES["json_log_round_trip"].sql)
+def live_reconciliation(spark, d):
+    """The same logs as they grow: three parts of the month arrive one after the other, in a stream with state."""
+    folder, out = fresh_folder(spark, "live-lines"), fresh_folder(spark, "live-updates")
+    # places that sort as text, whole numbers padded
+    place = F.concat(*[F.lpad(F.col(f"pos.{c}").cast("string"), 20, "0") for c in ("a", "b")])
+    lines = _as_lines(spark, d, _json_line()).withColumn("pos", place)
+    days = F.col("block") - _DAY0 // 86_400
+    schema = lines.schema
+    for low, high in ((-10_000, 9), (9, 17), (17, 10_000)):
+        lines.where((days >= low) & (days < high)).write.mode("append").parquet(folder)
+        updates = jobs.drain_append(reconcile.live_failures(jobs.file_stream(spark, folder, schema)), "live", out)
+    return reconcile.settled(updates).select(*_OUT)
+
+
+
 @query("L1")
 def dispatched_events(spark, d):
     """Every parser at once: logs of five tool families in one table."""
