@@ -355,7 +355,7 @@ def test_url_list_intervals_and_judgement(spark):
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("conversations", "documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df, cur = queries.QUERIES[name](spark, SMALL), con.execute(queries.SQL[name])
     cols = [c[0] for c in cur.description]
