@@ -152,6 +152,43 @@ def test_personal_data_query_keeps_base_spans_and_adds_like_ones(spark):
     assert {r.doc_id: r.r.text for r in out} == dict(enumerate([*ODD, "call [PHONE] now"]))
 
 
+def test_trees_add_every_generators_form_and_leave_prose(spark):
+    r = random.Random(11)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9)))
+
+    def card():
+        d = "4" + number(14)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    def part():
+        return str(r.randrange(256))
+
+    def line():
+        d = card()
+        return r.choice([
+            f"write to {word()}@{word()}.org", f"host {part()}.{part()}.{part()}.{part()} is up", f"card {d[:4]} {d[4:8]} {d[8:12]} {d[12:]} paid",
+            f"call +1 (415) {number(3)}-{number(4)} now", f"fax +44 20 {number(4)} {number(4)}", f"order {number(10)} of {word()}", f"on 20{number(2)}-0{r.randrange(1, 10)}-1{number(1)} 10:30",
+            f"we met at {word()}.js today", f"sections 1. 2. 3. {r.randrange(9)} of {word()}", f"batch {number(4)}-{number(4)}-{number(4)}-{number(4)} of {word()}",
+            f"reach {word()} (at) {word()} (dot) org", f"tel 0{number(2)} {number(3)} {number(4)}", f"{r.choice(("host", "version"))} {part()}.{part()}.{part()}.{r.randrange(256, 1000)}",
+        ])
+
+    model = pii.fit(docs_of(spark, [". ".join(line() for _ in range(4)) for _ in range(1500)]))
+    assert max(model.thresholds) <= 1.0
+    for text, kind in [
+        ("mail ann (at) example (dot) org now", 0), ("mail bob[at]corp[dot]com now", 0), ("mail eve at home dot net now", 0),
+        ("host 10[.]0[.]0[.]1 is up", 1), ("host 10 . 20 . 0 . 1 is up", 1), ("card 4111 - 1111 - 1111 - 1111 paid", 2), ("call 415 555 2671 now", 3), ("call (415) 555-2671 now", 3),
+    ]:
+        assert [(s[1], s[3]) for s in pii.spans_of(model, [text])[0]] == [(kind, False)], text
+    for text in ("order 4155552671 of tea", "on 2024-01-15 10:30", "we met at node.js today", "sections 1. 2. 3. 4 of it", "batch 1234-5678-9012-3456 of it", "host 10[.]0[.]0[.]999 is up"):
+        assert pii.spans_of(model, [text])[0] == [], text
+    long = "call 415 555 2671 now " * 20000
+    assert len(pii.spans_of(model, [long])[0]) == 20000
+    out = docs_of(spark, [*ODD, long[:44], long[:44]]).select("doc_id", F.size(pii.found(model, F.col("text"))).alias("n")).collect()
+    assert [x.n for x in sorted(out)] == [0] * len(ODD) + [2, 2]
+    assert docs_of(spark, ["x"]).limit(0).select(pii.found(model, F.col("text"))).count() == 0 and pii.fit(docs_of(spark, ODD)) == pii.NOTHING
+
+
 # --- 10: decontamination
 
 
