@@ -103,17 +103,34 @@ def word_signs() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def words(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of all words (runs of letters, marks and numbers), and each text's first word (one more: all)."""
+@functools.cache
+def unspaced() -> np.ndarray:
+    """For each code point, whether its script is written without blanks: Thai to Lao, Myanmar, Khmer, kana, Han."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for low, high in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+        out[low : high + 1] = True
+    return out
+
+
+def words(points: np.ndarray, bounds: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of all words (runs of letters, marks and numbers), and each text's first word (one more: all).
+
+    single: for each code point, whether each such sign is a word of its own.
+    """
     inside = np.zeros(len(points) + 1, bool)
     inside[:-1] = word_signs()[points]
     begins = inside[:-1].copy()
     begins[1:] &= ~inside[:-2]
+    if single is not None:
+        alone = single[points]
+        if alone.any():
+            begins |= inside[:-1] & alone
+            begins[1:] |= inside[1:-1] & alone[:-1]
     cut = bounds[1:-1][(bounds[1:-1] < len(points)) & (bounds[1:-1] > 0)]
     begins[cut] |= inside[cut]
     starts = np.flatnonzero(begins)
     ends = inside[:-1] & ~inside[1:]
-    ends[cut - 1] |= inside[cut - 1]
+    ends[:-1] |= inside[:-2] & begins[1:]
     return starts, np.flatnonzero(ends) + 1 - starts, np.searchsorted(starts, bounds)
 
 

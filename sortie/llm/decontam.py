@@ -1,6 +1,7 @@
 """Benchmark passages in documents, near copies included.
 
-Texts become words (runs of letters, marks and numbers, lower case). A window is as
+Texts become words (runs of letters, marks and numbers, lower case; in scripts without
+blanks every sign is a word). A window is as
 long as an item. The CGK embedding walks over a window's words and at each step, by
 a hash of step and word, stays or moves on; words at a small edit distance become
 walks at a small Hamming distance. A band is a few sampled steps of a walk; windows
@@ -11,6 +12,9 @@ Windows start at every word. Only those that can hold an item are walked: k edit
 leave n - 1 - 2k of an item's n - 1 word pairs, so a window with fewer pairs known to
 the benchmark (a bitmap of fixed size) can't hold one. A second bitmap, of the items'
 bands, keeps bands that no item has from being shuffled. Neither loses a match.
+
+Items too short to allow an edit are looked for as they are: the hash of an item's
+words is its only key, and so is that of as many words from each place of a text.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ class Scheme:
     """similarity: 1 - allowed edits per item word. walks x bands keys of `steps` sampled steps each.
 
     bits: size of both bitmaps (2**bits). growth: item lengths of one class differ by this factor at most.
-    shortest: items of fewer words are no evidence and take no part.
+    shortest: items of fewer words take no part; by default all with a word do.
     """
 
     similarity: float = 0.8
@@ -41,7 +45,7 @@ class Scheme:
     steps: int = 2
     bits: int = 24
     growth: float = 1.2
-    shortest: int = 5
+    shortest: int = 1
 
     def edits(self, n: np.ndarray) -> np.ndarray:
         return np.floor(np.asarray(n) * (1 - self.similarity) + 1e-9).astype(np.int64)
@@ -55,6 +59,11 @@ class Scheme:
         own = guess[self.length_class(guess) == c]
         return int(own[0]), int(own[-1])
 
+    def exact(self, c: int) -> bool:
+        """Whether the items of a class allow no edit; such a class has items of one length."""
+        low, high = self.lengths(c)
+        return low == high and self.edits(high) == 0
+
     def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, c: int) -> np.ndarray:
         """Band keys of the windows of class c that begin at `starts`; a word at or past `ends` is a blank one."""
         low, _ = self.lengths(c)
@@ -78,7 +87,7 @@ class Scheme:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A hash of each word, the character it begins at in its text, and each text's first word (one more: all)."""
     points, bounds = common.codepoints(pc.utf8_lower(texts))
-    starts, lengths, first = common.words(points, bounds)
+    starts, lengths, first = common.words(points, bounds, common.unspaced())
     hashes = common.span_hashes(points, starts, lengths)
     return hashes, starts - np.repeat(bounds[:-1], np.diff(first)), first
 
@@ -87,6 +96,11 @@ def pairs(words: np.ndarray) -> np.ndarray:
     return common.mixed(words[:-1] * np.uint64(3) + words[1:])
 
 
+def whole(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The key of n words from each start, apart from all band keys."""
+    return common.mixed(common.symbol_hashes(words, starts, np.full(len(starts), n)) ^ np.uint64(0x9E3779B97F4A7C15))
+
+
 def _bitmap(batches, column: int, bits: int):
     """One bitmap per task: the low bits of a column of 64-bit lists."""
     seen = np.zeros(1 << bits, bool)
@@ -106,10 +120,11 @@ def items(benchmark: DataFrame, scheme: Scheme, *, item: str = "item_id", text:
                 at += len(part)
                 hashes, _, first = word_hashes(part)
                 sizes = np.diff(first)
-                rows = np.flatnonzero(sizes >= scheme.shortest)
+                rows = np.flatnonzero(sizes >= max(scheme.shortest, 1))
                 lists = [hashes[first[i] : first[i + 1]] for i in rows]
                 classes = scheme.length_class(sizes[rows])
-                keys = [scheme.keys(x, np.zeros(1, np.int64), np.array([len(x)]), int(c))[0] for x, c in zip(lists, classes, strict=True)]
+                start = np.zeros(1, np.int64)
+                keys = [whole(x, start, len(x)) if scheme.exact(int(c)) else scheme.keys(x, start, np.array([len(x)]), int(c))[0] for x, c in zip(lists, classes, strict=True)]
                 as_list = lambda x: pa.array([y.view(np.int64) for y in x], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), as_list(lists), as_list([pairs(x) for x in lists]), pa.array(classes, pa.int64()), as_list(keys)], ["item", "words", "pairs", "class", "keys"])
 
@@ -134,6 +149,15 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
         low = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
         return (bitmap[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 > 0
 
+    def sent(ids: pa.Array, first: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n_keys: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        """The windows of `sizes` words at `starts`, each with `n_keys` of the keys."""
+        content = hashes[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        ends_of = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(owner)), pa.array(starts - first[owner]), pa.array(offsets[starts]), pa.ListArray.from_arrays(ends_of(sizes), pa.array(content.view(np.int64))), pa.ListArray.from_arrays(ends_of(n_keys), pa.array(keys.view(np.int64)))],
+            ["key", "place", "offset", "words", "keys"],
+        )
+
     def find(batches):
         (pair_map, key_map), classes = shared.value
         for batch in batches:
@@ -142,11 +166,27 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
                 ids = batch.column(0).slice(at, len(part))
                 at += len(part)
                 hashes, offsets, first = word_hashes(part)
-                if len(hashes) < 2 or not classes:
+                if not len(hashes) or not classes:
                     continue
                 hits = np.concatenate(([0], np.cumsum(in_map(pair_map, pairs(hashes)), dtype=np.int64)))
                 for c in classes:
                     low, high = scheme.lengths(c)
+                    if scheme.exact(c):
+                        if len(hashes) < low:
+                            continue
+                        starts = np.arange(len(hashes) - low + 1)
+                        starts = starts[hits[starts + low - 1] - hits[starts] == low - 1]
+                        owner = np.searchsorted(first, starts, side="right") - 1
+                        inside = starts + low <= first[owner + 1]
+                        starts, owner = starts[inside], owner[inside]
+                        keys = whole(hashes, starts, low)
+                        some = in_map(key_map, keys)
+                        starts, owner, keys = starts[some], owner[some], keys[some]
+                        # a text's first place of a key tells all that is asked of it
+                        one = np.unique(np.stack([owner.view(np.uint64), keys], 1), axis=0, return_index=True)[1] if len(keys) else np.zeros(0, np.int64)
+                        if len(one):
+                            yield sent(ids, first, offsets, hashes, owner[one], starts[one], np.full(len(one), low), np.ones(len(one), np.int64), keys[one])
+                        continue
                     span = high + int(scheme.edits(high))
                     lengths = np.arange(low, high + 1)
                     need = max(int((lengths - 1 - 2 * scheme.edits(lengths)).min()), 0)
@@ -170,12 +210,7 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
                         if not some.any():
                             continue
                         sizes = (e - s)[some]
-                        content = hashes[np.repeat(s[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-                        ends_of = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(o[some])), pa.array(s[some] - first[o[some]]), pa.array(offsets[s[some]]), pa.ListArray.from_arrays(ends_of(sizes), pa.array(content.view(np.int64))), pa.ListArray.from_arrays(ends_of(common_bands[some].sum(1)), pa.array(keys[some][common_bands[some]].view(np.int64)))],
-                            ["key", "place", "offset", "words", "keys"],
-                        )
+                        yield sent(ids, first, offsets, hashes, o[some], s[some], sizes, common_bands[some].sum(1), keys[some][common_bands[some]])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string")).mapInArrow(find, f"key {kind}, place long, offset long, words array<long>, keys array<long>")
@@ -244,6 +279,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme | None =
 
     edits: fewest over the document's windows; place and offset: the first such window's
     first word and character. Null texts hold nothing; rows that share a key count as one.
+    Whole texts of any length are searched; an empty table on either side gives no rows.
     """
     scheme = scheme or Scheme()
     known = items(benchmark, scheme, item=item, text=item_text)
