@@ -17,33 +17,47 @@ from pyspark.sql import Window as W
 
 from ..session import stage
 
+#: A row's key as the driver and the tasks hold it.
+KEY = np.dtype([("hash", "<i8"), ("id", "<i8")])
+
 
 def text_size(text: Column) -> Column:
     """UTF-8 bytes plus one; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _draws(rows: DataFrame, per_range: float, share: float, seed: int) -> list[tuple[int, int]]:
-    """Keys drawn with chance size / share x per_range, by a hash of the key; at most a key per row."""
+def _draws(rows: DataFrame, per_range: float, share: float, seed: int) -> np.ndarray:
+    """Sorted keys drawn with chance size / share x per_range, by a hash of the key; at most a key per row."""
     scale = float(1 << 40)
     drawn = F.pmod(F.xxhash64("_hash", "_id", F.lit(seed)), F.lit(1 << 40)) < F.least(F.lit(1.0), F.col("_size") * (per_range / share)) * scale
     got = rows.where(drawn).select("_hash", "_id").distinct().toPandas()
-    return sorted(zip(got["_hash"].astype("int64"), got["_id"].astype("int64"), strict=True))
+    keys = np.empty(len(got), KEY)
+    keys["hash"], keys["id"] = got["_hash"].to_numpy("int64"), got["_id"].to_numpy("int64")
+    return keys[np.lexsort((keys["id"], keys["hash"]))]
+
+
+def splits(keys: np.ndarray, at: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """From the sorted keys of each range (`at`: each key's range, rising), those that cut it into its `parts`."""
+    begins = np.flatnonzero(np.diff(at, prepend=-1))
+    sizes = np.diff(np.append(begins, len(at)))
+    parts = np.maximum(parts, 2)
+    nth = np.arange((parts - 1).sum()) - np.repeat(np.cumsum(parts - 1) - (parts - 1), parts - 1) + 1
+    return np.unique(keys[np.repeat(begins, parts - 1) + np.repeat(sizes, parts - 1) * nth // np.repeat(parts, parts - 1)])
 
 
-def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
+def _ranged(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
     """Adds `_range`: how many splitters are at most the row's key."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.array(splitters, dtype=[("hash", "<i8"), ("id", "<i8")]))
+    shared = rows.sparkSession.sparkContext.broadcast(splitters)
 
     @F.arrow_udf("int")
     def place(hashes: pa.Array, ids: pa.Array) -> pa.Array:
-        keys = np.empty(len(hashes), dtype=[("hash", "<i8"), ("id", "<i8")])
+        keys = np.empty(len(hashes), KEY)
         keys["hash"], keys["id"] = hashes.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
         cuts = shared.value
         low = np.searchsorted(cuts["hash"], keys["hash"], "left")
         high = np.searchsorted(cuts["hash"], keys["hash"], "right")
-        for i in np.flatnonzero(high > low):  # splitters inside one text's rows: by id
-            low[i] += np.searchsorted(cuts["id"][low[i] : high[i]], keys["id"][i], "right")
+        mixed = high > low  # splitters inside one text's rows: by id too
+        low[mixed] = np.searchsorted(cuts, keys[mixed], "right")
         return pa.array(low.astype(np.int32))
 
     return rows.withColumn("_range", place(F.col("_hash"), F.col("_id")))
@@ -64,23 +78,21 @@ def assign(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str =
     wanted = max(shards * ranges_per_shard, -(-total // range_bytes))
     share = max(total / wanted, 1.0)
     drawn = _draws(rows, draws_per_range, share, 1)
-    splitters = sorted(set(drawn[draws_per_range // 2 :: draws_per_range]))
+    splitters = np.unique(drawn[draws_per_range // 2 :: draws_per_range])
     for again in range(rounds):
         ranged = _ranged(rows, splitters)
         sizes = {r["_range"]: r["size"] for r in ranged.groupBy("_range").agg(F.sum("_size").alias("size"), F.min(F.struct("_hash", "_id")).alias("low"), F.max(F.struct("_hash", "_id")).alias("high")).where("low < high").select("_range", "size").toLocalIterator()}
         over = sorted(r for r, size in sizes.items() if size > 2 * share)
         if not over:
             break
-        fresh: dict[int, list[tuple[int, int]]] = {}
-        for k in _draws(ranged.where(F.col("_range").isin(over)) if len(over) < 1000 else ranged.join(rows.sparkSession.createDataFrame([(r,) for r in over], "_range int"), "_range"), draws_per_range * (again + 1), share, again + 2):
-            fresh.setdefault(int(np.searchsorted(np.array(splitters, dtype=[("hash", "<i8"), ("id", "<i8")]), np.array(k, dtype=[("hash", "<i8"), ("id", "<i8")]), "right")), []).append(k)
-        added = set()
-        for r, keys in fresh.items():
-            parts = max(2, int(-(-sizes.get(r, 0) // share)))
-            added |= {keys[len(keys) * i // parts] for i in range(1, parts)}
-        if added <= set(splitters):
+        full = ranged.where(F.col("_range").isin(over)) if len(over) < 1000 else ranged.join(rows.sparkSession.createDataFrame([(r,) for r in over], "_range int"), "_range")
+        keys = _draws(full, draws_per_range * (again + 1), share, again + 2)
+        at = np.searchsorted(splitters, keys, "right")
+        parts = np.ceil([sizes.get(int(r), 0) / share for r in np.unique(at)]).astype(np.int64)
+        more = np.union1d(splitters, splits(keys, at, parts))
+        if len(more) == len(splitters):
             break
-        splitters = sorted({*splitters, *added})
+        splitters = more
     ranged = stage(_ranged(rows, splitters), "ranges")
     stats = sorted((r["_range"], r["size"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).toLocalIterator())
     plan, done, counts = [], 0, [0] * shards
