@@ -80,13 +80,17 @@ def _opened(folder: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(folder)
 
 
-def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = 1 << 30) -> DataFrame:
     """Writes a record per row and returns the manifest: (name, first_key, last_key, records), staged.
 
     Payloads are UTF-8 (null: empty). Of rows with equal payloads of at least
     LEAST_REVISIT bytes, those with the smallest key are responses, the rest revisits
     that name it; rows with a null key are never referred to unless no other has one.
+    An archive holds about `archive_bytes` of payloads, or less where more tasks can run at once.
     """
+    spark = pages.sparkSession
+    total = pages.agg(F.sum(F.octet_length(payload))).first()[0] or 0
+    archives = max(spark.sparkContext.defaultParallelism, -(-total // archive_bytes))
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), body.alias("_body"), F.sha2(body, 256).alias("_digest"), F.octet_length(body).alias("_size"))
     copies = rows.where(F.col("_size") >= LEAST_REVISIT).groupBy("_digest").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_url").alias("url"))).alias("_first")).where("_n > 1").select(F.col("_digest").alias("_of"), "_first")
@@ -131,7 +135,7 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
             sparse.write(zlib.compress(json.dumps(directory).encode()))
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([last]), pa.array([count], pa.int64())], ["name", "first_key", "last_key", "records"])
 
-    ordered = rows.repartitionByRange("capture").sortWithinPartitions("capture")
+    ordered = rows.repartitionByRange(archives, "capture").sortWithinPartitions("capture")
     return stage(ordered.mapInArrow(archive, "name string, first_key string, last_key string, records long"), "warc-manifest")
 
 
@@ -159,7 +163,8 @@ class Reader:
     def entries(self, capture: str) -> list[tuple[str, list]]:
         """(archive, index line) of every record of a key."""
         key, out = capture.encode(), []
-        for _, last, name in self.manifest[: bisect_right(self.firsts, key)][::-1]:
+        for place in range(bisect_right(self.firsts, key) - 1, -1, -1):
+            _, last, name = self.manifest[place]
             if last < key:
                 break  # archives hold ranges that don't overlap
             keys, rows = self.directory(name)

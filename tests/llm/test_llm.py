@@ -222,11 +222,10 @@ def test_decontamination_equals_brute_force(spark):
     want = {}
     for d, text in enumerate(texts):
         for i, b in enumerate(benchmark):
-            if len(b) >= 5:
-                k = int(len(b) * 0.2 + 1e-9)
-                best = min(brute_edits(b, text[s : s + len(b) + k]) for s in range(len(text)))
-                if best <= k:
-                    want[d, i] = best
+            k = int(len(b) * 0.2 + 1e-9)
+            best = min(brute_edits(b, text[s : s + len(b) + k]) for s in range(len(text)))
+            if best <= k:
+                want[d, i] = best
     assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
     assert all(got[p] >= want[p] for p in got) and all((d, i) in got for (d, i), e in want.items() if e == 0)
     left = {x.doc_id for x in decontam.clean(docs, items).collect()}
@@ -234,6 +233,18 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.clean(docs, items.limit(0)).count() == docs.count() and decontam.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_finds_short_items_and_scripts_without_blanks(spark):
+    items = spark.createDataFrame([(0, "Four words stand here"), (1, "量子の世界は不思議で満ちている"), (2, "Zyzzyva!"), (3, "two words"), (4, "ภาษาไทยไม่มีช่องว่าง")], "item_id long, text string")
+    docs = docs_of(spark, [
+        "so FOUR words, stand here; four words stand here", "four words here stand", "昨日。量子の世界は不思議で満ちている。明日", "量子の世界は不思義で満ちている", "世界は不思議", "a zyzzyva", "zyzzyvas", "two", "words two words",
+        "two", "words", "และภาษาไทยไม่มีช่องว่างครับ", None, "",
+    ])
+    got = {(x.doc_id, x.item_id): (x.edits, x.n_words, x.place, x.offset) for x in decontam.contaminated(docs, items).collect()}
+    assert got == {(0, 0): (0, 4, 1, 3), (2, 1): (0, 15, 2, 3), (3, 1): (1, 15, 0, 0), (5, 2): (0, 1, 1, 2), (8, 3): (0, 2, 1, 6), (11, 4): (0, 20, 3, 3)}
+    only = decontam.contaminated(docs, items, decontam.Scheme(shortest=5))
+    assert {(x.doc_id, x.item_id) for x in only.collect()} == {(2, 1), (3, 1), (11, 4)}
+
+
 def test_walks_find_long_items_at_the_greatest_distance():
     scheme, r, n, found = decontam.Scheme(), np.random.default_rng(1), 59, 0
     c, k = int(scheme.length_class(np.array([n]))[0]), int(scheme.edits(n))
@@ -348,6 +359,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[None].record_type == "revisit" and by[None].refers_to == 11
     assert all(by[i].record_type == "response" for i in (7, 8, 9, 11)) and by[9].payload_bytes == 0
     assert all(r.payload_digest == hashlib.sha256((dict((a, c) for a, _, c in rows)[r.page_id] or "").encode()).hexdigest() for r in got)
+    many = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".org/")).alias("url"), F.expr("repeat(cast(id as string), 500)").alias("html"))
+    assert warc.write(many, str(tmp_path / "small"), archive_bytes=10_000).count() > 2 * warc.write(many, str(tmp_path / "large")).count()
     empty = str(tmp_path / "none")
     assert warc.read(pages.limit(0), empty, warc.write(pages.limit(0), empty)).count() == 0
 
@@ -369,6 +382,30 @@ def test_shards_are_even_gapless_and_keep_all(spark):
     assert sharding.assign(docs_of(spark, []), 8).count() == 0
 
 
+def test_splitters_of_many_ranges_equal_a_loop():
+    r = np.random.default_rng(4)
+
+    def drawn(n, high):
+        keys = np.empty(n, sharding.KEY)
+        keys["hash"], keys["id"] = r.integers(-high, high, n), r.integers(0, 9, n)
+        return np.unique(keys)
+
+    for n, high in ((400, 30), (400_000, 2**62)):
+        splitters, keys = drawn(n // 4, high), drawn(n, high)
+        at = np.searchsorted(splitters, keys, "right")
+        parts = r.integers(0, 5, len(np.unique(at)))
+        got = sharding.splits(keys, at, parts)
+        if n == 400:
+            want = set()
+            for i, p in zip(np.unique(at), parts, strict=True):
+                mine, p = keys[at == i], max(2, p)
+                want |= {tuple(mine[len(mine) * j // p]) for j in range(1, p)}
+            assert [tuple(x) for x in got] == sorted(want)
+            assert at.tolist() == [sum(tuple(x) <= tuple(k) for x in splitters) for k in keys]
+    none = sharding.splits(keys[:0], at[:0], parts[:0])
+    assert len(none) == 0 and len(np.union1d(splitters, none)) == len(splitters)
+
+
 # --- 8: URL lists
 
 
