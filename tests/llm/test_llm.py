@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sortie.llm import ann, bpe, common, components, decontam, langid, pii, queries, sharding, simhash, toxicity, urlfilter, warc
+from sortie.llm import ann, bpe, common, components, decontam, langid, nearcopies, pii, queries, sharding, simhash, toxicity, urlfilter, warc
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, _text string"
@@ -459,6 +459,22 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.language_id(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_rare_prefixes_pair_all_similar_sets_and_few_of_one_passage(spark):
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    passage = some(60)
+    texts = [some(30) + passage for _ in range(40)] + [["a"], ["a", "b"], []]
+    for _ in range(15):
+        base = some(r.randrange(20, 80))
+        texts += [base, [*base, "end"], base[2:], [*base[:9], "new", *base[9:]]]
+    sets = {str(i).encode(): set(nearcopies.shingles(" ".join(t).encode(), 5).tolist()) for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([(bytearray(str(i).encode()), " ".join(t)) for i, t in enumerate(texts)], "digest binary, text string")
+    got = {(bytes(x.a), bytes(x.b)) for x in nearcopies.rare_pairs(rows, 5, 0.8).collect()}
+    want = {(max(a, b), min(a, b)) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0}
+    assert len(want) > 30 and want <= got and not any(int(a) < 40 and int(b) < 40 for a, b in got)
+    assert nearcopies.rare_pairs(rows.limit(0), 5, 0.8).count() == 0
+
+
 def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
     r = random.Random(11)
     some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
