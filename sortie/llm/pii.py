@@ -5,7 +5,8 @@ generators also propose looser spans of the same kinds: spelled-out mail address
 digit groups without a leading plus, spaced or bracketed dots, parts of base spans.
 Trees boosted on format and context features score them, an isotonic fit turns
 scores into probabilities, and a threshold per kind is set on rows held out from
-the trees. Labels come from the base rules too, applied to what a proposal says once
+the trees. All texts teach: their proposals are counted by what trees can tell apart,
+and every level of a tree is one Spark job over those counts. Labels come from the base rules too, applied to what a proposal says once
 its disguise is undone (`plain`): a spelled-out sign or dot, brackets and blanks, a
 missing plus. Features see the undone form, so base spans teach what their disguised
 kin look like. Undone forms that ordinary prose has as well (a bare "at" before a
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import common
 
 #: Kinds in their order (fixed values), as are the rules: least and most digits of cards and phones, greatest part of an address.
@@ -190,84 +192,185 @@ class Model:
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
+        return self.steps_of(self.raw(x))
+
+    def steps_of(self, raw: np.ndarray) -> np.ndarray:
         edges, values = self.steps
-        return values[np.clip(np.searchsorted(edges, self.raw(x), side="right") - 1, 0, len(values) - 1)]
+        return values[np.clip(np.searchsorted(edges, raw, side="right") - 1, 0, len(values) - 1)]
 
 
 NOTHING = Model(-9.0, (), (np.zeros(1), np.zeros(1)), (2.0,) * len(KINDS))
 
 
-def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, smooth: float = 5.0) -> Model:
-    """Gradient boosting of the log loss with trees that ask one question a level; no steps or thresholds yet."""
-    prior = float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
-    cuts = [np.unique(np.quantile(x[:, c], np.linspace(0, 1, 17)[1:-1])) for c in range(x.shape[1])]
-    score, trees = np.full(len(x), prior), []
+#: Questions a feature has at most (so many quantiles of the rows), and the whole numbers gradients are summed in: sums don't depend on their order.
+CUTS, UNIT = 15, 1 << 24
+_CELLS = "kind int, bins binary, held boolean, n long, positive long"
+
+
+def _binned(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bins (rows x features), how many proposals each row stands for, and how many of them are personal."""
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
+    return bins, batch.column("n").to_numpy().astype(np.float64), batch.column("positive").to_numpy().astype(np.float64)
+
+
+def _cells(found: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Proposals counted by kind and the cuts between which their features lie: what trees can tell apart."""
+
+    def place(batches):
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist()).reshape(-1, len(cuts))
+            bins = np.stack([np.searchsorted(t, x[:, c]) for c, t in enumerate(cuts)], 1).astype(np.uint8)
+            kinds, keys = pa.array(x[:, 0].astype(np.int32)), pa.array([row.tobytes() for row in bins], pa.binary())
+            yield pa.RecordBatch.from_arrays([kinds, keys, batch.column("held"), batch.column("n"), batch.column("positive")], ["kind", "bins", "held", "n", "positive"])
+
+    return found.mapInArrow(place, _CELLS).groupBy("kind", "bins", "held").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+
+
+def _slopes(cells: DataFrame, model: Model, grid: np.ndarray, asked: list[tuple[int, float]]) -> np.ndarray:
+    """Sums of (gradient, weight) by feature, leaf after the questions `asked`, and bin: a Spark job over all rows."""
+    width, size = len(grid), (CUTS + 1) << len(asked)
+
+    def count(batches):
+        total = np.zeros((width, size, 2), np.int64)
+        for batch in batches:
+            bins, n, positive = _binned(batch, width)
+            x, leaf = grid[np.arange(width), bins], np.zeros(len(bins), np.int64)
+            p = 1 / (1 + np.exp(-model.raw(x)))
+            for c, t in asked:
+                leaf = leaf * 2 + (x[:, c] > t)
+            for i, part in enumerate((positive - n * p, n * p * (1 - p))):
+                whole = np.rint(part * UNIT)
+                for c in range(width):
+                    total[c, :, i] += np.bincount(leaf * (CUTS + 1) + bins[:, c], whole, size).astype(np.int64)
+        flat = total.reshape(-1, 2)
+        at = np.flatnonzero(flat.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at, 0]), pa.array(flat[at, 1])], ["at", "g", "h"])
+
+    sums, out = cells.mapInArrow(count, "at long, g long, h long").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow(), np.zeros((width * size, 2))
+    out[sums["at"].to_numpy()] = np.stack([sums["g"].to_numpy(), sums["h"].to_numpy()], 1) / UNIT
+    return out.reshape(width, 1 << len(asked), CUTS + 1, 2)
+
+
+def boosted(cells: DataFrame, cuts: list[np.ndarray], prior: float, rounds: int = 40, depth: int = 3, rate: float = 0.3, smooth: float = 5.0) -> Model:
+    """Gradient boosting of the log loss with trees that ask one question a level, over all cells; no steps or thresholds yet.
+
+    The driver holds a level's sums by feature, leaf and bin, whatever the number of rows.
+    """
+    model = Model(prior, (), (np.zeros(1), np.zeros(1)), (2.0,) * len(KINDS))
+    grid = _grid(cuts)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-score))
-        gradient, weight, leaf, columns, at = y - p, p * (1 - p), np.zeros(len(x), np.int64), [], []
-        for level in range(depth):
-            best = (-1.0, 0, 0.0)
-            for c in range(x.shape[1]):
-                for t in cuts[c]:
-                    side = leaf * 2 + (x[:, c] > t)
-                    g, h = np.bincount(side, gradient, 2 << level), np.bincount(side, weight, 2 << level)
-                    best = max(best, (float((g * g / (h + smooth)).sum()), c, float(t)))
-            columns, at = [*columns, best[1]], [*at, best[2]]
-            leaf = leaf * 2 + (x[:, best[1]] > best[2])
-        g, h = np.bincount(leaf, gradient, 1 << depth), np.bincount(leaf, weight, 1 << depth)
-        leaves = rate * g / (h + smooth)
-        score = score + leaves[leaf]
-        trees.append((tuple(columns), tuple(at), tuple(leaves.tolist())))
-    return Model(prior, tuple(trees), (np.zeros(1), np.zeros(1)), (2.0,) * len(KINDS))
-
-
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: the scores where steps begin, and each step's share of positives."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([s, v, 1.0])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            top = blocks.pop()
-            blocks[-1][1:] = [blocks[-1][1] + top[1], blocks[-1][2] + top[2]]
-    return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
-
-
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample_docs: int = 20_000, sample_spans: int = 8_000, precision: float = 0.98) -> Model:
-    """Fits trees, calibration and thresholds on a sample of about `sample_docs` texts, at most `sample_spans` proposals.
-
-    Every fourth proposal (by its text's hash) is held out for the calibration; a kind's
+        asked: list[tuple[int, float]] = []
+        for _ in range(depth):
+            slopes = _slopes(cells, model, grid, asked)
+            best, sides = (-1.0, 0, 0.0), None
+            for c, questions in enumerate(cuts):
+                for j, t in enumerate(questions):
+                    both = np.stack([slopes[c, :, : j + 1].sum(1), slopes[c, :, j + 1 :].sum(1)], 1).reshape(-1, 2)  # no, yes of each leaf
+                    gain = (float((both[:, 0] ** 2 / (both[:, 1] + smooth)).sum()), c, float(t))
+                    if gain > best:
+                        best, sides = gain, both
+            if sides is None:
+                return model  # every feature has one value
+            asked.append(best[1:])
+        leaves = rate * sides[:, 0] / (sides[:, 1] + smooth)
+        model = Model(prior, (*model.trees, (tuple(c for c, _ in asked), tuple(t for _, t in asked), tuple(leaves.tolist()))), model.steps, model.thresholds)
+    return model
+
+
+def _grid(cuts: list[np.ndarray]) -> np.ndarray:
+    """For each feature and bin a value that answers every question as the bin's rows do."""
+    return np.array([[*t, *[np.inf] * (CUTS + 1 - len(t))] for t in cuts])
+
+
+def pooled(blocks: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """Pooled adjacent violators of (least score, positives, rows) by rising score: shares rise from block to block."""
+    out: list[tuple[float, float, float]] = []
+    for block in blocks:
+        out.append(block)
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            top = out.pop()
+            out[-1] = (out[-1][0], out[-1][1] + top[1], out[-1][2] + top[2])
+    return out
+
+
+def _pool(batches):
+    """Pools a partition whose rows come by rising score."""
+    left: list[tuple[float, float, float]] = []
+    for batch in batches:
+        left = pooled(left + list(zip(*[c.to_pylist() for c in batch.columns], strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in left], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.int64()))], ["score", "positive", "n"])
+
+
+def calibrated(cells: DataFrame, model: Model, cuts: list[np.ndarray], precision: float) -> Model:
+    """The model with its isotonic steps and thresholds from all cells given: ranges of scores are pooled by tasks, then with each other."""
+    grid = _grid(cuts)
+
+    def score(batches):
+        for batch in batches:
+            bins, _, _ = _binned(batch, len(grid))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(model.raw(grid[np.arange(len(grid)), bins])), batch.column("positive"), batch.column("n")], ["kind", "score", "positive", "n"])
+
+    counts = [F.sum("positive").alias("positive"), F.sum("n").alias("n")]
+    scored = stage(cells.mapInArrow(score, "kind int, score double, positive long, n long").groupBy("kind", "score").agg(*counts), "scores")
+    ranges = scored.groupBy("score").agg(*counts).repartitionByRange("score").sortWithinPartitions("score").select("score", "positive", "n")
+    blocks = pooled(sorted(tuple(r) for r in ranges.mapInArrow(_pool, "score double, positive long, n long").collect()))
+    model = Model(model.prior, model.trees, (np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])), model.thresholds)
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(model.steps_of(batch.column("score").to_numpy())), batch.column("positive"), batch.column("n")], ["kind", "p", "positive", "n"])
+
+    limits, sums = [2.0] * len(KINDS), [(0, 0)] * len(KINDS)
+    for r in scored.mapInArrow(place, "kind int, p double, positive long, n long").where("p >= 0.5").groupBy("kind", "p").agg(*counts).orderBy(F.desc("p")).collect():
+        sums[r.kind] = (sums[r.kind][0] + r.positive, sums[r.kind][1] + r.n)
+        if sums[r.kind][0] / sums[r.kind][1] >= precision:
+            limits[r.kind] = r.p
+    return Model(model.prior, model.trees, model.steps, tuple(limits))
+
+
+def fit(docs: DataFrame, *, text: str = "text", precision: float = 0.98) -> Model:
+    """Fits trees, calibration and thresholds on the proposals of all texts.
+
+    A fourth of the texts (by their hash) is held out for the calibration; a kind's
     threshold is the least probability whose precision on them reaches `precision`,
-    a kind without that has no added spans. Null and empty texts propose nothing; a table
-    without proposals of both labels fits NOTHING, which adds no span. Repeated rows weigh as often.
+    a kind without that has no added spans. If one side then lacks rows or a label, proposals
+    are dealt by the hash of their features, or serve both sides. Null and empty texts propose
+    nothing; a table without proposals of both labels fits NOTHING, which adds no span. Repeated
+    rows weigh as often. Equal proposals are counted first, jobs read those counts; the result
+    doesn't depend on partitions.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.lit(1).alias("_all"))
     width = len(features("", 0, 0, 0))
 
     def propose(batches):
         for batch in batches:
+            x, y, held = [], [], []
             for value in batch.column(0).to_pylist():
                 base = base_spans(value)
                 found = proposals(value, base)
-                if found:
-                    x = [features(value, *f) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(labels(value, found, base)), pa.array([hash_of(value) % 4 == 0] * len(x))], ["x", "y", "held"])
-
-    got = common.sample_by_hash(rows, F.col("_key"), "_all", sample_docs).select("_text").mapInArrow(propose, "x array<double>, y double, held boolean")
-    got = got.orderBy(F.xxhash64("x"), "y").limit(sample_spans).toPandas()
-    if got["y"].nunique() < 2:
+                x += [features(value, *f) for f in found]
+                y += labels(value, found, base)
+                held += [hash_of(value) % 4 == 0] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(held, pa.bool_())], ["x", "y", "held"])
+
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
+    counts = [F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("positive")]
+    found = stage(texts.mapInArrow(propose, "x array<double>, y double, held boolean").groupBy("x", "held").agg(*counts), "proposals")
+    by_vector = F.pmod(F.xxhash64("x"), F.lit(4)) == 0
+    for deal in (F.col("held"), by_vector, F.lit(None)):
+        sides = {r.held: r for r in found.groupBy(deal.alias("held")).agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).collect()}
+        learned = sides.get(False) or sides.get(None)
+        if learned and (True in sides or None in sides) and 0 < learned.positive < learned.n:
+            break
+    else:
         return NOTHING
-    x, y, held = np.vstack(got["x"]).reshape(-1, width), got["y"].to_numpy(), got["held"].to_numpy(dtype=bool)
-    if len(set(y[~held])) < 2 or not held.any():
-        held = np.arange(len(y)) % 4 == 0
-    trees = boosted(x[~held], y[~held])
-    model = Model(trees.prior, trees.trees, isotonic(trees.raw(x[held]), y[held]), trees.thresholds)
-    p, limits = model.probability(x[held]), []
-    for kind in range(len(KINDS)):
-        mine = x[held][:, 0] == kind
-        usable = [t for t in np.unique(p[mine]) if t >= 0.5 and y[held][mine & (p >= t)].mean() >= precision]
-        limits.append(float(min(usable, default=2.0)))
-    return Model(model.prior, model.trees, model.steps, tuple(limits))
+    found, share = found.withColumn("held", deal.cast("boolean")), learned.positive / learned.n
+    values = found.where("held is not true").select(F.posexplode("x").alias("c", "v"), "n").groupBy("c", "v").agg(F.sum("n").alias("n"))
+    places = F.array(*[F.lit(q) for q in np.linspace(0, 1, CUTS + 2)[1:-1].tolist()])
+    quantiles = {r.c: r.q for r in values.groupBy("c").agg(F.percentile("v", places, F.col("n")).alias("q")).collect()}
+    cuts = [np.unique(quantiles[c]) for c in range(width)]
+    cells = stage(_cells(found, cuts), "cells")
+    model = boosted(cells.where("held is not true"), cuts, float(np.log((share + 1e-4) / (1 - share + 1e-4))))
+    return calibrated(cells.where("held is not false"), model, cuts, precision)
 
 
 def hash_of(text: str) -> int:

@@ -189,6 +189,51 @@ def test_trees_add_every_generators_form_and_leave_prose(spark):
     assert docs_of(spark, ["x"]).limit(0).select(pii.found(model, F.col("text"))).count() == 0 and pii.fit(docs_of(spark, ODD)) == pii.NOTHING
 
 
+def test_trees_learn_from_every_text(spark):
+    """40 000 texts of one form, 30 of another: a sample of a few thousand proposals hardly holds the rare ones."""
+    common_texts = [f"order {4150000000 + i} of tea, mail u{i}@mail.org" for i in range(40000)]
+    rare = [f"tel 0{i % 90 + 10} {1000 + 7 * i} {2000 + i} or (20) {100 + i}-{3000 + i}" for i in range(30)]
+    model = pii.fit(docs_of(spark, common_texts + rare))
+    every = [(pii.proposals(x, pii.base_spans(x)), x) for x in common_texts + rare]
+    held = [pii.hash_of(x) % 4 == 0 for _, x in every]
+    labels = [pii.labels(x, f, pii.base_spans(x)) for f, x in every]
+    learned = [y for ys, h in zip(labels, held, strict=True) if not h for y in ys]
+    share = sum(learned) / len(learned)
+    assert model.prior == pytest.approx(np.log((share + 1e-4) / (1 - share + 1e-4)), abs=1e-12)  # all that are not held out, not a part
+    shuffled = docs_of(spark, rare + common_texts[::-1]).repartition(7)
+    again = pii.fit(shuffled)
+    assert again.trees == model.trees and again.thresholds == model.thresholds and [x.tolist() for x in again.steps] == [x.tolist() for x in model.steps]
+
+
+def test_trees_equal_a_loop_over_rows(spark):
+    r = np.random.default_rng(5)
+    x = np.stack([r.integers(0, n, 600) for n in (4, 9, 30, 2)], 1).astype(float)
+    y = (x[:, 1] + 3 * x[:, 3] + r.integers(0, 4, 600) > 8).astype(float)
+    cuts = [np.unique(np.quantile(x[:, c], np.linspace(0, 1, 17)[1:-1])) for c in range(4)]
+    rows = [([float(v) for v in a], False, 1, int(b)) for a, b in zip(x, y, strict=True)]
+    cells = pii._cells(spark.createDataFrame(rows, "x array<double>, held boolean, n long, positive long"), cuts)
+    got, score = pii.boosted(cells, cuts, 0.1, rounds=3, depth=2), np.full(600, 0.1)
+    for columns, at, leaves in got.trees:
+        p, leaf = 1 / (1 + np.exp(-score)), np.zeros(600, int)
+        for c0, t0 in zip(columns, at, strict=True):
+            gains = {}
+            for c in range(4):
+                for t in cuts[c]:
+                    side = leaf * 2 + (x[:, c] > t)
+                    g, h = np.bincount(side, y - p), np.bincount(side, p * (1 - p))
+                    gains[c, t] = (g * g / (h + 5.0)).sum()
+            assert gains[c0, t0] == pytest.approx(max(gains.values()), rel=1e-5)
+            leaf = leaf * 2 + (x[:, c0] > t0)
+        g, h = np.bincount(leaf, y - p, 4), np.bincount(leaf, p * (1 - p), 4)
+        assert np.allclose(leaves, 0.3 * g / (h + 5.0), atol=1e-6)
+        score = score + np.asarray(leaves)[leaf]
+    fitted = pii.calibrated(cells, got, cuts, 0.9)
+    assert np.all(np.diff(fitted.steps[1]) > 0)
+    for s in np.unique(fitted.steps_of(got.raw(x))):  # a step's value is its share of positives
+        mine = fitted.steps_of(got.raw(x)) == s
+        assert y[mine].mean() == pytest.approx(s)
+
+
 # --- 10: decontamination
 
 
