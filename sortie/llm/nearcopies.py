@@ -1,11 +1,13 @@
-"""Near copies by word shingles: bands of min-hashes propose pairs, exact Jaccard similarity decides.
+"""Near copies by word shingles: SimHash and bands of min-hashes propose pairs, exact Jaccard similarity decides.
 
-Texts with the same set of shingles are folded into one. `bands` keys of `rows`
+Texts with the same set of shingles are folded into one. Sets whose SimHashes are within
+two bits meet first (the links of `simhash`). Then `bands` keys of `rows`
 min-hashes each bring texts together; at similarity s a pair shares none with chance
 (1 - s**rows)**bands, 4 in 10 000 at 0.8 by the defaults and less above. Every pair
 that is linked was compared by its whole shingle sets. Texts of a band are first
 held against its smallest one, a text against that of most of its bands, and copies
-fold away, as long as that takes a tenth of them. What is left is joined by prefixes:
+fold away, as long as that takes a tenth of them. Then all texts that met are joined by
+prefixes, but for pairs that links have joined already, so no link of a folded text is lost:
 shingles are put in one order, rare ones first, and two sets of n and m shingles
 that are similar share one of their first n - ceil(0.8 n) + 1 (m alike). That is exact, and
 a passage that many texts hold makes no pairs, being at the end of that order.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import stage
-from . import common
+from . import common, simhash
 from .components import components
 
 
@@ -76,18 +78,29 @@ def shingle_set(text: Column, width: int) -> Column:
     return listed(text)
 
 
-def rare_pairs(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b), a > b: all pairs of digests that can be similar, those that share a shingle of both prefixes. `texts` has (digest, text)."""
+def rare_pairs(texts: DataFrame, width: int, similarity: float, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b), a > b: all pairs of digests that can be similar. `texts` has (digest, text), `groups` (node, root) of sets that are joined already: no pair of theirs comes.
+
+    Both share a shingle of both prefixes, from which on there is room for as many common
+    ones as similar sets of their sizes have. Of shingles only those of several texts are ordered.
+    """
     own = texts.select("digest", shingle_set(F.col("text"), width).alias("_own")).select("digest", F.size("_own").alias("n"), F.explode("_own").alias("shingle"))
     own = stage(own, "shingles")
-    often = own.groupBy("shingle").agg(F.count("*").alias("texts"))
-    place = F.row_number().over(W.partitionBy("digest").orderBy("texts", "shingle"))
+    often = own.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("shingle").alias("_often"), "texts")
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    first = own.join(often, "shingle").withColumn("place", place).where((F.col("place") <= prefix) & (F.col("texts") > 1))
-    first = stage(first.select("shingle", F.col("digest").alias("a"), "n"), "prefixes")
-    other = first.select(F.col("shingle").alias("_shingle"), F.col("a").alias("b"), F.col("n").alias("m"))
+    mine = W.partitionBy("digest")
+    # those of one text come first in the order and are counted only
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("texts", "shingle"))
+    first = own.join(often, F.col("shingle") == F.col("_often")).withColumn("place", place).where(F.col("place") <= prefix).select("shingle", F.col("digest").alias("a"), "n", "place")
+    first = first.join(groups, F.col("a") == F.col("node"), "left").select("shingle", "a", "n", "place", F.coalesce("root", "a").alias("root")) if groups is not None else first.withColumn("root", F.col("a"))
+    first = stage(first, "prefixes")
+    mixed = first.groupBy("shingle").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select(F.col("shingle").alias("_mixed"))
+    first = first.join(mixed, F.col("shingle") == F.col("_mixed"), "left_semi")
+    other = first.select(F.col("shingle").alias("_shingle"), F.col("a").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("root").alias("_root"))
     alike = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9  # sizes of similar sets
-    return first.join(other, (F.col("shingle") == F.col("_shingle")) & (F.col("a") > F.col("b"))).where(alike).select("a", "b")
+    # from their first common shingle on similar sets have room for all that they must share
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1 >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
+    return first.join(other, (F.col("shingle") == F.col("_shingle")) & (F.col("a") > F.col("b")) & (F.col("root") != F.col("_root"))).where(alike & room).select("a", "b")
 
 
 def jaccard(left: Column, right: Column, width: int) -> Column:
@@ -105,13 +118,22 @@ def jaccard(left: Column, right: Column, width: int) -> Column:
     return similarity(left, right)
 
 
-def crowded_texts(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """(digest, text): one text of each set that shares a band with another; staged once for all rounds.
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b), a != b: sets with the same SimHash beside the smallest such set, and those sets where SimHashes are linked. `prints` has (digest, print)."""
+    top = prints.groupBy("print").agg(F.min("digest").alias("top"))
+    same = prints.join(top, "print").where(F.col("digest") != F.col("top")).select(F.col("digest").alias("a"), F.col("top").alias("b"))
+    ends = [top.select(F.col("print").alias(c), F.col("top").alias(f"_{c}")) for c in ("a", "b")]
+    return same.unionByName(simhash.links(prints, "print").join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def crowded_texts(cells: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, text): one text of each set that shares a band with another or is one of a pair; staged once for all rounds.
 
     `cells` has (digest, band), `texts` (digest, text), repeats too.
     """
     shared = cells.groupBy("band").agg(F.count("*").alias("_members")).where("_members > 1").select(F.col("band").alias("_band"))
-    nodes = cells.join(shared, F.col("band") == F.col("_band"), "left_semi").select(F.col("digest").alias("_node")).distinct()
+    nodes = cells.join(shared, F.col("band") == F.col("_band"), "left_semi").select(F.col("digest").alias("_node"))
+    nodes = nodes.union(pairs.select("a")).union(pairs.select("b")).distinct()
     return stage(texts.join(nodes, F.col("digest") == F.col("_node"), "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "crowded-texts")
 
 
@@ -135,14 +157,18 @@ def _folded(sets: DataFrame, links: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5) -> DataFrame:
     """The rows of `docs` without near copies; all columns stay.
 
-    Of rows joined by links of at least `similarity` the one with the smallest key stays (null
-    keys last), and no two rows that stay were found similar. Texts without words count as copies.
+    Of rows joined by links of at least `similarity`, over any number of others, the one with the
+    smallest key stays (null keys last). Texts without words count as copies.
     """
-    marked = stage(docs.select(F.col(key).alias("_key"), marks(F.col(text), width, bands, rows).alias("m")).select("_key", "m.*"), "marks")
+    both = docs.select(F.col(key).alias("_key"), marks(F.col(text), width, bands, rows).alias("m"), simhash.fingerprint(F.col(text), width).alias("print"))
+    marked = stage(both.select("_key", "m.*", "print"), "marks")
     texts = docs.select(F.col(text).alias("text"), marks(F.col(text), width, 0, 0)["digest"].alias("digest"))
-    sets = stage(marked.groupBy("digest").agg(F.min("_key").alias("least")), "sets")
+    every = stage(marked.groupBy("digest").agg(F.min("_key").alias("least"), F.first("print").alias("print")), "sets")
     cells = stage(marked.groupBy("digest").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("digest", "n", F.explode("bands").alias("band")), "bands")
-    texts = crowded_texts(cells, texts)
+    near = stage(print_pairs(every.where("print is not null")), "prints")
+    texts = crowded_texts(cells, near, texts)
+    joined = verified(near, texts, width, similarity)
+    sets = _folded(every.drop("print"), joined)
     alike = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9  # sizes of similar sets
     while True:
         left = cells.join(sets, "digest", "left_semi")
@@ -155,12 +181,12 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
         links, cells = verified(best, texts, width, similarity), cells.drop("top")
         folds = links.count()
         if folds:
-            sets = _folded(sets, links)
+            sets, joined = _folded(sets, links), joined.unionByName(links)
         if 10 * folds <= cells.select("digest").distinct().count():
             break
-    left = cells.join(sets, "digest", "left_semi").select(F.col("digest").alias("_node")).distinct()
-    texts = stage(texts.join(left, F.col("digest") == F.col("_node"), "left_semi").select("digest", "text"), "left-texts")
-    sets = _folded(sets, verified(rare_pairs(texts, width, similarity), texts, width, similarity))
+    # links of sets that folded away count too: all crowded sets are joined, but for pairs that are in one group already
+    rest = verified(rare_pairs(texts, width, similarity, components(joined)), texts, width, similarity)
+    sets = _folded(every.drop("print"), joined.unionByName(rest))
     kept = sets.select(F.col("least").alias("_dedup_key"), F.col("digest").alias("_dedup_digest"))
     if marked.groupBy("_key").count().where("count > 1").isEmpty():
         return docs.join(kept.select("_dedup_key"), F.col(key).eqNullSafe(F.col("_dedup_key"))).select(docs.columns)

@@ -551,3 +551,13 @@ def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
     assert set(root.values()) <= left and all(any(alike(i, j) for j in sets if j != i) for i in set(sets) - left)
     odd = docs_of(spark, [" ".join(texts[0]), " ".join(texts[2]), " ".join(texts[6]), " ".join(texts[0])], [7, None, None, 7])
     assert sorted((x.doc_id or 0, x.text) for x in corpus_pipeline.near_duplicates(spark, odd, SMALL).collect()) == sorted([(7, " ".join(texts[0])), (0, " ".join(texts[6]))])
+
+
+def test_links_of_folded_texts_join_chains(spark):
+    """Windows of one long text, ten words further each: only neighbours are similar, and one of each chain stays."""
+    chains = [[f"c{c}x{i}" for i in range(154)] for c in range(12)]
+    docs = docs_of(spark, [" ".join(words[10 * i : 10 * i + 104]) for words in chains for i in range(6)])
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == list(range(0, 72, 6))
+    rows = [(bytearray(b"%d" % i), v) for i, v in enumerate((7, 7, 6, 7 + (1 << 40), 12345678901))]
+    pairs = nearcopies.print_pairs(spark.createDataFrame(rows, "digest binary, print long")).collect()
+    assert {frozenset((bytes(x.a), bytes(x.b))) for x in pairs} >= {frozenset(x) for x in ((b"0", b"1"), (b"0", b"2"))} and not any(b"4" in (bytes(x.a), bytes(x.b)) for x in pairs)
