@@ -117,11 +117,18 @@ def calls_of(items: DataFrame) -> DataFrame:
     )
 
 
+def looked_up(rows: DataFrame, key: str, found: DataFrame, other: str) -> DataFrame:
+    """Left join of text `key` with `other`; rows without a key are dealt by their content, or all would meet in one task."""
+    spare = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("string"))
+    dealt = rows.withColumn("_dealt", F.coalesce(F.col(key), spare))
+    return dealt.join(found, (F.col("_dealt") == F.col(other)) & F.col(key).isNotNull(), "left").drop("_dealt")
+
+
 def resolve(calls: DataFrame) -> DataFrame:
     """Selectors of signatures, and the guard: a raw selector drops a label that contradicts it."""
     known = calls.select("signature").where(F.col("signature").isNotNull()).distinct()
-    hashed = known.withColumn("_sel", signature_selector("signature"))
-    both = calls.join(hashed, "signature", "left")
+    hashed = known.select(F.col("signature").alias("_known"), signature_selector("signature").alias("_sel"))
+    both = looked_up(calls, "signature", hashed, "_known")
     clash = F.coalesce(F.col("selector") != F.col("_sel"), F.lit(False))
     return both.select(
         *[c for c in calls.columns if c not in ("selector", "signature", "name")],
@@ -151,14 +158,14 @@ def enrich(counts: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
         )
 
     by_selector, by_name = only("selector", "name", "signature"), only("name", "selector", "signature")
-    rows = counts.join(by_selector, counts["selector"] == by_selector["_selector"], "left")
+    rows = looked_up(counts, "selector", by_selector, "_selector")
     lacking = F.col("_selector").isNotNull() & (F.col("signature").isNull() | F.col("name").isNull())
     rows = rows.select(
         *keys, "selector", "source_format", "n",
         F.when(lacking, F.col("_name_of")).otherwise(F.col("name")).alias("name"),
         F.when(lacking, F.col("_signature_of")).otherwise(F.col("signature")).alias("signature"),
     )
-    rows = rows.join(by_name, rows["name"] == by_name["_name"], "left")
+    rows = looked_up(rows, "name", by_name, "_name")
     nameless = F.col("selector").isNull() & F.col("_name").isNotNull()
     return rows.select(
         *keys,
