@@ -159,9 +159,14 @@ def foreign_keys(spark, d):
 # --- checkpoints ---------------------------------------------------------------------------
 
 
+def _by_run(rows, count):
+    """Rows dealt by run to tasks of about 250 000 rows, however many a file or the session's partitions hold."""
+    return rows.repartition(max(1, -(-count // 250_000)), "run_id")
+
+
 def _live(spark, d):
     k = F.col("run_id").cast("bigint")
-    return v_runs(spark, d).select(
+    return _by_run(v_runs(spark, d), table(spark, d, "orders").count()).select(
         *R.RUN, "started_epoch", "timeout_hours", F.lit(14400).alias("interval_seconds"), (k % 5 != 0).alias("enabled"), F.col("superseded").alias("finalized")
     )
 
@@ -197,7 +202,8 @@ def _captures(spark, d):
     rows = line.select(
         F.col("l_orderkey").cast("string").alias("run_id"), (F.col("l_linenumber") % 3 + 1).cast("bigint").alias("checkpoint"),
         F.col("l_returnflag").alias("tool"), (F.col("l_suppkey") % 2).cast("int").alias("run_index"), (F.col("l_partkey") % 400).alias("late"),
-    ).join(runs.select(*R.RUN, "started_epoch", "interval_seconds"), "run_id")
+    )
+    rows = _by_run(rows, line.count()).join(runs.select(*R.RUN, "started_epoch", "interval_seconds"), "run_id")
     return rows.withColumn("captured_epoch", F.col("started_epoch") + F.col("checkpoint") * F.col("interval_seconds") + F.col("late"))
 
 

@@ -252,3 +252,33 @@ def test_silent_runs_come_once_and_only_when_due(spark, tmp_path):
 def test_complete_records_drop_the_partial_tail(spark):
     df = spark.createDataFrame([("a", "x\ny\npart"), ("b", "none"), ("c", "x\n\n"), ("d", "")], "p string, content string")
     assert [(r.p, r.pos, r.line) for r in jobs.complete_records(df).orderBy("p", "pos").collect()] == [("a", 0, "x"), ("a", 1, "y"), ("c", 0, "x"), ("c", 1, "")]
+
+
+def test_calls_without_a_name_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from sortie.operators import selectors
+
+    rows = [("r1", f"i{i}", "e", "t", "t-v1", f"0x{i % 50:08x}", None, None if i % 4 else f"n{i % 50}", "f", 1) for i in range(4000)]
+    counts = spark.createDataFrame(rows, "run_id string, instance_label string, engine string, tool string, tool_label string, selector string, signature string, name string, source_format string, n long")
+    known = spark.createDataFrame([(f"n{i}", i) for i in range(0, 50, 4)], "_name string, at int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = selectors.looked_up(counts, "name", known, "_name")
+        assert found.columns == [*counts.columns, "_name", "at"] and found.count() == 4000
+        assert found.where("name is null and _name is not null").count() == 0
+        assert sorted(x.n for x in found.where("_name is not null").groupBy("name").agg(F.count("*").alias("n")).collect()) == sorted(sum(1 for x in rows if x[7] == f"n{i}") for i in range(0, 50, 4) if any(x[7] == f"n{i}" for x in rows))
+        tasks = found.where("name is null").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 4 and max(x["count"] for x in tasks) < 1500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_runs_are_dealt_to_tasks_of_bounded_size(spark):
+    from sortie.plans import q_runs
+
+    dealt = q_runs._by_run(spark.range(1000).selectExpr("cast(id as string) as run_id"), 1_000_001)
+    assert dealt.rdd.getNumPartitions() == 5 and dealt.count() == 1000
