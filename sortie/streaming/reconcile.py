@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.extract import EVENT_COLUMNS, FILE, ORDER, signal_rows
 
+_SIGNAL = ("ts", "text_clock", "expected", "name", "source")
 LATE, IMPLIED = "foundry-handler-summary", "foundry-broken-handler-metric"
 _UPDATE = T.StructType(
     [T.StructField(c, T.StringType()) for c in (*FILE, "key")]
@@ -69,14 +71,18 @@ class Reader:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A micro-batch of one file's signals, in order; only clocks, hits and pulses come here."""
+    """A micro-batch of one file's signals, in order; only clocks, hits and pulses come here.
+
+    Signals and updates come and go as one column of JSON: a call costs by its columns.
+    """
     reader = Reader(state.get[0] if state.exists else None)
-    rows = pd.concat(list(batches)).sort_values(list(ORDER), kind="stable")
+    rows = sorted((line for batch in batches for line in map(json.loads, batch["signal"])), key=itemgetter(*ORDER))
     out = []
-    for line in rows[["ts", "text_clock", "expected", "name", "source"]].itertuples(index=False):
-        out += [(*key, *update) for update in reader.take(*[None if pd.isna(v) else v for v in line])]
+    for line in rows:
+        out += [dict(zip(_UPDATE.names[len(FILE) :], update, strict=True)) for update in reader.take(*map(line.get, _SIGNAL))]
     state.update((reader.saved(),))
-    yield pd.DataFrame(out, columns=_UPDATE.names)
+    if out:
+        yield pd.DataFrame({"file": [key[0]], "updates": [json.dumps(out)]})
 
 
 def live_failures(lines: DataFrame) -> DataFrame:
@@ -87,9 +93,12 @@ def live_failures(lines: DataFrame) -> DataFrame:
     signals = signal_rows(lines).select(
         *FILE, *ORDER, "ts", "text_clock", F.col("expected").cast("double").alias("expected"),
         F.col("hit.name").alias("name"), F.col("hit.source").alias("source"),
-    )
+    ).select(F.to_json(F.struct(*FILE)).alias("file"), F.to_json(F.struct(*ORDER, *_SIGNAL)).alias("signal"))
     state = T.StructType([T.StructField("saved", T.StringType())])
-    return signals.groupBy(*FILE).applyInPandasWithState(_advance, _UPDATE, state, "append", GroupStateTimeout.NoTimeout)
+    packed = signals.groupBy("file").applyInPandasWithState(_advance, "file string, updates string", state, "append", GroupStateTimeout.NoTimeout)
+    fields = T.StructType(_UPDATE.fields[: len(FILE)]), T.ArrayType(T.StructType(_UPDATE.fields[len(FILE) :]))
+    rows = packed.select(F.from_json("file", fields[0]).alias("_f"), F.explode(F.from_json("updates", fields[1])).alias("_u"))
+    return rows.select("_f.*", "_u.*")
 
 
 def settled(updates: DataFrame) -> DataFrame:
