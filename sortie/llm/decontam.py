@@ -31,6 +31,10 @@ from ..session import stage
 from . import common
 
 
+#: Windows and words that a task holds before it walks them, and windows walked at once.
+HELD, SLICE = 1 << 17, 1 << 15
+
+
 @dataclass(frozen=True)
 class Scheme:
     """similarity: 1 - allowed edits per item word. walks x bands keys of `steps` sampled steps each.
@@ -68,20 +72,39 @@ class Scheme:
         """Band keys of the windows of class c that begin at `starts`; a word at or past `ends` is a blank one."""
         low, _ = self.lengths(c)
         draw = np.random.default_rng(7919 + c)
-        padded, out = np.append(words, np.uint64(0)), np.empty((len(starts), self.walks * self.bands), np.uint64)
+        padded, out = np.append(words, np.uint64(0)), np.empty((self.walks * self.bands, len(starts)), np.uint64)
         for walk in range(self.walks):
             seeds = draw.integers(0, 2**63, 2 + 2 * low // 64, dtype=np.uint64)
-            moves = [common.mixed(padded ^ s) for s in seeds]
+            moves = [common.mixed(words ^ s).view(np.uint8).reshape(-1, 8) for s in seeds]
             sampled = np.sort(np.array([draw.choice(2 * low, self.steps, replace=False) for _ in range(self.bands)]), 1)
             salts = draw.integers(0, 2**63, (self.bands, self.steps), dtype=np.uint64)
-            bands, at = np.zeros((len(starts), self.bands), np.uint64), starts.copy()
-            for step in range(int(sampled.max()) + 1):
-                here = np.where(at < ends, at, len(words))
+            bands, at, before = np.zeros((self.bands, len(starts)), np.uint64), starts, 0
+            for step in np.unique(sampled).tolist():
+                # a walk past its end meets blank words only, so it may go on there by any words
+                at, before = at + strides(moves, before, step)[np.minimum(at, len(words))], step
+                here = padded[np.where(at < ends, at, len(words))]
                 for band, place in zip(*np.nonzero(sampled == step), strict=True):
-                    bands[:, band] = common.mixed(bands[:, band] ^ (padded[here] + salts[band, place]))
-                at += ((moves[step // 64][here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
-            out[:, walk * self.bands : (walk + 1) * self.bands] = common.mixed(bands + np.uint64(walk * 131 + c * 65537) + np.arange(self.bands, dtype=np.uint64))
-        return out
+                    bands[band] = common.mixed(bands[band] ^ (here + salts[band, place]))
+            number = np.arange(self.bands, dtype=np.uint64)[:, None]
+            out[walk * self.bands : (walk + 1) * self.bands] = common.mixed(bands + np.uint64(walk * 131 + c * 65537) + number)
+        return np.ascontiguousarray(out.T)
+
+
+def strides(moves: list[np.ndarray], start: int, stop: int) -> np.ndarray:
+    """How far a walk gets from each word (and from the end) in the steps from `start` to `stop`.
+
+    moves: for every 64 steps the bits of each word, as eight bytes, lowest first. Steps are
+    taken from the last to the first, so all words go at once: one that moves on gets as far as the word after it, and one more.
+    """
+    far = np.zeros(len(moves[0]) + 1, np.min_scalar_type(stop - start))
+    for step in range(stop - 1, start - 1, -1):
+        if step == stop - 1 or step % 8 == 7:
+            octet = np.ascontiguousarray(moves[step // 64][:, step % 64 // 8])
+        more = far[1:] - far[:-1]  # may wrap around, and back
+        more += far.dtype.type(1)
+        more *= (octet >> np.uint8(step % 8)) & np.uint8(1)
+        far[:-1] += more
+    return far
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,17 +172,37 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
         low = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
         return (bitmap[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 > 0
 
-    def sent(ids: pa.Array, first: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n_keys: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    def sent(ids: pa.Array, place: np.ndarray, offset: np.ndarray, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n_keys: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         """The windows of `sizes` words at `starts`, each with `n_keys` of the keys."""
-        content = hashes[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        content = words[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         ends_of = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(owner)), pa.array(starts - first[owner]), pa.array(offsets[starts]), pa.ListArray.from_arrays(ends_of(sizes), pa.array(content.view(np.int64))), pa.ListArray.from_arrays(ends_of(n_keys), pa.array(keys.view(np.int64)))],
+            [ids, pa.array(place), pa.array(offset), pa.ListArray.from_arrays(ends_of(sizes), pa.array(content.view(np.int64))), pa.ListArray.from_arrays(ends_of(n_keys), pa.array(keys.view(np.int64)))],
             ["key", "place", "offset", "words", "keys"],
         )
 
+    def walked(held: dict[int, list], key_map: np.ndarray):
+        """The windows held of each class that share a band with some item."""
+        for c, parts in held.items():
+            ids, place, offset, texts, starts, ends = (list(x) for x in zip(*parts, strict=True))
+            base = np.cumsum([0, *map(len, texts)])
+            words, ids, place, offset = np.concatenate(texts), pa.concat_arrays(ids), np.concatenate(place), np.concatenate(offset)
+            starts, ends = (np.concatenate([x + at for x, at in zip(xs, base, strict=False)]) for xs in (starts, ends))
+            for k in range(0, len(starts), SLICE):
+                s, e = starts[k : k + SLICE], ends[k : k + SLICE]
+                # windows of equal words are walked once
+                _, one, same = np.unique(common.symbol_hashes(words, s, e - s), return_index=True, return_inverse=True)
+                keys = scheme.keys(words, s[one], e[one], c)
+                shared_bands = in_map(key_map, keys.ravel()).reshape(keys.shape)
+                keys, common_bands = keys[same], shared_bands[same]
+                some = np.flatnonzero(common_bands.any(1))
+                if len(some):
+                    found = some + k
+                    yield sent(ids.take(pa.array(found)), place[found], offset[found], words, s[some], (e - s)[some], common_bands[some].sum(1), keys[some][common_bands[some]])
+
     def find(batches):
         (pair_map, key_map), classes = shared.value
+        held, waiting = {}, 0  # windows of each class, until there are enough to walk together
         for batch in batches:
             at = 0
             for part in common.chunks(batch.column(1)):
@@ -185,7 +228,7 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
                         # a text's first place of a key tells all that is asked of it
                         one = np.unique(np.stack([owner.view(np.uint64), keys], 1), axis=0, return_index=True)[1] if len(keys) else np.zeros(0, np.int64)
                         if len(one):
-                            yield sent(ids, first, offsets, hashes, owner[one], starts[one], np.full(len(one), low), np.ones(len(one), np.int64), keys[one])
+                            yield sent(ids.take(pa.array(owner[one])), (starts - first[owner])[one], offsets[starts[one]], hashes, starts[one], np.full(len(one), low), np.ones(len(one), np.int64), keys[one])
                         continue
                     span = high + int(scheme.edits(high))
                     lengths = np.arange(low, high + 1)
@@ -196,21 +239,19 @@ def windows(docs: DataFrame, known: DataFrame, scheme: Scheme, *, key: str, text
                     ends = np.minimum(first[owner + 1], starts + span)
                     roomy = ends - starts >= low - int(scheme.edits(low))
                     starts, owner, ends = starts[roomy], owner[roomy], ends[roomy]
-                    for k in range(0, len(starts), 1 << 15):
-                        s, o, e = starts[k : k + (1 << 15)], owner[k : k + (1 << 15)], ends[k : k + (1 << 15)]
-                        # windows of equal words are walked once, over the words of windows only
-                        _, one, same = np.unique(common.symbol_hashes(hashes, s, e - s), return_index=True, return_inverse=True)
-                        edge = np.bincount(s[one], minlength=len(hashes) + 1) - np.bincount(e[one], minlength=len(hashes) + 1)
+                    for k in range(0, len(starts), SLICE):
+                        s, o, e = starts[k : k + SLICE], owner[k : k + SLICE], ends[k : k + SLICE]
+                        # only words of windows are held
+                        edge = np.bincount(s, minlength=len(hashes) + 1) - np.bincount(e, minlength=len(hashes) + 1)
                         used = np.cumsum(edge) > 0
                         moved = np.cumsum(used) - used
-                        keys = scheme.keys(hashes[used[:-1]], moved[s[one]], moved[s[one]] + (e - s)[one], c)
-                        shared_bands = in_map(key_map, keys.ravel()).reshape(keys.shape)
-                        keys, common_bands = keys[same], shared_bands[same]
-                        some = common_bands.any(1)
-                        if not some.any():
-                            continue
-                        sizes = (e - s)[some]
-                        yield sent(ids, first, offsets, hashes, o[some], s[some], sizes, common_bands[some].sum(1), keys[some][common_bands[some]])
+                        content = hashes[used[:-1]]
+                        held.setdefault(c, []).append((ids.take(pa.array(o)), s - first[o], offsets[s], content, moved[s], moved[s] + e - s))
+                        waiting += len(s) + len(content)
+                        if waiting >= HELD:
+                            yield from walked(held, key_map)
+                            held, waiting = {}, 0
+        yield from walked(held, key_map)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string")).mapInArrow(find, f"key {kind}, place long, offset long, words array<long>, keys array<long>")

@@ -520,6 +520,29 @@ def test_rare_prefixes_pair_all_similar_sets_and_few_of_one_passage(spark):
     assert nearcopies.rare_pairs(rows.limit(0), 5, 0.8).count() == 0
 
 
+def test_walks_of_all_words_at_once_are_those_of_single_windows():
+    """Band keys by `strides` against a walk word by word; windows end inside the words, and at their end."""
+    draw = np.random.default_rng(5)
+    words, scheme = draw.integers(1, 40, 400, dtype=np.uint64), decontam.Scheme()
+    moves = [common.mixed(words ^ np.uint64(x)).view(np.uint8).reshape(-1, 8) for x in (3, 4, 5, 6, 7)]
+
+    def plain(at, start, stop):
+        begin = at
+        for step in range(start, stop):
+            at += at < 400 and int(common.mixed(words[at : at + 1] ^ np.uint64(3 + step // 64))[0]) >> step % 64 & 1
+        return at - begin
+
+    for start, stop in ((0, 0), (0, 1), (5, 70), (63, 64), (0, 290)):  # more than 255 steps don't fit a byte
+        far = decontam.strides(moves, start, stop)
+        assert len(far) == 401 and all(far[i] == plain(i, start, stop) for i in (0, 1, 7, 250, 390, 399, 400))
+    for n in (9, 30, 150):
+        c = int(scheme.length_class(n))
+        starts = np.array([0, 3, 200, 399 - n, 390])
+        ends = np.minimum(starts + n, 400)
+        alone = [scheme.keys(words[s:e], np.zeros(1, np.int64), np.array([e - s]), c)[0] for s, e in zip(starts, ends)]
+        assert (scheme.keys(words, starts, ends, c) == np.array(alone)).all()
+
+
 def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
     r = random.Random(11)
     some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
