@@ -10,7 +10,11 @@ fold away, as long as that takes a tenth of them. Then all texts that met are jo
 prefixes, but for pairs that links have joined already, so no link of a folded text is lost:
 shingles are put in one order, rare ones first, and two sets of n and m shingles
 that are similar share one of their first n - ceil(0.8 n) + 1 (m alike). That is exact, and
-a passage that many texts hold makes no pairs, being at the end of that order.
+a passage that many texts hold makes no pairs, being at the end of that order. Sets that
+share such a shingle are first held against the next one each, if it is of another group,
+as long as that finds links for a tenth of the groups; pairs are made of what is left, and
+only where the signs of two sets (the parity of their shingles on 512 bits) differ in so
+few bits that the sets can be similar.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from ..session import stage
 from . import common, simhash
 from .components import components
 
+#: Bits of a set's sign. Sets of up to about 1000 shingles are told apart by it; larger ones only rarely, and are compared.
+SIGN_BITS = 512
+
 
 def shingles(text: bytes, width: int) -> np.ndarray:
     """The distinct 64-bit shingles of `width` words, sorted; words as in SimHash, and fewer words are one shingle."""
@@ -69,38 +76,76 @@ def marks(text: Column, width: int, bands: int, rows: int, seed: int = 42) -> Co
 
 
 def shingle_set(text: Column, width: int) -> Column:
-    """The distinct shingles of a text as an array of longs."""
+    """own: the distinct shingles of a text. sign: for each of SIGN_BITS, whether an odd number of them has it."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("own array<long>, sign array<long>")
     def listed(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(x, width).view(np.int64) for part in common.chunks(texts) for x in part.cast(pa.large_binary()).to_pylist()], pa.list_(pa.int64()))
+        sets = [shingles(x, width) for part in common.chunks(texts) for x in part.cast(pa.large_binary()).to_pylist()]
+        low = np.uint64(SIGN_BITS - 1)
+        signs = [np.packbits(np.bincount((x & low).astype(np.int64), minlength=SIGN_BITS) & 1).view(np.int64) for x in sets]
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in ([own.view(np.int64) for own in sets], signs)]
+        return pa.StructArray.from_arrays(lists, ["own", "sign"])
 
     return listed(text)
 
 
-def rare_pairs(texts: DataFrame, width: int, similarity: float, groups: DataFrame | None = None) -> DataFrame:
-    """(a, b), a > b: all pairs of digests that can be similar. `texts` has (digest, text), `groups` (node, root) of sets that are joined already: no pair of theirs comes.
-
-    Both share a shingle of both prefixes, from which on there is room for as many common
-    ones as similar sets of their sizes have. Of shingles only those of several texts are ordered.
-    """
-    own = texts.select("digest", shingle_set(F.col("text"), width).alias("_own")).select("digest", F.size("_own").alias("n"), F.explode("_own").alias("shingle"))
-    own = stage(own, "shingles")
+def rare_prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(shingle, a, n, place, sign): the prefixes of the sets of `texts` (digest, text), of shingles that several have; staged."""
+    sets = texts.select("digest", shingle_set(F.col("text"), width).alias("_set")).select("digest", F.size("_set.own").alias("n"), "_set.own", "_set.sign")
+    sets = stage(sets, "shingles")
+    own = sets.select("digest", "n", F.explode("own").alias("shingle"))
     often = own.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("shingle").alias("_often"), "texts")
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
     mine = W.partitionBy("digest")
     # those of one text come first in the order and are counted only
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("texts", "shingle"))
-    first = own.join(often, F.col("shingle") == F.col("_often")).withColumn("place", place).where(F.col("place") <= prefix).select("shingle", F.col("digest").alias("a"), "n", "place")
-    first = first.join(groups, F.col("a") == F.col("node"), "left").select("shingle", "a", "n", "place", F.coalesce("root", "a").alias("root")) if groups is not None else first.withColumn("root", F.col("a"))
-    first = stage(first, "prefixes")
-    mixed = first.groupBy("shingle").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select(F.col("shingle").alias("_mixed"))
-    first = first.join(mixed, F.col("shingle") == F.col("_mixed"), "left_semi")
-    other = first.select(F.col("shingle").alias("_shingle"), F.col("a").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("root").alias("_root"))
+    first = own.join(often, F.col("shingle") == F.col("_often")).withColumn("place", place).where(F.col("place") <= prefix)
+    signs = sets.select(F.col("digest").alias("a"), "sign")
+    return stage(first.join(signs, F.col("digest") == F.col("a")).select("shingle", "a", "n", "place", "sign"), "prefixes")
+
+
+def mixed_prefixes(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of `prefixes` whose shingle several groups have, with their `root`; staged. `groups` (node, root): sets that are joined already."""
+    rows = prefixes.drop("root").join(groups, F.col("a") == F.col("node"), "left").select("shingle", "a", "n", "place", "sign", F.coalesce("root", "a").alias("root"))
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select(F.col("shingle").alias("_mixed"))
+    return stage(rows.join(mixed, F.col("shingle") == F.col("_mixed"), "left_semi"), "mixed-prefixes")
+
+
+def _can_be_similar(similarity: float) -> Column:
+    """Whether two sets, n long at `place` with `sign` and m long at `at` with `_sign`, have room to be similar."""
+    both = F.col("n") + F.col("m")
     alike = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9  # sizes of similar sets
     # from their first common shingle on similar sets have room for all that they must share
-    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1 >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
-    return first.join(other, (F.col("shingle") == F.col("_shingle")) & (F.col("a") > F.col("b")) & (F.col("root") != F.col("_root"))).where(alike & room).select("a", "b")
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1 >= both * (similarity / (1 + similarity)) - 1e-6
+    # a bit that differs takes a shingle that one of them has alone
+    apart = sum((F.bit_count(F.col("sign")[i].bitwiseXOR(F.col("_sign")[i])) for i in range(SIGN_BITS // 64)), F.lit(0))
+    return alike & room & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def neighbours(prefixes: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(a, b), a > b: at each shingle a set beside the next one, if that is of another group, in an order that each turn draws anew; no more pairs than rows."""
+    order = W.partitionBy("shingle").orderBy(F.xxhash64("a", F.lit(turn)), "a")
+    met = prefixes.withColumn("y", F.lead(F.struct("a", "n", "place", "sign", "root")).over(order)).where(F.col("y.root") != F.col("root"))
+    met = met.select("a", "n", "place", "sign", F.col("y.a").alias("b"), F.col("y.n").alias("m"), F.col("y.place").alias("at"), F.col("y.sign").alias("_sign"))
+    return met.where(_can_be_similar(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def prefix_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: all pairs of different groups that can be similar, by `mixed_prefixes`; repeats too."""
+    other = prefixes.select(F.col("shingle").alias("_shingle"), F.col("a").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("sign").alias("_sign"), F.col("root").alias("_root"))
+    met = (F.col("shingle") == F.col("_shingle")) & (F.col("a") > F.col("b")) & (F.col("root") != F.col("_root"))
+    return prefixes.join(other, met & _can_be_similar(similarity)).select("a", "b")
+
+
+def rare_pairs(texts: DataFrame, width: int, similarity: float, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b), a > b: all pairs of digests that can be similar. `texts` has (digest, text), `groups` (node, root) of sets that are joined already: no pair of theirs comes.
+
+    Both share a shingle of both prefixes, from which on there is room for as many common
+    ones as similar sets of their sizes have, and their signs differ in no more bits than
+    similar sets have shingles alone. Of shingles only those of several texts are ordered.
+    """
+    groups = groups if groups is not None else texts.select(F.col("digest").alias("node"), F.col("digest").alias("root")).limit(0)
+    return prefix_pairs(mixed_prefixes(rare_prefixes(texts, width, similarity), groups), similarity)
 
 
 def jaccard(left: Column, right: Column, width: int) -> Column:
@@ -185,8 +230,16 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
         if 10 * folds <= cells.select("digest").distinct().count():
             break
     # links of sets that folded away count too: all crowded sets are joined, but for pairs that are in one group already
-    rest = verified(rare_pairs(texts, width, similarity, components(joined)), texts, width, similarity)
-    sets = _folded(every.drop("print"), joined.unionByName(rest))
+    groups, prefixes, turn = components(joined), rare_prefixes(texts, width, similarity), 0
+    while True:
+        prefixes = mixed_prefixes(prefixes, groups)
+        if turn < 0:
+            break
+        links = verified(neighbours(prefixes, similarity, turn), texts, width, similarity)
+        groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        turn = turn + 1 if 10 * links.count() > prefixes.select("root").distinct().count() else -1
+    rest = verified(prefix_pairs(prefixes, similarity), texts, width, similarity)
+    sets = _folded(every.drop("print"), rest.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     kept = sets.select(F.col("least").alias("_dedup_key"), F.col("digest").alias("_dedup_digest"))
     if marked.groupBy("_key").count().where("count > 1").isEmpty():
         return docs.join(kept.select("_dedup_key"), F.col(key).eqNullSafe(F.col("_dedup_key"))).select(docs.columns)

@@ -543,6 +543,30 @@ def test_walks_of_all_words_at_once_are_those_of_single_windows():
         assert (scheme.keys(words, starts, ends, c) == np.array(alone)).all()
 
 
+def test_sets_that_share_a_rare_part_only_make_no_pairs(spark):
+    """Texts put together from a pool of passages share whole passages, but hardly a pair is similar; of a large group of near copies few pairs are made."""
+    r = random.Random(13)
+    some = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    pool = [some(40) for _ in range(50)]
+    texts = [[w for part in r.sample(pool, 5) for w in part] for _ in range(150)]
+    texts += [[*t[:100], "new", *t[100:]] for t in texts[:20]]
+    base = some(120)
+    texts += [["new" if i in places else w for i, w in enumerate(base)] for places in ({r.randrange(6), r.randrange(60, 66)} for _ in range(60))]
+    sets = {str(i).encode(): set(nearcopies.shingles(" ".join(t).encode(), 5).tolist()) for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([(bytearray(str(i).encode()), " ".join(t)) for i, t in enumerate(texts)], "digest binary, text string")
+    got = {(bytes(x.a), bytes(x.b)) for x in nearcopies.rare_pairs(rows, 5, 0.8).collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {(max(a, b), min(a, b)) for a, b in itertools.combinations(sets, 2) if alike(a, b) and sets[a] != sets[b]}
+    assert len(want) > 300 and want <= got
+    assert not any(not alike(a, b) and int(a) < 170 and int(b) < 170 for a, b in got)
+    lone = rows.selectExpr("digest AS node", "digest AS root")
+    met = nearcopies.mixed_prefixes(nearcopies.rare_prefixes(rows, 5, 0.8), lone)
+    beside = [(bytes(x.a), bytes(x.b)) for x in nearcopies.neighbours(met, 0.8, 0).collect()]
+    assert 0 < len(beside) <= met.count() and set(beside) <= got
+    one = rows.selectExpr("digest AS node", "CAST('0' AS BINARY) AS root")
+    assert nearcopies.mixed_prefixes(met, one).count() == 0
+
+
 def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
     r = random.Random(11)
     some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
