@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(function):
+    """A Python function that Spark calls once a row: else a filter on its result goes below it and calls it again, by one more Python worker a task."""
+    return function.asNondeterministic()
+
+
 def id_remainder(column: Column, parts: int) -> Column:
     """crc32 of an id's text, modulo `parts`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % parts

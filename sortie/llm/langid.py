@@ -127,4 +127,4 @@ def predicted(model: Model, text: Column) -> Column:
             scores.append(np.where(known, share, 0.0))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang", "score"])
 
-    return score(text)
+    return common.once(score)(text)

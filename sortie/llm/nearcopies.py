@@ -72,7 +72,7 @@ def marks(text: Column, width: int, bands: int, rows: int, seed: int = 42) -> Co
                 keys.append(key.view(np.int64))
         return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["digest", "n", "bands"])
 
-    return marked(text)
+    return common.once(marked)(text)
 
 
 def shingle_set(text: Column, width: int) -> Column:

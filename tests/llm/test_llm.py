@@ -608,3 +608,18 @@ def test_links_of_folded_texts_join_chains(spark):
     rows = [(bytearray(b"%d" % i), v) for i, v in enumerate((7, 7, 6, 7 + (1 << 40), 12345678901))]
     pairs = nearcopies.print_pairs(spark.createDataFrame(rows, "digest binary, print long")).collect()
     assert {frozenset((bytes(x.a), bytes(x.b))) for x in pairs} >= {frozenset(x) for x in ((b"0", b"1"), (b"0", b"2"))} and not any(b"4" in (bytes(x.a), bytes(x.b)) for x in pairs)
+
+
+def test_texts_pass_python_once_where_its_result_is_filtered(spark, capsys):
+    """A second evaluation in a task is a second Python worker, which then lives through all later stages."""
+
+    def evaluations(rows):
+        rows.explain("formatted")
+        return capsys.readouterr().out.split("\n\n")[0].count("ArrowEvalPython")
+
+    docs = docs_of(spark, ["one two three four five", "eins zwei drei vier"] * 4).withColumn("lang", F.lit("en"))
+    assert evaluations(corpus_pipeline.language_id(spark, docs, SMALL)) == 1
+    texts = docs.select("text", nearcopies.marks(F.col("text"), 5, 0, 0)["digest"].alias("digest"))
+    nodes = texts.select(F.col("digest").alias("node"))
+    assert evaluations(texts.where(F.col("digest").isNotNull())) == 1
+    assert evaluations(texts.join(nodes, F.col("digest") == F.col("node"), "left_semi")) == 2  # one a side
