@@ -20,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..sources.logs import labelled
 
-#: Bytes that one task reads, what opening a file counts for among them, and the bytes held at once.
-RANGE, OPENING, PIECE = 64 << 20, 1 << 20, 1 << 20
+#: Bytes that one task reads, what opening a file counts for among them, the bytes held at once, and those first looked at for a line's beginning.
+RANGE, OPENING, PIECE, NEAR = 64 << 20, 1 << 16, 1 << 20, 1 << 12
 
 
 @dataclass
@@ -33,8 +33,9 @@ class ByteRanges(InputPartition):
 
 def line_start(file, at: int) -> int:
     """Where the line that holds byte `at` begins: after the last line feed before it."""
+    step = NEAR
     while at > 0:
-        low = max(0, at - PIECE)
+        low, step = max(0, at - min(step, PIECE)), 2 * step
         file.seek(low)
         found = file.read(at - low).rfind(b"\n")
         if found >= 0:
@@ -66,7 +67,7 @@ def lines_of(file, start: int, end: int) -> Iterator[tuple[list[int], list[bytes
 class Reader(DataSourceStreamReader):
     def __init__(self, options):
         self.root, self.suffix = options["path"].rstrip("/"), options.get("suffix", ".log")
-        self.range = int(options.get("range_bytes", RANGE))
+        self.range, self.tasks = int(options.get("range_bytes", RANGE)), int(options.get("tasks", 1))
 
     def _files(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
@@ -80,27 +81,44 @@ class Reader(DataSourceStreamReader):
         return {x.path[len(top) :].lstrip("/"): x.size for x in found if x.type == fs.FileType.File and x.path.endswith(self.suffix)}
 
     def partitions(self, start: dict, end: dict) -> list[ByteRanges]:
-        out, room = [], 0
+        out, room, grown = [], 0, []
         for path, size in sorted(end.items()):
             low = start.get(path, 0)
             if size < low:
                 raise ValueError(f"{path} shrank from {low} to {size} bytes")
+            if size > low:
+                grown.append((path, low, size))
+        # few small files are dealt over all tasks that can run at once
+        share = min(self.range, sum(size - low + OPENING for _, low, size in grown) // self.tasks)
+        for path, low, size in grown:
             for at in range(low, size, self.range):
                 stop = min(at + self.range, size)
                 if not out or room < stop - at:
                     out.append(ByteRanges([]))
-                    room = self.range
+                    room = share
                 out[-1].parts.append((path, at, stop))
                 room -= stop - at + OPENING
         return out
 
     def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         files, top = self._files()
+        paths, ats, texts, held = [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ats, pa.int64()), pa.array(texts, pa.string())], ["log_path", "at", "line"])
+
         for path, start, end in partition.parts:
             with files.open_input_file(f"{top}/{path}") as file:
                 for places, lines in lines_of(file, start, end):
-                    texts = [line.decode("utf-8", "replace") for line in lines]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], ["log_path", "at", "line"])
+                    paths += [path] * len(lines)
+                    ats += places
+                    texts += [line.decode("utf-8", "replace") for line in lines]
+                    held += sum(map(len, lines)) + len(lines) * (len(path) + 8)
+                    if held >= PIECE:  # lines of many small files go together
+                        yield batch()
+                        paths, ats, texts, held = [], [], [], 0
+        if texts:
+            yield batch()
 
 
 class GrowingLogs(DataSource):
@@ -124,7 +142,7 @@ def growing_lines(spark: SparkSession, root: str, run_id: str | None = None, ran
     is the same in every batch. A file that shrinks ends the stream with an error.
     """
     spark.dataSource.register(GrowingLogs)
-    raw = spark.readStream.format("growing_logs").option("path", root).option("range_bytes", str(range_bytes)).load()
+    raw = spark.readStream.format("growing_logs").option("path", root).option("range_bytes", str(range_bytes)).option("tasks", str(spark.sparkContext.defaultParallelism)).load()
     lines = raw.select(
         "log_path", F.concat(F.lit(f"{root.rstrip('/')}/"), "log_path").alias("_full"),
         F.floor(F.col("at") / range_bytes).alias("block"), F.col("at").alias("pos"), "line",

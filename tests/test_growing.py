@@ -61,3 +61,25 @@ def test_a_log_that_shrinks_is_an_error(spark, tmp_path):
         drained(spark, tmp_path, out)
     with pytest.raises(ValueError, match="shrank"):
         list(growing.lines_of(io.BytesIO(b"ab\n"), 0, 9))
+
+
+def test_many_small_logs_share_tasks_and_batches(tmp_path):
+    """A task costs far more than a small log: many logs make few tasks and batches, few are dealt over the tasks."""
+    for i in range(300):
+        (tmp_path / f"{i:03}.log").write_bytes(b"one\n" * 40 + b"part")
+    reader = growing.Reader({"path": str(tmp_path), "tasks": "4"})
+    first = reader.latestOffset()
+    dealt = reader.partitions({}, first)
+    assert 4 <= len(dealt) <= 6 and max(len(x.parts) for x in dealt) <= 80
+    many = {f"{i:05}.log": 200 for i in range(20_000)}
+    assert len(reader.partitions({}, many)) < 40
+    for i in range(300):
+        with (tmp_path / f"{i:03}.log").open("ab") as more:
+            more.write(b"ial\ntwo\n")
+    got = []
+    for x in dealt + reader.partitions(first, reader.latestOffset()):
+        batches = list(reader.read(x))
+        assert len(batches) == 1
+        got += [(r["log_path"], r["at"], r["line"]) for r in batches[0].to_pylist()]
+    want = [(f"{i:03}.log", at, line) for i in range(300) for at, line in [*((4 * k, "one") for k in range(40)), (160, "partial"), (168, "two")]]
+    assert sorted(got) == want
