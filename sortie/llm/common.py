@@ -77,6 +77,31 @@ def letters() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
+def bitmap(rows: DataFrame, hashes: Column, bits: int = 23) -> np.ndarray:
+    """A map of 2**bits bits, in words of 64: those at the low bits of the 64-bit hashes of all rows are set. It has one size, however many rows."""
+    low = hashes.bitwiseAND(F.lit((1 << bits) - 1))
+    words = rows.select(F.shiftright(low, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found, out = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow(), np.zeros(1 << bits >> 6, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a `bitmap` holds each of the hashes: true of all that were put in, and of some others."""
+    low = hashes.astype(np.uint64) & np.uint64(len(words) * 64 - 1)
+    return (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def held(hashes: Column, words: np.ndarray) -> Column:
+    """`in_bitmap` of a column."""
+
+    @F.arrow_udf("boolean")
+    def looked_up(values: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(words, values.to_numpy(zero_copy_only=False)))
+
+    return looked_up(hashes)
+
+
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 

@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating stars.
 
 Each round hangs every node's larger neighbours on its smallest one, then its
-smaller ones; rounds end when nothing changes. Rounds are written to the shared
+smaller ones; rounds end when all links are stars. Rounds are written to the shared
 folder, so a lost executor costs one round. Minima are taken by aggregation
 (combined before the shuffle) and joined back, so a hub is never one task's group.
 """
@@ -14,10 +14,21 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 
-def _hung(pairs: DataFrame) -> DataFrame:
+#: How many links a task takes: late rounds of few links need few tasks, whatever the number of shuffle partitions.
+TASK_LINKS = 50_000
+
+
+def _stars(pairs: DataFrame, tasks: int) -> bool:
+    """Whether every node hangs on one other (u on v) that hangs on none."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(None).cast("int").alias("up")))
+    found = ends.groupBy("node").agg(F.count("up").alias("up"), F.count("*").alias("all")).coalesce(tasks)
+    return not found.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("all") > F.col("up"))))).first()[0]
+
+
+def _hung(pairs: DataFrame, tasks: int) -> DataFrame:
     """For (node, peer) pairs: every node of a neighbourhood beside the neighbourhood's smallest node."""
     least = pairs.groupBy("node").agg(F.min("peer").alias("least")).select(F.col("node").alias("hub"), F.least("node", "least").alias("least"))
-    return pairs.join(least, F.col("node") == F.col("hub"))
+    return pairs.join(least, F.col("node") == F.col("hub")).coalesce(tasks)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,14 +38,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     The result is staged. An empty table gives an empty one.
     """
     pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    pairs, before = stage(pairs, "links"), None
+    pairs = stage(pairs, "links")
     while True:
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        tasks = 8 + pairs.count() // TASK_LINKS
+        if _stars(pairs, tasks):
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
         both = pairs.select(F.col("u").alias("node"), F.col("v").alias("peer")).unionByName(pairs.select(F.col("v").alias("node"), F.col("u").alias("peer")))
-        large = _hung(both).where(F.col("peer") > F.col("node")).select(F.col("peer").alias("node"), F.col("least").alias("peer")).where("node > peer").distinct()
-        hung = _hung(large)
+        large = _hung(both, tasks).where(F.col("peer") > F.col("node")).select(F.col("peer").alias("node"), F.col("least").alias("peer")).where("node > peer").distinct().coalesce(tasks)
+        hung = _hung(large, tasks)
         small = hung.select(F.col("peer").alias("u"), F.col("least").alias("v")).unionByName(hung.select(F.col("node").alias("u"), F.col("least").alias("v"))).where("u > v").distinct()
-        pairs = stage(small, "links")
+        pairs = stage(small.coalesce(tasks), "links")

@@ -10,7 +10,9 @@ fold away, as long as that takes a tenth of them. Then all texts that met are jo
 prefixes, but for pairs that links have joined already, so no link of a folded text is lost:
 shingles are put in one order, rare ones first, and two sets of n and m shingles
 that are similar share one of their first n - ceil(0.8 n) + 1 (m alike). That is exact, and
-a passage that many texts hold makes no pairs, being at the end of that order. Sets that
+a passage that many texts hold makes no pairs, being at the end of that order. The order
+goes by classes of how many sets have a shingle, which bitmaps of fixed size hold, and in a
+class by the shingle's hash, so a task finds the prefix of a text alone. Sets that
 share such a shingle are first held against the next one each, if it is of another group,
 as long as that finds links for a tenth of the groups; pairs are made of what is left, and
 only where the signs of two sets (the parity of their shingles on 512 bits) differ in so
@@ -19,6 +21,8 @@ few bits that the sets can be similar.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +34,9 @@ from ..session import stage
 from . import common, simhash
 from .components import components
 
+#: A shingle's class in the order is the number of these that its count in sets is above.
+RARE = (8, 64, 512, 4096)
+
 #: Bits of a set's sign. Sets of up to about 1000 shingles are told apart by it; larger ones only rarely, and are compared.
 SIGN_BITS = 512
 
@@ -75,40 +82,57 @@ def marks(text: Column, width: int, bands: int, rows: int, seed: int = 42) -> Co
     return common.once(marked)(text)
 
 
-def shingle_set(text: Column, width: int) -> Column:
-    """own: the distinct shingles of a text. sign: for each of SIGN_BITS, whether an odd number of them has it."""
+def shingle_list(text: Column, width: int) -> Column:
+    """The distinct shingles of a text."""
 
-    @F.arrow_udf("own array<long>, sign array<long>")
+    @F.arrow_udf("array<long>")
     def listed(texts: pa.Array) -> pa.Array:
-        sets = [shingles(x, width) for part in common.chunks(texts) for x in part.cast(pa.large_binary()).to_pylist()]
-        low = np.uint64(SIGN_BITS - 1)
-        signs = [np.packbits(np.bincount((x & low).astype(np.int64), minlength=SIGN_BITS) & 1).view(np.int64) for x in sets]
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in ([own.view(np.int64) for own in sets], signs)]
-        return pa.StructArray.from_arrays(lists, ["own", "sign"])
+        sets = [shingles(x, width).view(np.int64) for part in common.chunks(texts) for x in part.cast(pa.large_binary()).to_pylist()]
+        return pa.array(sets, pa.list_(pa.int64()))
 
     return listed(text)
 
 
+def prefix(text: Column, width: int, similarity: float, often: list[np.ndarray]) -> Column:
+    """n: size of a text's set. first: its prefix, in order. sign: for each of SIGN_BITS, whether an odd number of its shingles has it.
+
+    Shingles are in order of the number of bitmaps in `often` that hold them, then of their value.
+    """
+
+    @F.arrow_udf("n int, first array<long>, sign array<long>")
+    def found(texts: pa.Array) -> pa.Array:
+        sizes, firsts, signs, low = [], [], [], np.uint64(SIGN_BITS - 1)
+        for part in common.chunks(texts):
+            for x in part.cast(pa.large_binary()).to_pylist():
+                own = shingles(x, width)
+                n, kind = len(own), np.zeros(len(own), np.int8)
+                for one in often:
+                    kind += common.in_bitmap(one, own)
+                sizes.append(n)
+                firsts.append(own[np.argsort(kind, kind="stable")][: n - math.ceil(n * similarity - 1e-9) + 1].view(np.int64))
+                signs.append(np.packbits(np.bincount((own & low).astype(np.int64), minlength=SIGN_BITS) & 1).view(np.int64))
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (firsts, signs)]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), *lists], ["n", "first", "sign"])
+
+    return common.once(found)(text)
+
+
 def rare_prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(shingle, a, n, place, sign): the prefixes of the sets of `texts` (digest, text), of shingles that several have; staged."""
-    sets = texts.select("digest", shingle_set(F.col("text"), width).alias("_set")).select("digest", F.size("_set.own").alias("n"), "_set.own", "_set.sign")
-    sets = stage(sets, "shingles")
-    own = sets.select("digest", "n", F.explode("own").alias("shingle"))
-    often = own.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("shingle").alias("_often"), "texts")
-    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    mine = W.partitionBy("digest")
-    # those of one text come first in the order and are counted only
-    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("texts", "shingle"))
-    first = own.join(often, F.col("shingle") == F.col("_often")).withColumn("place", place).where(F.col("place") <= prefix)
-    signs = sets.select(F.col("digest").alias("a"), "sign")
-    return stage(first.join(signs, F.col("digest") == F.col("a")).select("shingle", "a", "n", "place", "sign"), "prefixes")
+    """(shingle, a, n, place, sign): the prefixes of the sets of `texts` (digest, text); staged, a row a set."""
+    counts = texts.select(F.explode(shingle_list(F.col("text"), width)).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets"))
+    counts = stage(counts.where(F.col("sets") > RARE[0]), "often")
+    often = [common.bitmap(counts.where(F.col("sets") > n), F.col("shingle")) for n in RARE]
+    sets = stage(texts.select(F.col("digest").alias("a"), prefix(F.col("text"), width, similarity, often).alias("_p")).select("a", "_p.*"), "prefixes")
+    return sets.select("a", "n", F.posexplode("first").alias("_at", "shingle"), "sign").select("shingle", "a", "n", (F.col("_at") + 1).alias("place"), "sign")
 
 
 def mixed_prefixes(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of `prefixes` whose shingle several groups have, with their `root`; staged. `groups` (node, root): sets that are joined already."""
-    rows = prefixes.drop("root").join(groups, F.col("a") == F.col("node"), "left").select("shingle", "a", "n", "place", "sign", F.coalesce("root", "a").alias("root"))
+    rows = prefixes.select("shingle", "a", "n", "place").join(groups, F.col("a") == F.col("node"), "left").select("shingle", "a", "n", "place", F.coalesce("root", "a").alias("root"))
     mixed = rows.groupBy("shingle").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select(F.col("shingle").alias("_mixed"))
-    return stage(rows.join(mixed, F.col("shingle") == F.col("_mixed"), "left_semi"), "mixed-prefixes")
+    rows = rows.join(mixed, F.col("shingle") == F.col("_mixed"), "left_semi")
+    signs = prefixes.select(F.col("a").alias("_signed"), "sign").distinct()  # wide: only rows that stay take theirs along
+    return stage(rows.join(signs, F.col("a") == F.col("_signed")).select("shingle", "a", "n", "place", "sign", "root"), "mixed-prefixes")
 
 
 def _can_be_similar(similarity: float) -> Column:
@@ -142,7 +166,7 @@ def rare_pairs(texts: DataFrame, width: int, similarity: float, groups: DataFram
 
     Both share a shingle of both prefixes, from which on there is room for as many common
     ones as similar sets of their sizes have, and their signs differ in no more bits than
-    similar sets have shingles alone. Of shingles only those of several texts are ordered.
+    similar sets have shingles alone.
     """
     groups = groups if groups is not None else texts.select(F.col("digest").alias("node"), F.col("digest").alias("root")).limit(0)
     return prefix_pairs(mixed_prefixes(rare_prefixes(texts, width, similarity), groups), similarity)
@@ -171,15 +195,29 @@ def print_pairs(prints: DataFrame) -> DataFrame:
     return same.unionByName(simhash.links(prints, "print").join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def crowded_texts(cells: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(digest, text): one text of each set that shares a band with another or is one of a pair; staged once for all rounds.
+def wanted_digest(text: Column, hashed: Column, width: int, wanted: np.ndarray) -> Column:
+    """The digest of a text's set, as in `marks`; null where the bitmap doesn't hold the row's hash."""
+
+    @F.arrow_udf("binary")
+    def digests(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        asked = common.in_bitmap(wanted, hashes.to_numpy(zero_copy_only=False))
+        parts = common.chunks(texts.filter(pa.array(asked)))
+        found = iter([xxhash.xxh3_128_digest(shingles(x, width).tobytes()) for part in parts for x in part.cast(pa.large_binary()).to_pylist()])
+        return pa.array([next(found) if x else None for x in asked], pa.binary())
+
+    return common.once(digests)(text, hashed)
 
-    `cells` has (digest, band), `texts` (digest, text), repeats too.
+
+def crowded_texts(docs: DataFrame, every: DataFrame, nodes: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
+    """(digest, text): one text of each set of `nodes` (node); staged once for all rounds.
+
+    `every` has (digest, content, least): a set's name, what `marks` calls it, and its smallest key. Only
+    rows with the key of such a set (and those few that a bitmap takes for one) are shuffled.
     """
-    shared = cells.groupBy("band").agg(F.count("*").alias("_members")).where("_members > 1").select(F.col("band").alias("_band"))
-    nodes = cells.join(shared, F.col("band") == F.col("_band"), "left_semi").select(F.col("digest").alias("_node"))
-    nodes = nodes.union(pairs.select("a")).union(pairs.select("b")).distinct()
-    return stage(texts.join(nodes, F.col("digest") == F.col("_node"), "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "crowded-texts")
+    named = stage(every.join(nodes, F.col("digest") == F.col("node"), "left_semi").select("digest", "content", F.xxhash64("least").alias("hashed")), "crowded")
+    wanted = common.bitmap(named, F.col("hashed"))
+    texts = docs.select(F.col(text).alias("text"), wanted_digest(F.col(text), F.xxhash64(key), width, wanted).alias("_own")).where(F.col("_own").isNotNull())
+    return stage(texts.join(named, F.col("_own") == F.col("content")).groupBy("digest").agg(F.first("text").alias("text")), "crowded-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -191,10 +229,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return stage(both.where(jaccard(F.col("_left"), F.col("_right"), width) >= similarity).select("a", "b"), "verified")
 
 
-def _folded(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """One row a group of linked sets: that with the smallest key, null keys last."""
-    roots = components(links)
-    grouped = sets.join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """`groups` (node, root) joined by more links."""
+    return components(links.select("a", "b").unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _folded(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row a group (node, root) of sets: that with the smallest key, null keys last."""
+    grouped = sets.join(groups, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "digest")).alias("best"))
     return stage(best.select("best.least", "best.digest"), "folded")
 
@@ -207,13 +249,17 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     """
     both = docs.select(F.col(key).alias("_key"), marks(F.col(text), width, bands, rows).alias("m"), simhash.fingerprint(F.col(text), width).alias("print"))
     marked = stage(both.select("_key", "m.*", "print"), "marks")
-    texts = docs.select(F.col(text).alias("text"), marks(F.col(text), width, 0, 0)["digest"].alias("digest"))
-    every = stage(marked.groupBy("digest").agg(F.min("_key").alias("least"), F.first("print").alias("print")), "sets")
-    cells = stage(marked.groupBy("digest").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("digest", "n", F.explode("bands").alias("band")), "bands")
-    near = stage(print_pairs(every.where("print is not null")), "prints")
-    texts = crowded_texts(cells, near, texts)
-    joined = verified(near, texts, width, similarity)
-    sets = _folded(every.drop("print"), joined)
+    every = marked.groupBy(F.col("digest").alias("content")).agg(F.min("_key").alias("least"), F.first("print").alias("print"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    every = stage(every.withColumn("digest", F.monotonically_increasing_id()), "sets")  # from here on a number names a set
+    cells = every.select("digest", "n", F.explode("bands").alias("band"))
+    shared = cells.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select(F.col("band").alias("_band"))
+    cells = stage(cells.join(shared, F.col("band") == F.col("_band"), "left_semi"), "bands")
+    near = stage(print_pairs(every.where("print is not null").select("digest", "print")), "prints")
+    every = every.select("digest", "content", "least")
+    nodes = cells.select(F.col("digest").alias("node")).union(near.select("a")).union(near.select("b")).distinct()
+    texts = crowded_texts(docs, every, nodes, key=key, text=text, width=width)
+    groups = components(verified(near, texts, width, similarity))
+    sets = _folded(every, groups)
     alike = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9  # sizes of similar sets
     while True:
         left = cells.join(sets, "digest", "left_semi")
@@ -226,23 +272,28 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
         links, cells = verified(best, texts, width, similarity), cells.drop("top")
         folds = links.count()
         if folds:
-            sets, joined = _folded(sets, links), joined.unionByName(links)
+            groups = _joined(groups, links)
+            sets = _folded(every, groups)
         if 10 * folds <= cells.select("digest").distinct().count():
             break
     # links of sets that folded away count too: all crowded sets are joined, but for pairs that are in one group already
-    groups, prefixes, turn = components(joined), rare_prefixes(texts, width, similarity), 0
+    prefixes, turn = rare_prefixes(texts, width, similarity), 0
     while True:
         prefixes = mixed_prefixes(prefixes, groups)
         if turn < 0:
             break
         links = verified(neighbours(prefixes, similarity, turn), texts, width, similarity)
-        groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        groups = _joined(groups, links)
         turn = turn + 1 if 10 * links.count() > prefixes.select("root").distinct().count() else -1
     rest = verified(prefix_pairs(prefixes, similarity), texts, width, similarity)
-    sets = _folded(every.drop("print"), rest.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    kept = sets.select(F.col("least").alias("_dedup_key"), F.col("digest").alias("_dedup_digest"))
+    sets = _folded(every, _joined(groups, rest))
+    kept = sets.join(every.select("digest", "content"), "digest").select(F.col("least").alias("_dedup_key"), F.col("content").alias("_dedup_digest"))
     if marked.groupBy("_key").count().where("count > 1").isEmpty():
-        return docs.join(kept.select("_dedup_key"), F.col(key).eqNullSafe(F.col("_dedup_key"))).select(docs.columns)
+        kept = kept.select("_dedup_key")
+        # most rows stay: only those whose key may be one that goes (a bitmap says) meet the keys that stay
+        gone = marked.select("_key").join(kept, F.col("_key").eqNullSafe(F.col("_dedup_key")), "left_anti")
+        doubtful = common.held(F.xxhash64(key), common.bitmap(gone, F.xxhash64("_key")))
+        return docs.where(~doubtful).unionByName(docs.where(doubtful).join(kept, F.col(key).eqNullSafe(F.col("_dedup_key"))).select(docs.columns))
     # keys that repeat don't name a row: there the set does, and of rows that are alike in both one stays
     own = docs.withColumn("_dedup_own", marks(F.col(text), width, 0, 0)["digest"])
     return own.join(kept, F.col(key).eqNullSafe(F.col("_dedup_key")) & (F.col("_dedup_own") == F.col("_dedup_digest"))).dropDuplicates(["_dedup_own"]).select(docs.columns)

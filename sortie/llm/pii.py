@@ -246,7 +246,7 @@ def _slopes(cells: DataFrame, model: Model, grid: np.ndarray, asked: list[tuple[
         at = np.flatnonzero(flat.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at, 0]), pa.array(flat[at, 1])], ["at", "g", "h"])
 
-    sums, out = cells.mapInArrow(count, "at long, g long, h long").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow(), np.zeros((width * size, 2))
+    sums, out = cells.mapInArrow(count, "at long, g long, h long").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).coalesce(8).toArrow(), np.zeros((width * size, 2))
     out[sums["at"].to_numpy()] = np.stack([sums["g"].to_numpy(), sums["h"].to_numpy()], 1) / UNIT
     return out.reshape(width, 1 << len(asked), CUTS + 1, 2)
 

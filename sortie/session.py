@@ -16,6 +16,10 @@ SETTINGS = {
 }
 
 
+#: Whether a finished execution's shuffle files are removed at once.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "sortie", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, Arrow)."""
     builder = SparkSession.builder.appName(app)
@@ -56,7 +60,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def stage(df, name: str):
-    """Write a table to the shared folder and read it back (cuts the lineage)."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it back (cuts the lineage).
+
+    Shuffle files of the write go as it ends, not when the driver happens to collect garbage.
+    """
+    spark, path = df.sparkSession, fresh_folder(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

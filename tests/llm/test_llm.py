@@ -1,9 +1,12 @@
 """The training-data operators against brute force, round trips, held-out rows and odd tables."""
 
+import glob
 import hashlib
 import itertools
 import random
 import re
+import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sortie.llm import ann, bpe, common, components, decontam, langid, nearcopies, pii, queries, sharding, simhash, toxicity, urlfilter, warc
+from sortie.session import stage
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, _text string"
@@ -610,6 +614,46 @@ def test_links_of_folded_texts_join_chains(spark):
     assert {frozenset((bytes(x.a), bytes(x.b))) for x in pairs} >= {frozenset(x) for x in ((b"0", b"1"), (b"0", b"2"))} and not any(b"4" in (bytes(x.a), bytes(x.b)) for x in pairs)
 
 
+def test_shuffle_files_of_a_staged_table_go_at_once(spark):
+    """They used to stay until the driver collected garbage, so all rounds of an operator were on disk together."""
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+    before, rows = files(), spark.range(20000).groupBy((F.col("id") % 5000).alias("k")).count()
+    staged = stage(rows, "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and staged.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(components, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    found = lambda links: {(x.node, x.root) for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found([(5, 1), (1, 7), (9, 3), (3, 9), (4, 4)]) == {(1, 1), (5, 1), (7, 1), (3, 3), (9, 3)} and len(staged) == 1
+    assert found([(i, i + 1) for i in range(40)]) == {(i, 0) for i in range(41)} and len(staged) > 2
+    assert found([(3, 1), (3, 2)]) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_few_rows_of_near_duplicates_are_shuffled_with_their_texts(spark, capsys):
+    """Rows whose key no crowded set has are left out before the shuffle, and most rows that stay don't meet a join."""
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    words = common.bitmap(keys.limit(300), F.col("h"), 16)
+    inside = keys.select("h", common.held(F.col("h"), words).alias("held")).toPandas()
+    put = set(keys.limit(300).toPandas()["h"])
+    assert len(words) == 1024 and inside.held[inside.h.isin(put)].all() and inside.held.sum() < 330
+    assert not common.in_bitmap(common.bitmap(keys.limit(0), F.col("h"), 16), inside.h.to_numpy()).any()
+    texts = [f"w{i} " * 3 + f"x{i}" for i in range(50)]
+    docs = docs_of(spark, texts + texts[:3])
+    every = docs.select(F.col("doc_id").alias("digest"), F.col("doc_id").alias("least"), nearcopies.marks(F.col("text"), 5, 0, 0)["digest"].alias("content")).where("digest < 50")
+    got = nearcopies.crowded_texts(docs, every, spark.createDataFrame([(1,), (7,)], "node long"), key="doc_id", text="text", width=5)
+    assert sorted((x.digest, x.text) for x in got.collect()) == [(1, texts[1]), (7, texts[7])]
+    kept = nearcopies.one_of_each(docs)
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(50)) and kept.columns == docs.columns
+    kept.explain("formatted")
+    assert "Union" in capsys.readouterr().out.split("\n\n")[0]
+
+
 def test_texts_pass_python_once_where_its_result_is_filtered(spark, capsys):
     """A second evaluation in a task is a second Python worker, which then lives through all later stages."""
 
