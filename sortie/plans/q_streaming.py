@@ -198,6 +198,6 @@ def growing_log_lines(spark, d):
     root = fresh_folder(spark, "growing")
     for number in range(_ROUNDS):
         _append_round(spark, d, root, number)
-        seen = jobs.drain_append(growing.growing_lines(spark, root, "r1"), "growing-lines", f"{root}-seen")
+        seen = jobs.drain_append(growing.growing_lines(spark, root, "r1", listings=f"{root}-listings"), "growing-lines", f"{root}-seen")
     instance = F.substring_index("log_path", "/", 1).alias("instance_id")
     return seen.groupBy(instance, F.regexp_extract("log_path", r"([a-z]+)\.log$", 1).alias("tool"), "line").agg(F.count(F.lit(1)).alias("copies"))
